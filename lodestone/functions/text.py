@@ -85,9 +85,9 @@ def document_class(text: Column) -> Column:
 
 def section_type(text: Column) -> Column:
     """Section of a paper by the words among its first 100 characters."""
-    head, out = F.substring(F.lower(text), 1, 100), None
+    head, out = F.substring(F.lower(text), 1, 100), F
     for word, name in (("abstract", "abstract"), ("introduction", "introduction"), ("method", "methods"), ("result", "results"), ("conclusion", "conclusion")):
-        out = (out or F).when(head.contains(word), name)
+        out = out.when(head.contains(word), name)
     return out.otherwise("unknown")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,5 +25,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hashed_terms(terms: Column, size: int = 256) -> Column:
     """Term counts in `size` hash buckets: the built-in encoder where no model is at hand."""
-    buckets = F.transform(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("float"))
+    return _counted(F.transform(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int")), F.lit(size))
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def _counted(buckets: pd.Series, size: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else np.bincount(b, minlength=n).astype(np.float32) for b, n in zip(buckets, size)], dtype=object)

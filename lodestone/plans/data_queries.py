@@ -78,10 +78,10 @@ _COUNT = "len(regexp_extract_all(html, '(?i)\\b{0}\\b'))"
 
 
 @query(f"""WITH x AS (SELECT page_id, {" + ".join(_COUNT.format(w) for w in ("if", "else", "elif", "else[ \\t\\r\\n]+if", "switch", "case"))} AS conditionals, {" + ".join(_COUNT.format(w) for w in ("for", "while", "do", "repeat"))} AS loops,
-  len(list_filter(string_split(html, chr(10)), lambda l: trim(l) <> '')) AS lines, len(list_filter(regexp_split_to_array(html, '[ \\t\\r\\n]+'), lambda w: w <> '')) AS tokens FROM pages)
+  len(list_filter(string_split(html, chr(10)), lambda l: trim(l) <> '')) AS lines, len(list_filter(regexp_split_to_array(html, '[ \\t\\r\\n]+'), lambda w: w <> '')) AS tokens FROM (SELECT page_id, regexp_replace(html, '[^\\x00-\\x7F]', '', 'g') AS html FROM pages))
   SELECT page_id, conditionals::INTEGER AS conditionals, loops::INTEGER AS loops, lines::INTEGER AS lines, tokens::INTEGER AS tokens FROM x""")
 def complexity_metrics(spark, sf_dir):
-    m = code.metrics(F.col("html"))
+    m = code.metrics(F.regexp_replace("html", "[^\\x00-\\x7F]", ""))
     return table(spark, sf_dir, "pages").select("page_id", *[m[k].cast("int").alias(k) for k in ("conditionals", "loops", "lines", "tokens")])
 
 
@@ -92,7 +92,7 @@ def complexity_tier(spark, sf_dir):
 
 @query("SELECT path, event_id, place FROM (SELECT user_id AS path, event_id, (CASE WHEN count(*) OVER (PARTITION BY user_id) > 30 THEN row_number() OVER (PARTITION BY user_id ORDER BY value DESC, epoch_us(ts), event_id) ELSE row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) END)::INTEGER AS place FROM events) WHERE place <= 30")
 def importance_topn(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("value").alias("score"), F.unix_micros("ts").alias("start_line"), F.col("event_id").alias("name"), "event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("value").alias("score"), F.unix_micros(F.col("ts").cast("timestamp")).alias("start_line"), F.col("event_id").alias("name"), "event_id")
     return code.top_symbols(e).select("path", "event_id", F.col("place").cast("int").alias("place"))
 
 

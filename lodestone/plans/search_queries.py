@@ -125,7 +125,7 @@ def prf_terms(spark, sf_dir):
     docs, q = table(spark, sf_dir, "documents"), _queries(spark, sf_dir)
     top = retrieval.bm25(docs, q, 5)
     found = docs.select(F.col("doc_id").alias("id"), "text").join(top, "id")
-    return retrieval.expansion_terms(found, q, lambda c: vx.hashed_terms(F.regexp_extract_all(F.lower(c), F.lit("..(?=.)|..."), 0), 64))
+    return retrieval.expansion_terms(found, q, lambda c: vx.hashed_terms(F.regexp_extract_all(F.lower(c), F.lit(".{2}"), 0), 64))
 
 
 @query()
@@ -184,7 +184,7 @@ def cited_spans(spark, sf_dir):
     return evidence.cited_spans(pairs, threshold=0.2).drop("claim_id")
 
 
-_SPANS = "spans AS (SELECT user_id AS id, (epoch(ts)::BIGINT % 100000)::INTEGER AS start, (epoch(ts)::BIGINT % 100000 + 5 + event_id % 900)::INTEGER AS \"end\", event_type AS text, round(value, 3) AS confidence, event_id FROM events)"
+_SPANS = "spans AS (SELECT user_id AS id, (floor(epoch(ts))::BIGINT % 100000)::INTEGER AS start, (floor(epoch(ts))::BIGINT % 100000 + 5 + event_id % 900)::INTEGER AS \"end\", event_type AS text, round(value, 3) AS confidence, event_id FROM events)"
 
 
 @query(f"""WITH {_SPANS}, m AS (SELECT *, max("end") OVER (PARTITION BY id ORDER BY start, "end", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans),

@@ -176,6 +176,6 @@ def extractive_summary(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.when(F.size(parts) > 3, F.concat(F.array_join(F.slice(parts, 1, 3), ". "), F.lit("."))).otherwise(F.substring("text", 1, 500)).alias("summary"))
 
 
-@query("SELECT doc_id, n_chars, CASE WHEN n_chars < 1024 THEN printf('%.1f', n_chars::DOUBLE) || ' B' ELSE printf('%.1f', n_chars / 1024.0::DOUBLE) || ' KB' END AS size FROM documents")
+@query("SELECT doc_id, n_chars, CASE WHEN n_chars < 1024 THEN printf('%.1f', n_chars::DOUBLE) || ' B' ELSE printf('%.1f', round(n_chars / 1024.0::DOUBLE, 1)) || ' KB' END AS size FROM documents")
 def size_format(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", "n_chars", tx.human_size(F.col("n_chars")).alias("size"))
