@@ -149,17 +149,18 @@ def nbest(v: Vocabulary, word: bytes, n: int) -> list[tuple[float, list[int]]]:
 
     A partial path from a position to the end has priority (its score + forward Viterbi score of the
     position), which is exactly the best total through it, so paths leave the queue in order of their
-    final scores. Equal scores are ordered by their ids' order of discovery: longer last pieces first.
+    final scores. Of equal ones the path that has come furthest leaves first, so that a word of which very many
+    segmentations tie is searched in depth and costs no more than another.
     """
     edges = _edges(v, word)
     forward = [0.0] + [_NONE] * len(word)
     for e in range(1, len(word) + 1):
         for s, _, score in edges[e]:
             forward[e] = max(forward[e], forward[s] + score)
-    queue: list = [(-forward[-1], 0, len(word), 0.0, None)]
+    queue: list = [(-forward[-1], len(word), 0, 0.0, None)]
     count, out = 1, []
     while queue and len(out) < n:
-        _, _, at, tail, path = heapq.heappop(queue)
+        _, at, _, tail, path = heapq.heappop(queue)
         if at == 0:
             steps = []
             while path is not None:
@@ -169,7 +170,7 @@ def nbest(v: Vocabulary, word: bytes, n: int) -> list[tuple[float, list[int]]]:
             continue
         for s, i, score in edges[at]:
             if forward[s] > _NONE / 2:
-                heapq.heappush(queue, (-(forward[s] + score + tail), count, s, score + tail, ((s, at, i), path)))
+                heapq.heappush(queue, (-(forward[s] + score + tail), s, count, score + tail, ((s, at, i), path)))
                 count += 1
     return out
 
@@ -328,8 +329,10 @@ def encode(v: Vocabulary, text: pa.Array, best: int = BEST) -> list[tuple[np.nda
             word = raw[starts[a + k] : starts[a + k] + sizes[a + k]].tobytes()
             if word not in cache:
                 cache[word] = nbest(v, word, best)
-            base = cache[word][0][0]
-            options.append((int(id_at[a + k] - id_at[a]), int(each[a + k]), [(base - s, i) for s, i in cache[word][1:]]))
+            begin, base = int(id_at[a + k]), cache[word][0][0]
+            held_ids = ids[begin : begin + int(each[a + k])].tolist()
+            other = [(base - s, i) for s, i in cache[word] if i != held_ids][: best - 1]  # of ties, the search may list another first
+            options.append((begin - int(id_at[a]), len(held_ids), other))
         out.append((ids[id_at[a] : id_at[b]], [(whole - loss, edits) for loss, edits in _merge(options, best)]))
     return out
 

@@ -22,6 +22,7 @@ from .common import connected_components, local_components, mix, saved
 
 THRESHOLD = 0.9
 _BLOCK = 2048
+_PART_ROWS = 1 << 18
 
 
 def layout(n: int, threshold: float = THRESHOLD, recall: float = 0.95) -> tuple[int, int]:
@@ -104,8 +105,9 @@ def near_vectors(df: DataFrame, id_column: str = "vec_id", vector: str = "embedd
     same = vectors.groupBy("v").agg(F.min("id").alias("b"))
     copies = vectors.join(same.hint("shuffle_hash"), "v").where("id <> b").select(F.col("id").alias("a"), "b")
     distinct = same.select(F.col("b").alias("id"), "v")
-    bits, tables = layout(distinct.count(), threshold, recall)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = distinct.count()
+    bits, tables = layout(n, threshold, recall)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * tables / _PART_ROWS))
     met = distinct.mapInArrow(_codes(bits, tables, parts, seed), "part int, key long, id long, v binary").groupBy("part").applyInPandas(_verify(threshold), "a long, b long")
     groups = connected_components(copies.union(met))
     named = vectors.select("id").join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("group_id"))
