@@ -16,8 +16,7 @@ from lodestone.llm.common import set_checkpoints, table
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the documents and labels given, doesn't find toxic; rows with null or empty text stay."""
-    found = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep_text=True)
-    return found.where("NOT is_toxic").select(*docs.columns)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +26,12 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one holds; one that had text and keeps none goes."""
-    cut = units.drop_repeats(docs)
+    own = docs.withColumnRenamed("removed", "_removed")
+    cut = units.drop_repeats(own)
     left = cut.where((F.size("removed") == 0) | F.col("text").rlike(r"\S"))
-    return left.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else F.length("text")).select(*docs.columns)
+    length = F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    kept = left.withColumn("n_chars", length).drop("removed")
+    return kept.withColumnRenamed("_removed", "removed").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

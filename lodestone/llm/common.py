@@ -163,5 +163,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
+def as_row(df: DataFrame) -> DataFrame:
+    """df as one struct column `row`, beside which names of our own can't clash with df's; select("row.*") undoes it."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, saved, slices, word_hashes
+from .common import as_row, buffers, saved, slices, word_hashes
 
 SAMPLE_ROWS = 4000
 DOMAINS = ("low", "high")
@@ -158,6 +158,7 @@ def solve(scores: DataFrame, targets: np.ndarray, rounds: int = 20, tolerance: f
     tokens this is the projected gradient of the least squares of the residual whitened by M, whose step of 1 is
     the Lipschitz bound; where no rate is clipped it ends in one round, at the rates closest to 1 that meet T.
     T is `targets` (weights) times the largest total for which no domain needs more tokens than it has.
+    Targets that clip most rates at 0 are approached slowly and may be missed by some hundredths after `rounds`.
     """
     k = len(targets)
     p = [F.col(f"p{j}") for j in range(k)]
@@ -213,5 +214,5 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARG
 def mix_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs with every row of a document as often as mixture() says; rows with a null doc_id stay once."""
     times = mixture(docs, labels, **options).where("copies <> 1").select(F.col("doc_id").alias("_id"), "copies")
-    joined = docs.join(times.withColumnRenamed("copies", "_copies"), docs["doc_id"] == F.col("_id"), "left")
-    return joined.where("coalesce(_copies, 1) > 0").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)))).alias("_copy")).drop("_copy")
+    joined = as_row(docs).join(times, F.col("row.doc_id") == F.col("_id"), "left")
+    return joined.where("coalesce(copies, 1) > 0").select("row", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1))))).select("row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, mix, slices, word_hashes
+from .common import as_row, buffers, mix, slices, word_hashes
 
 LEAST = 6
 _SPACE = np.zeros(256, bool)
@@ -145,8 +145,8 @@ def drop_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     gives an empty table. Other columns pass through; only a column named `removed` is replaced.
     """
     spans = repeats(docs, least).groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans")).select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "_spans")
-    kept = [c for c in docs.columns if c != "removed"]
-    joined = docs.join(spans, (docs["doc_id"] == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_version")), "left")
-    cut = _cut(F.when(F.col("_spans").isNotNull(), docs["text"]), F.col("_spans"))
+    text = F.col("row.text")
+    joined = as_row(docs).join(spans, (F.col("row.doc_id") == F.col("_doc")) & (F.xxhash64(text) == F.col("_version")), "left")
+    cut = _cut(F.when(F.col("_spans").isNotNull(), text), F.col("_spans"))
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    return joined.select(*[F.coalesce(cut, docs[c]).alias(c) if c == "text" else docs[c] for c in kept], F.coalesce("_spans", none).alias("removed"))
+    return joined.select(*[F.coalesce(cut, text).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "removed"], F.coalesce("_spans", none).alias("removed"))
