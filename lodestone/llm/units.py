@@ -4,8 +4,9 @@ A text is cut into units: at line ends, after sentence ends ('.', '!' or '?' bef
 before a capitalised word. A unit's digest is 128 bits over its words in lower case without
 punctuation. Among equal digests the occurrence that ranks first by (doc_id, offset) stays and the others
 are removed. Units shorter than `least` words are too common to compare alone; they are compared
-together with the long unit that follows, and with the one that precedes: a short unit goes when either
-such passage was seen before. So a passage that is pasted into other texts is removed whole.
+together with as few of the units that follow as make `least` words, and with as few of those that precede:
+a short unit goes when either such passage was seen before. So a passage of 2 * `least` words or more that is
+pasted into other texts is removed whole, also one of short units only. A text of fewer words is compared whole.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def _digest(total: np.ndarray, down: np.ndarray, low: np.ndarray, high: np.ndarr
 
 
 def _keys(text: pa.Array, least: int) -> dict[str, np.ndarray]:
-    """Rows (row, start, end, k1, k2) of one slice: start and end in characters of the row's text."""
+    """Rows (row, start, end, edge, k1, k2) of one slice, in characters of the row's text; edge is where the compared passage ends, or starts if it lies before."""
     raw, offsets = buffers(text)
     starts = unit_starts(raw, offsets)
     ends = np.append(starts[1:], len(raw))
@@ -80,23 +81,30 @@ def _keys(text: pa.Array, least: int) -> dict[str, np.ndarray]:
     base = chars(offsets[row])
     start, end = chars(starts) - base, chars(ends) - base
     m, is_long = len(n), n >= least
-    position = np.arange(m)
-    after = np.where(is_long, position, m)
-    after = np.minimum.accumulate(after[::-1])[::-1] if m else after
-    before = np.maximum.accumulate(np.where(is_long, position, -1)) if m else position
-    ahead = ~is_long & (after < m)
-    ahead[ahead] = row[after[ahead]] == row[ahead]
-    back = ~is_long & (before >= 0)
-    back[back] = row[before[back]] == row[back]
+    last = np.minimum(np.searchsorted(high, low + least, "left"), m - 1)
+    first = np.maximum(np.searchsorted(low, high - least, "right") - 1, 0)
+    ahead = np.flatnonzero(~is_long & (high[last] - low >= least) & (row[last] == row)) if m else last
+    back = np.flatnonzero(~is_long & (high - low[first] >= least) & (row[first] == row)) if m else first
+    head = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if m else last
+    tail = np.append(head[1:], m) - 1 if m else last
+    tiny = high[tail] - low[head] < least
+    head, tail, long = head[tiny], tail[tiny], np.flatnonzero(is_long)
+    spans = ((low[long], high[long]), (low[ahead], high[last[ahead]]), (low[first[back]], high[back]), (low[head], high[tail]))
     out = [[], []]
     with np.errstate(over="ignore"):
         for k, base_ in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
             up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), base_, np.uint64)]))
             down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(words), pow(base_, -1, 1 << 64), np.uint64)]))
             total = np.concatenate([[np.uint64(0)], np.cumsum(words * up[:-1])])
-            out[k] = np.concatenate([_digest(total, down, low[is_long], high[is_long], 1), _digest(total, down, low[ahead], high[after[ahead]], 2), _digest(total, down, low[before[back]], high[back], 3)]).view(np.int64)
-    take = lambda x: np.concatenate([x[is_long], x[ahead], x[back]])
-    return {"row": take(row), "start": take(start), "end": take(end), "k1": out[0], "k2": out[1]}
+            out[k] = np.concatenate([_digest(total, down, at_, to, tag) for tag, (at_, to) in enumerate(spans, 1)]).view(np.int64)
+    return {
+        "row": row[np.concatenate([long, ahead, back, head])],
+        "start": start[np.concatenate([long, ahead, back, head])],
+        "end": end[np.concatenate([long, ahead, back, tail])],
+        "edge": np.concatenate([end[long], end[last[ahead]], start[first[back]], end[tail]]),
+        "k1": out[0],
+        "k2": out[1],
+    }
 
 
 def _rows(least: int):
@@ -106,7 +114,7 @@ def _rows(least: int):
             for at, to in slices(text):
                 x = _keys(text.slice(at, to - at), least)
                 row = pa.array(x["row"] + at)
-                yield pa.record_batch({"k1": pa.array(x["k1"]), "k2": pa.array(x["k2"]), "doc_id": ids.take(row), "version": version.take(row), "start": pa.array(x["start"].astype(np.int32)), "end": pa.array(x["end"].astype(np.int32))})
+                yield pa.record_batch({"k1": pa.array(x["k1"]), "k2": pa.array(x["k2"]), "doc_id": ids.take(row), "version": version.take(row), "start": pa.array(x["start"].astype(np.int32)), "end": pa.array(x["end"].astype(np.int32)), "edge": pa.array(x["edge"].astype(np.int32))})
 
     return run
 
@@ -118,9 +126,11 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     the same doc_id and text are one document: repeated rows don't make each other's units repeats.
     """
     keyed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
-    units = keyed.mapInArrow(_rows(least), "k1 long, k2 long, doc_id long, version long, start int, end int")
+    units = keyed.mapInArrow(_rows(least), "k1 long, k2 long, doc_id long, version long, start int, end int, edge int")
     first = Window.partitionBy("k1", "k2").orderBy("doc_id", "version", "start")
-    return units.withColumn("_rank", F.rank().over(first)).where("_rank > 1").select("doc_id", "version", "start", "end").distinct()
+    ranked = units.withColumn("_rank", F.rank().over(first)).withColumn("_first", F.first(F.struct("doc_id", "version", F.greatest("end", "edge").alias("to"))).over(first))
+    overlaps = "doc_id = _first.doc_id AND version = _first.version AND least(start, edge) < _first.to"  # with the occurrence that stays
+    return ranked.where(f"_rank > 1 AND NOT ({overlaps})").select("doc_id", "version", "start", "end").distinct()
 
 
 @F.pandas_udf(T.StringType())

@@ -222,6 +222,20 @@ def test_passage_is_removed_whole(spark):
     assert "".join(text[s["start"] : s["end"]] for s in got[2]["removed"]).strip() == passage
 
 
+def test_passages_of_short_units_are_removed(spark):
+    draw = np.random.default_rng(6)
+    words = lambda n: [f"w{i}" for i in draw.integers(0, 10**9, n)]
+    capitals = " ".join(words(155)).upper()
+    lines = "\n".join(" ".join(words(5)) for _ in range(10)) + "\n"
+    own = [" ".join(words(5)) + "\n" for _ in range(4)]
+    period = "Buy Now " * 20
+    texts = [(1, capitals), (2, own[0] + lines + own[1]), (3, capitals), (4, own[2] + lines + own[3]), (5, "Tiny Text"), (6, "tiny text!"), (7, "tiny"), (8, period), (9, period)]
+    got = {r["doc_id"]: r["text"] for r in units.drop_repeats(spark.createDataFrame([(*t, "", "", 0) for t in texts], DOCS)).collect()}
+    assert got[1] == capitals and got[3] == "" and got[2] == own[0] + lines + own[1] and got[4] == own[2] + own[3]
+    assert got[5] == "Tiny Text" and got[6] == "" and got[7] == "tiny"
+    assert got[8].split() == ["Buy", "Now"] * 3 and got[9] == ""  # the occurrence that stays stays whole
+
+
 def test_units_awkward(spark):
     docs = awkward(spark)
     got = units.drop_repeats(docs)
