@@ -193,6 +193,28 @@ def test_pigeonring_budgets_lose_no_chain():
     assert np.array_equal(hit, near)  # some start keeps all budgets exactly for the near pairs
 
 
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**8])
+@pytest.mark.parametrize("distance", [38, 42, 45])
+def test_simhash_pairs_meet_at_every_size(n, distance):
+    draw = np.random.default_rng(n + distance)
+    width, count = simhash.layout(n)
+    bits = draw.integers(0, 2, (1000, simhash.BITS)).astype(np.uint8)
+    other = bits.copy()
+    for x in other:
+        x[draw.choice(simhash.BITS, distance, replace=False)] ^= 1
+    packed = [np.packbits(x, bitorder="little").tobytes() for x in np.concatenate([bits, other])]
+    batch = pa.record_batch({"doc_id": pa.array(np.arange(2000)), "signature": pa.array(packed, pa.binary())})
+    met = np.zeros(1000, bool)
+    for out in simhash._segments(width, count, 1)([batch]):
+        value = out.column("value").to_numpy()
+        same = np.flatnonzero(value[:1000] == value[1000:])
+        # the group in which this segment's pairs meet
+        group = pa.Table.from_batches([out.take(pa.array(np.concatenate([same, same + 1000])))]).to_pandas()
+        found = simhash._meet(simhash.MOST)(group)
+        met[found["b"][found["a"] == found["b"] + 1000]] = True
+    assert met.mean() >= 0.9
+
+
 def test_simhash_awkward(spark):
     docs = awkward(spark)
     got = {r["doc_id"]: (r["group_id"], r["kept"]) for r in simhash.near_copies(docs).collect()}
