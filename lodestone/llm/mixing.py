@@ -191,8 +191,7 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARG
 
     targets gives each domain's wanted share of tokens (scaled to sum to 1; a domain not named gets 0).
     The total is the largest that repeats no domain. copies, rate rounded to a whole number up or down by
-    a hash of doc_id so that its expectation is the rate, is how often the document is to be used; a rate
-    within 0.01 of a whole number counts as that number. Without labels of two classes the posteriors
+    a hash of doc_id so that its expectation is the rate, is how often the document is to be used. Without labels of two classes the posteriors
     are even and every rate is 1. A null or wordless text has no tokens and moves no total; it is rated
     like any other by its posteriors. Rows with a null doc_id have no row; other columns don't matter.
     """
@@ -206,7 +205,8 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARG
             raise ValueError("targets name no domain with a positive weight")
         scores = saved(scored(docs, model))
         steps, _, _ = solve(scores, weights / weights.sum())
-    near = F.when(F.abs(F.col("rate") - F.round("rate")) <= 0.01, F.round("rate")).otherwise(F.col("rate"))
+    # floating-point noise alone must not drop or repeat a document
+    near = F.when(F.abs(F.col("rate") - F.round("rate")) <= 1e-9, F.round("rate")).otherwise(F.col("rate"))
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return scores.withColumn("rate", rate(steps)).select("doc_id", "tokens", *[F.round(f"p{j}", 6).alias(f"p_{n}") for j, n in enumerate(names)], F.round("rate", 6).alias("rate"), F.floor(near + u).cast("int").alias("copies"))
 

@@ -406,6 +406,22 @@ def test_mixing_meets_targets(spark):
     assert (got.tokens * got.copies).sum() == pytest.approx((got.tokens * got.rate).sum(), rel=0.1)
 
 
+def test_mixing_copies_keep_small_rates(spark, monkeypatch):
+    n, tokens = 20000, 20
+    pure = lambda i, low: float(low == (i % 20 > 0)) * 0.998 + 0.001
+    scores = spark.createDataFrame([(i, tokens, *(pure(i, d == "low") for d in mixing.DOMAINS)) for i in range(n)], "doc_id long, tokens long, p0 double, p1 double")
+    monkeypatch.setattr(mixing, "fit", lambda *_: mixing.Softmax(np.zeros((1, 2)), np.zeros((1, 2)), mixing.DOMAINS))
+    monkeypatch.setattr(mixing, "scored", lambda *_: scores)
+    got = mixing.mixture(None, None, {"high": 0.95, "low": 0.05}).toPandas()
+    own = got[got.doc_id % 20 > 0]
+    assert len(own) == 19000 and ((own.rate > 0) & (own.rate < 0.01)).all()
+    for p in ("p_low", "p_high"):
+        weight, part = tokens * got[p], got.rate % 1
+        noise = np.sqrt((weight**2 * part * (1 - part)).sum())
+        assert abs((weight * got.copies).sum() - (weight * got.rate).sum()) <= 3 * noise
+    assert own.copies.sum() == pytest.approx(own.rate.sum(), abs=3 * np.sqrt(own.rate.sum()))
+
+
 def test_solve_equals_dense_descent(spark):
     draw = np.random.default_rng(9)
     p, t = draw.dirichlet([0.3, 0.3, 0.3], 200), draw.integers(1, 100, 200)
