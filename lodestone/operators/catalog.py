@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import saved
+
 STATES = ("pending", "running", "completed", "failed")
 MOVES = {"pending": ("running", "failed"), "running": ("completed", "failed"), "completed": (), "failed": ()}
 
@@ -65,19 +67,23 @@ def job_status(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"), F.count("*").alias("n_events"))
 
 
-def lineage(drafts: DataFrame, depth: int = 32) -> DataFrame:
-    """(id, ancestor, distance): every draft with its ancestors over parent_id, by pointer doubling.
+def lineage(drafts: DataFrame) -> DataFrame:
+    """(id, ancestor, distance): every draft with all its ancestors over parent_id, by pointer doubling.
 
-    log2(depth) joins, each of which doubles the distance reached; chains longer than depth are cut there.
+    Each join doubles the distance reached, until one finds nothing; rounds are checkpointed. Parents that
+    form a cycle have no end and raise a ValueError.
     """
-    edges = drafts.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))
-    reach, span = edges, 1
-    while span < depth:
+    reach = saved(drafts.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance")))
+    span = 1
+    while True:
         onward = reach.select(F.col("id").alias("_via"), F.col("ancestor").alias("_far"), F.col("distance").alias("_d"))
-        longer = reach.where(F.col("distance") == span).join(onward, F.col("ancestor") == F.col("_via")).select("id", F.col("_far").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance"))
+        longer = saved(reach.where(F.col("distance") == span).join(onward, F.col("ancestor") == F.col("_via")).select("id", F.col("_far").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance")))
+        if longer.isEmpty():
+            return reach
         reach = reach.unionByName(longer)
+        if not reach.where("id = ancestor").isEmpty():
+            raise ValueError("parent_id has a cycle")
         span *= 2
-    return reach
 
 
 LOG_STEP, LOG_EPOCH, LOG_LOSS = "Step ([0-9]+)/([0-9]+)", "[Ee]poch[ :]+([0-9.]+)", "'?loss'?[ :=]+([0-9]+\\.?[0-9]*)"

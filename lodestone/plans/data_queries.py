@@ -257,7 +257,7 @@ def draft_upsert(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_DRAFTS}, up AS (SELECT id, parent_id AS ancestor, 1 AS distance FROM dr WHERE parent_id IS NOT NULL UNION ALL SELECT up.id, dr.parent_id, distance + 1 FROM up JOIN dr ON dr.id = up.ancestor WHERE dr.parent_id IS NOT NULL AND distance < 8) SELECT id, ancestor, distance::INTEGER AS distance FROM up")
 def lineage(spark, sf_dir):
-    return catalog.lineage(_drafts(spark, sf_dir).select("id", "parent_id"), 8)
+    return catalog.lineage(_drafts(spark, sf_dir).select("id", "parent_id"))
 
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from lodestone.operators import catalog
 from lodestone.plans import QUERIES, SQL
 
 from .compare import SF, rows, sql_rows
@@ -20,3 +21,17 @@ def test_runs_alike_twice(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_lineage_reaches_every_ancestor(spark):
+    parent = {i: i - 1 if i % 41 else None for i in range(90)} | {100: 7, 101: 100, 200: 999}
+    want = set()
+    for i, at in parent.items():
+        n = 1
+        while at is not None:
+            want.add((i, at, n))
+            at, n = parent.get(at), n + 1
+    got = catalog.lineage(spark.createDataFrame([*parent.items()], "id long, parent_id long")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and max(n for _, _, n in want) == 40
+    with pytest.raises(ValueError):
+        catalog.lineage(spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 1)], "id long, parent_id long"))
