@@ -67,7 +67,7 @@ def bm25_topk(spark, sf_dir):
 @query(f"WITH {KNN} SELECT query_id, id, score, rank::INTEGER AS rank FROM kn_top WHERE rank <= 10")
 def knn_batch(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return retrieval.dense(v.select("id", "v"), v.where("label = 3").select(F.col("id").alias("query_id"), "v"), 10)
+    return retrieval.dense(v.select("id", "v"), v.select(F.col("id").alias("query_id"), "v"), 10)
 
 
 @query("SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)), 9) AS score FROM embeddings ORDER BY score DESC, id LIMIT 10")
@@ -131,7 +131,7 @@ def prf_terms(spark, sf_dir):
 @query()
 def diversity_filter(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    top = retrieval.dense(v.select("id", "v"), v.where("label = 3").select(F.col("id").alias("query_id"), "v"), 20)
+    top = retrieval.dense(v.select("id", "v"), v.select(F.col("id").alias("query_id"), "v"), 20)
     return retrieval.diverse(top.join(v.select("id", "v"), "id"), 0.3)
 
 

@@ -1,5 +1,6 @@
 """Every query that SQL can state against DuckDB, and the others' contracts."""
 
+import numpy as np
 import pytest
 
 from lodestone.operators import catalog
@@ -35,3 +36,37 @@ def test_lineage_reaches_every_ancestor(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want and max(n for _, _, n in want) == 40
     with pytest.raises(ValueError):
         catalog.lineage(spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 1)], "id long, parent_id long"))
+
+
+def cosines(spark):
+    found = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = np.array([r["vec_id"] for r in found]), np.array([r["embedding"] for r in found], float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    return ids, np.round(v @ v.T, 9)
+
+
+def best(ids, scores, k):
+    return [sorted(zip(-row, ids))[:k] for row in scores]
+
+
+def test_knn_batch_asks_for_every_row(spark):
+    ids, scores = cosines(spark)
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in QUERIES["knn_batch"](spark, SF).collect()}
+    want = {(q, n): (x, -s) for q, top in zip(ids, best(ids, scores, 10)) for n, (s, x) in enumerate(top, 1)}
+    assert set(got) == set(want) and all(got[k][1] == pytest.approx(want[k][1], abs=2e-9) for k in want)
+    assert sum(got[k][0] != want[k][0] for k in want) <= len(want) // 1000  # ties at the last digit
+
+
+def test_diversity_filter_asks_for_every_row(spark):
+    ids, scores = cosines(spark)
+    place = {x: i for i, x in enumerate(ids)}
+    got = {}
+    for r in QUERIES["diversity_filter"](spark, SF).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+    assert set(got) == set(ids)
+    for q, top in zip(ids, best(ids, scores, 20)):
+        kept = []
+        for n, (_, x) in enumerate(top, 1):
+            if all(scores[place[x], place[y]] < 0.3 for _, y in kept):
+                kept.append((n, x))
+        assert sorted(got[q]) == kept
