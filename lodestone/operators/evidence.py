@@ -51,6 +51,24 @@ def cited_spans(pairs: DataFrame, similarity=word_overlap, threshold: float = 0.
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("claim_id", "id", "start", "end", F.col("sentence").alias("text"), "confidence", "rank")
 
 
+def cited_everywhere(claims: DataFrame, texts: DataFrame, threshold: float = 0.6, top: int = 3, least: int = 20) -> DataFrame:
+    """cited_spans() by word_overlap of every claim (claim_id, claim) with every text (id, text).
+
+    A sentence whose overlap exceeds the threshold has one of any size - floor(threshold * size) of the claim's
+    words, so only sentences with one of that many of its rarest words are compared; no span is lost.
+    """
+    parts = sentence_offsets(texts.select("id", "text"), "id").where(F.length("sentence") >= least).select("id", "pos", "sentence", "start", "end")
+    words = parts.select("id", "pos", F.explode(word_set(F.col("sentence"))).alias("word"))
+    claimed = claims.select("claim_id", F.size(word_set(F.col("claim"))).alias("size"), F.explode(word_set(F.col("claim"))).alias("word"))
+    n = words.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("claim_id").orderBy(F.coalesce("n", F.lit(0)), "word")
+    probes = claimed.join(n, "word", "left").withColumn("_at", F.row_number().over(rarest)).where(F.col("_at") <= F.col("size") - F.floor(F.col("size") * threshold - 1e-6))
+    found = words.join(probes.select("claim_id", "word"), "word").select("claim_id", "id", "pos").distinct()
+    scored = found.join(parts, ["id", "pos"]).join(claims.select("claim_id", "claim"), "claim_id").withColumn("confidence", F.round(word_overlap(F.col("claim"), F.col("sentence")), 9)).where(F.col("confidence") > threshold)
+    w = Window.partitionBy("claim_id", "id").orderBy(F.desc("confidence"), "start")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("claim_id", "id", "start", "end", F.col("sentence").alias("text"), "confidence", "rank")
+
+
 def merge_spans(spans: DataFrame, key: str = "id", gap: int = 10) -> DataFrame:
     """Spans of a key that overlap or lie at most `gap` apart as one: greatest end and confidence, first text."""
     w = Window.partitionBy(key).orderBy("start", "end")

@@ -180,8 +180,8 @@ _OVER = "CASE WHEN len({a}) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / len
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, start) AS rank FROM x WHERE confidence > 0.2)
   SELECT doc_id AS id, start::INTEGER AS start, (start + length(sentence))::INTEGER AS "end", sentence AS text, confidence, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
 def cited_spans(spark, sf_dir):
-    pairs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), F.substring("text", 1, 200).alias("claim"), F.col("doc_id").alias("id"), "text")
-    return evidence.cited_spans(pairs, threshold=0.2).drop("claim_id")
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
+    return evidence.cited_everywhere(claims, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 _SPANS = "spans AS (SELECT user_id AS id, (floor(epoch(ts))::BIGINT % 100000)::INTEGER AS start, (floor(epoch(ts))::BIGINT % 100000 + 5 + event_id % 900)::INTEGER AS \"end\", event_type AS text, round(value, 3) AS confidence, event_id FROM events)"

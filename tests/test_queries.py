@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lodestone.operators import catalog
+from lodestone.operators import catalog, evidence
 from lodestone.plans import QUERIES, SQL
 
 from .compare import SF, rows, sql_rows
@@ -70,3 +70,17 @@ def test_diversity_filter_asks_for_every_row(spark):
             if all(scores[place[x], place[y]] < 0.3 for _, y in kept):
                 kept.append((n, x))
         assert sorted(got[q]) == kept
+
+
+def test_cited_spans_searches_every_document(spark):
+    claims = spark.createDataFrame([(1, "Amber falcons circle above northern harbours"), (2, "copper lanterns"), (3, "of it")], "claim_id long, claim string")
+    texts = spark.createDataFrame([(7, "Nothing of use stands here. Amber falcons circle above some harbours today."), (8, "The copper lanterns glow. Copper lanterns and amber falcons circle above northern harbours."), (9, None), (10, "lanterns of copper")], "id long, text string")
+    pairs = claims.crossJoin(texts)
+    for threshold in (0.6, 0.2, 0.5):
+        want = rows(evidence.cited_spans(pairs, threshold=threshold))
+        assert want[1] and rows(evidence.cited_everywhere(claims, texts, threshold)) == want
+    got = QUERIES["cited_spans"](spark, SF)
+    read = lambda t, i, c: spark.read.parquet(f"{SF}/{t}.parquet").orderBy(i).limit(60).selectExpr(f"{i} AS {c[0]}", f"text AS {c[1]}")
+    some, docs = read("benchmark", "item_id", ("claim_id", "claim")), read("documents", "doc_id", ("id", "text"))
+    kept = got.join(some.select("claim_id"), "claim_id", "left_semi").join(docs.select("id"), "id", "left_semi")
+    assert rows(kept) == rows(evidence.cited_spans(some.crossJoin(docs)))
