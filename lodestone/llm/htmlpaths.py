@@ -31,20 +31,32 @@ _LINES = re.compile(r" ?\n[ \n]*")
 
 
 class Container:
-    __slots__ = ("path", "tag", "parts", "links", "breaks", "dull")
+    __slots__ = ("path", "tag", "parts", "links", "breaks", "dull", "parent")
 
-    def __init__(self, path: str, tag: str, dull: bool) -> None:
-        self.path, self.tag, self.dull = path, tag, dull
-        self.parts: list[str] = []
+    def __init__(self, path: str, tag: str, dull: bool, parent: Container | None = None) -> None:
+        self.path, self.tag, self.dull, self.parent = path, tag, dull, parent
+        self.parts: list[str | Container] = []
         self.links = self.breaks = 0
 
     def text(self) -> str:
-        whole = _BLANK.sub(" ", html.unescape("".join(self.parts)))
+        """Text of the container and of those within it, in document order, without menus and the like."""
+        flat, rest = [], [iter(self.parts)]
+        while rest:
+            p = next(rest[-1], None)
+            if p is None:
+                rest.pop()
+                flat.append("\n")
+            elif isinstance(p, str):
+                flat.append(p)
+            elif not p.dull or self.dull:
+                flat.append("\n")
+                rest.append(iter(p.parts))
+        whole = _BLANK.sub(" ", html.unescape("".join(flat)))
         return _LINES.sub("\n", whole).strip()
 
     def score(self) -> float:
-        """Characters of text, less twice those in links, plus 20 for each break; nothing for menus and the like."""
-        size = sum(len(p.strip()) for p in self.parts)
+        """Characters of its own text, less twice those in links, plus 20 for each break; nothing for menus and the like."""
+        size = sum(len(p.strip()) for p in self.parts if isinstance(p, str))
         return 0.0 if self.dull or not size else max(0.0, size - 2.0 * self.links + 20.0 * min(self.breaks, size // 20))
 
 
@@ -72,7 +84,8 @@ def containers(page: str) -> list[Container]:
                 found = _CLASS.search(m[4])
                 names = sorted({_DIGITS.sub("#", c.lower()) for c in (found[1] or found[2] or found[3] or "").split()}) if found else []
                 step = ".".join([tag, *names])
-                own = Container(f"{stack[-1].path}>{step}" if stack[-1].path else step, tag, stack[-1].dull or tag in _DULL)
+                own = Container(f"{stack[-1].path}>{step}" if stack[-1].path else step, tag, stack[-1].dull or tag in _DULL, stack[-1])
+                stack[-1].parts.append(own)
                 if not m[4].rstrip().endswith("/"):
                     stack.append(own)
                 out.append(own)
@@ -108,7 +121,15 @@ def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page, winners in zip(f["html"], f["paths"]):
             found = containers(page) if page else []
             wanted = set(winners) if winners is not None else set()
-            chosen = [(c, t) for c in found if c.path in wanted and (t := c.text())]
+            inside: set[int] = set()  # containers on a winning path, and all within them
+            outer = []
+            for c in found:
+                if id(c.parent) in inside and not (c.dull and not c.parent.dull):
+                    inside.add(id(c))
+                elif c.path in wanted:
+                    inside.add(id(c))
+                    outer.append(c)
+            chosen = [(c, t) for c in outer if (t := c.text())]
             agreed.append(bool(chosen))
             if not chosen:
                 best = max(found, key=lambda c: c.score(), default=None)
@@ -135,7 +156,8 @@ def winning_paths(pages: DataFrame, share: float = SHARE) -> DataFrame:
 def extracted(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """(page_id, host, path, agreed, text) for every row of pages (page_id, url, html).
 
-    text joins the page's containers on winning paths of its host, one block to a line; a page without any
+    text joins the page's containers on winning paths of its host, each with all that it holds but menus and the
+    like, one block to a line; a page without any
     uses its own best container and agreed is false. Null html gives null text, empty or textless html an
     empty text. Pages without a usable url vote together as host ''. Repeated rows vote and are extracted
     each; other columns don't matter; an empty table gives an empty table.

@@ -359,6 +359,17 @@ def test_consensus_overrules_a_page(spark):
     assert "menu" not in got[0]["text"] and got[0]["text"].startswith("The main text of page 0")
 
 
+def test_nested_containers_are_extracted(spark):
+    body = "<p>The main text of this page, of which there is quite a lot to read here.</p>" * 5
+    nested = "<ul><li>item one<li>item two</ul><table><tr><td>cell a<td>cell b</table><blockquote>a quote</blockquote><pre>code()</pre><section><h2>head</h2><div>deep</div></section><nav>menu</nav>"
+    page = f"<body><div class=side>side</div><article>{body}{nested}<p>The end.</p></article></body>"
+    got = htmlpaths.extracted(spark.createDataFrame([(i, "http://x.y/", page) for i in range(3)], "page_id long, url string, html string")).collect()
+    for r in got:
+        lines = r["text"].split("\n")
+        assert r["path"] == "body>article" and r["agreed"]
+        assert lines[5:] == ["item one", "item two", "cell a", "cell b", "a quote", "code()", "head", "deep", "The end."]
+
+
 def test_html_brute_force(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     host = {r["page_id"]: r["host"] for r in htmlpaths.hosts(pages).collect()}
