@@ -38,11 +38,13 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _pack_counts(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Byte planes, after a byte that says how many: four, or eight where a count needs them."""
+    wide = 8 if len(values) and values.max() >= 2**32 else 4
+    return bytes([wide]) + np.ascontiguousarray(values.astype(f"u{wide}").view(np.uint8).reshape(-1, wide).T).tobytes()
 
 
 def _unpack_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1).T).view(f"u{data[0]}").ravel()
 
 
 def _grams(text: pa.ChunkedArray, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -99,7 +101,7 @@ def _answer(least: int):
             columns = [_unpack(keys[i]) for i in own]
             known, code = np.unique(np.concatenate(columns), return_inverse=True)
             sums = np.bincount(code, weights=np.concatenate([_unpack_counts(counts[i]) for i in own]), minlength=len(known))
-            sums = np.where(sums >= least, np.minimum(sums, 2**32 - 1), 0)
+            sums = np.where(sums >= least, sums, 0)
             ends = np.cumsum([len(c) for c in columns])
             out += [(int(chunk[i]), int(order), key[0].as_py(), _pack_counts(sums[code[e - len(c) : e]])) for i, c, e in zip(own, columns, ends)]
         chunk, n, part, counts = zip(*out)

@@ -350,6 +350,14 @@ def test_planes_awkward(spark):
 # 9
 
 
+def test_backoff_counts_beyond_32_bits():
+    column = lambda v, kind: pa.array(v, kind)
+    keys, counts = backoff._pack(np.array([5, 9], np.uint64)), backoff._pack_counts(np.array([3 * 10**9, 7]))
+    asked = pa.table({"part": column([0, 0], pa.int32()), "chunk": column([1, 2], pa.int32()), "n": column([1, 1], pa.int32()), "keys": column([keys] * 2, pa.binary()), "counts": column([counts] * 2, pa.binary())})
+    for r in backoff._answer(2)((pa.scalar(0),), asked)["counts"].to_pylist():
+        assert backoff._unpack_counts(r).tolist() == [6 * 10**9, 14]
+
+
 def test_consensus_overrules_a_page(spark):
     body = "<p>The main text of page {0}, of which there is quite a lot to read here.</p>" * 3
     page = "<html><body><div class='side'>{1}</div><div class='post x{0}'>" + body + "</div></body></html>"
