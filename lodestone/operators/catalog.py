@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import saved
+from ..checkpoints import saved
 
 STATES = ("pending", "running", "completed", "failed")
 MOVES = {"pending": ("running", "failed"), "running": ("completed", "failed"), "completed": (), "failed": ()}
