@@ -1,9 +1,10 @@
-"""Shared pieces of the training-data operators: columnar word hashing, connected components, checkpoints."""
+"""Shared pieces of the training-data operators: columnar word hashing, connected components, worker memory."""
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+from ..checkpoints import saved, set_checkpoints
+
+__all__ = ["as_row", "buffers", "connected_components", "lean", "local_components", "mix", "ragged", "saved", "set_checkpoints", "slices", "table", "trim", "word_hashes"]
+
+SLICE_BYTES = 1 << 20
+_BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,16 +35,46 @@ def mix(x: np.ndarray) -> np.ndarray:
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
-        inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            up, down = np.full(size, _BASE, np.uint64), np.full(size, inverse, np.uint64)
-            up[0] = down[0] = 1
-            _powers.clear()
-            _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+def _powers(base: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        out = np.full(_BLOCK + 1, base, np.uint64)
+        out[0] = 1
+        return np.cumprod(out)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, told to map arrays above 256 KB on their own, which it otherwise does less with use."""
+    try:
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        library.malloc_trim
+        return library
+    except (OSError, AttributeError):  # not glibc
+        return None
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    if library := _libc():
+        pa.default_memory_pool().release_unused()
+        library.malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A batch function after each of whose batches freed memory is given back: workers are reused by later stages,
+    which must not find what earlier ones left."""
+
+    def own(batches: Iterator) -> Iterator:
+        trim()
+        for out in run(batches):
+            yield out
+            trim()
+
+    return own
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +96,17 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = to
 
 
+def _long_hash(raw: np.ndarray) -> int:
+    """Hash of one word of any length, a block at a time."""
+    total, power = 0, 1
+    with np.errstate(over="ignore"):
+        for at in range(0, len(raw), _BLOCK):
+            part = raw[at : at + _BLOCK]
+            total = (total + int((_VALUE[part] * _UP[: len(part)]).sum(dtype=np.uint64)) * power) & _M64
+            power = power * pow(_BASE, _BLOCK, 1 << 64) & _M64
+    return total
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of every text, in order, and row offsets into them.
 
@@ -82,11 +128,21 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     before = edge[edge > 0] - 1
     last[before] = inside[before]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _tables(n)
+    found, at = np.empty(len(start), np.uint64), 0
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[raw] * up[:n], out=total[1:])
-        found = mix((total[end] - total[start]) * down[start])
+        while at < len(start):  # whole words, about a block of bytes at a time
+            base = start[at]
+            to = int(np.searchsorted(end, base + _BLOCK, "right"))
+            if to == at:
+                found[at] = _long_hash(raw[base : end[at]])
+                at += 1
+                continue
+            size = int(end[to - 1] - base)
+            total = np.zeros(size + 1, np.uint64)
+            np.cumsum(_VALUE[raw[base : base + size]] * _UP[:size], out=total[1:])
+            found[at:to] = (total[end[at:to] - base] - total[start[at:to] - base]) * _DOWN[start[at:to] - base]
+            at = to
+        found = mix(found)
     return found, np.searchsorted(start, offsets)
 
 
@@ -116,24 +172,6 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def set_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a folder of our own only where none is configured (local tests)."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(shared)
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder."""
-    set_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b); the component is its least id.
 

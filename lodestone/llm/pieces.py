@@ -8,6 +8,10 @@ the best one only in the N-1 words with the least such distance; for these, back
 piece lattice, with the forward scores as exact heuristics, gives the N best, and the text's are
 merged from them.
 
+The trie over the pieces is a double array of a few megabytes, so that a worker holds little beside its texts.
+Words of up to _LONGEST bytes run together by length. A longer one (an address, or a line of a script
+without spaces) runs alone through the same search, once for each distinct word, at some 3 seconds a megabyte.
+
 Scores are those in the model file. For a model of BPE kind they are negative merge ranks, so that the best
 segmentation is the best by rank sum and need not be the one that greedy merges give.
 """
@@ -25,11 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, ragged, slices
+from .common import buffers, lean, ragged, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
 _LONGEST = 48
+_SLICE = 2 << 20
 _NONE = -1e300
 _SPACE = 0x20
 _MARK = "▁"
@@ -71,9 +76,67 @@ class Vocabulary:
     unknown_score: float
     unknown_id: int
     bytes_at: list[int]  # id of each byte piece, or unknown
-    moves: np.ndarray  # node * 256 + byte -> node, 0 for none
+    base: np.ndarray  # node's child by a byte is base + byte, if `owner` there is the node
+    owner: np.ndarray
     ends: np.ndarray  # node -> id or -1
     longest: int
+    spelled: np.ndarray  # bytes of all pieces, one after the other, a space for each word mark
+    spelled_at: np.ndarray
+
+    def step(self, nodes: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes that letters lead to, and whether there are such."""
+        to = self.base[nodes] + letters
+        return to, self.owner[to] == nodes
+
+
+def _double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base, owner and ends of a trie; node 0 is the root."""
+    children: list[dict[int, int]] = [{}]
+    value = [-1]
+    for word, i in words.items():
+        at = 0
+        for b in word:
+            if b not in children[at]:
+                children[at][b] = len(children)
+                children.append({})
+                value.append(-1)
+            at = children[at][b]
+        value[at] = i
+    size = 2 * len(children) + 1024
+    used, base, owner, ends, place = np.zeros(size, bool), np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32), np.zeros(len(children), np.int64)
+    used[:256], low, roomy, todo = True, 256, 256, [0]
+    for node in todo:
+        letters = np.array(sorted(children[node]), np.int64)
+        if not len(letters):
+            continue
+        at, tries = low if len(letters) == 1 else max(low, roomy), 0  # several children look where the last ones found room
+        while True:
+            tries += 1
+            free = np.flatnonzero(~used[at : at + 512]) + at
+            free = free[free + 256 < size]
+            good = ~used[free[:, None] + (letters - letters[0])].any(axis=1)
+            if good.any():
+                start = int(free[np.argmax(good)]) - int(letters[0])
+                if len(letters) > 1 and tries > 2:
+                    roomy = at
+                break
+            at += 512
+            if at + 1024 > size:
+                grow = lambda x, v: np.concatenate([x, np.full(size, v, x.dtype)])
+                used, base, owner, ends = grow(used, False), grow(base, 0), grow(owner, -1), grow(ends, -1)
+                size *= 2
+        slots = start + letters
+        used[slots] = True
+        base[place[node]], owner[slots] = start, place[node]
+        for b, slot in zip(letters.tolist(), slots.tolist()):
+            place[children[node][b]] = slot
+            ends[slot] = value[children[node][b]]
+            todo.append(children[node][b])
+        while used[low]:
+            low += 1
+    top = int(np.flatnonzero(used)[-1]) + 257
+    fit = lambda x, v: np.concatenate([x[:top], np.full(max(0, top - len(x)), v, x.dtype)])
+    return fit(base, 0), fit(owner, -1), fit(ends, -1)
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -89,25 +152,12 @@ def load(path: str = MODEL) -> Vocabulary:
     ids = {p.replace(_MARK, " ").encode(): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k in (1, 4)}
     if any(b" " in p.lstrip(b" ") for p in ids):
         raise ValueError("a piece spans a word start")
-    nodes: list[dict[int, int]] = [{}]
-    ends = [-1]
-    for piece, i in ids.items():
-        at = 0
-        for b in piece:
-            if b not in nodes[at]:
-                nodes[at][b] = len(nodes)
-                nodes.append({})
-                ends.append(-1)
-            at = nodes[at][b]
-        ends[at] = i
-    moves = np.zeros((len(nodes), 256), np.int32)
-    for at, out in enumerate(nodes):
-        for b, to in out.items():
-            moves[at, b] = to
+    base, owner, ends = _double_array(ids)
     unknown = kinds.index(2)
     by_byte = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 6}
     score = np.array(scores)
-    return Vocabulary(pieces, kinds, ids, score, float(score[list(ids.values())].min()) - 10, unknown, [by_byte.get(b, unknown) for b in range(256)], moves.ravel(), np.array(ends, np.int32), max(map(len, ids)))
+    spelled = [bytes([int(p[1:-1], 16)]) if k == 6 else p.replace(_MARK, " ").encode() for p, k in zip(pieces, kinds)]
+    return Vocabulary(pieces, kinds, ids, score, float(score[list(ids.values())].min()) - 10, unknown, [by_byte.get(b, unknown) for b in range(256)], base, owner, ends, max(map(len, ids)), np.frombuffer(b"".join(spelled), np.uint8), np.append(0, np.cumsum([len(x) for x in spelled])))
 
 
 def _edges(v: Vocabulary, word: bytes) -> list[list[tuple[int, int, float]]]:
@@ -121,9 +171,10 @@ def _edges(v: Vocabulary, word: bytes) -> list[list[tuple[int, int, float]]]:
             char += 1
         at, alone = 0, False
         for e in range(s + 1, min(n, s + v.longest) + 1):
-            at = v.moves[at * 256 + word[e - 1]]
-            if not at:
+            to = int(v.base[at]) + word[e - 1]
+            if v.owner[to] != at:
                 break
+            at = to
             if (i := v.ends[at]) >= 0:
                 out[e].append((s, int(i), float(v.scores[i])))
                 alone |= e == char
@@ -205,8 +256,7 @@ def _viterbi(v: Vocabulary, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             continue
         node, alone, all_rows = np.zeros(len(rows), np.int64), np.zeros(w, bool), rows
         for e in range(s + 1, min(n, s + v.longest) + 1):
-            node = v.moves[node * 256 + chars[rows, e - 1]]
-            on = node > 0
+            node, on = v.step(node, chars[rows, e - 1])
             rows, node = rows[on], node[on]
             if not len(rows):
                 break
@@ -289,6 +339,7 @@ def encode(v: Vocabulary, text: pa.Array, best: int = BEST) -> list[tuple[np.nda
     held = np.zeros(len(starts), np.int64)  # index of the word's ids
     chunks, counts, total = [], [], 0
     group = np.minimum(sizes, _LONGEST + 1).astype(np.uint8)
+    cache: dict[bytes, list] = {}
     by_size = np.argsort(group, kind="stable")
     edges = np.flatnonzero(np.append(True, np.diff(group[by_size].astype(np.int16)) > 0))
     for a, b in zip(edges, np.append(edges[1:], len(by_size))):
@@ -296,7 +347,10 @@ def encode(v: Vocabulary, text: pa.Array, best: int = BEST) -> list[tuple[np.nda
         n = int(sizes[own[0]])
         if n > _LONGEST:
             for k in own:
-                found = nbest(v, raw[starts[k] : starts[k] + sizes[k]].tobytes(), 2)
+                word = raw[starts[k] : starts[k] + sizes[k]].tobytes()
+                if word not in cache:
+                    cache[word] = nbest(v, word, max(best, 2))
+                found = cache[word]
                 score[k], gap[k] = found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf
                 held[k] = total
                 chunks.append(np.array(found[0][1], np.int32))
@@ -318,7 +372,6 @@ def encode(v: Vocabulary, text: pa.Array, best: int = BEST) -> list[tuple[np.nda
     ids = pool[np.repeat(at_pool[held], each) + ragged(each)]
     id_at = np.append(0, np.cumsum(each))
     word_at = np.searchsorted(starts, offsets)
-    cache: dict[bytes, list] = {}
     out = []
     for a, b in zip(word_at[:-1], word_at[1:]):
         whole = float(score[a:b].sum())
@@ -365,22 +418,49 @@ def apply_edits(ids: list[int], edits: list) -> list[int]:
 
 def decode(v: Vocabulary, ids) -> str:
     """The text of ids: pieces joined, runs of byte pieces as UTF-8, word marks as spaces, without the first space."""
-    if not any(v.kinds[i] == 6 for i in set(map(int, ids))):
-        text = "".join([v.pieces[i] for i in ids])
-    else:
-        raw = bytearray()
-        for i in ids:
-            if v.kinds[i] == 6:
-                raw.append(int(v.pieces[i][1:-1], 16))
-            else:
-                raw += v.pieces[i].encode()
-        text = raw.decode("utf-8", "replace")
-    text = text.replace(_MARK, " ")
+    text = decoded(v, np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
+def decoded(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of the pieces, first space included."""
+    size = np.diff(v.spelled_at)[ids]
+    return v.spelled[np.repeat(v.spelled_at[ids], size) + ragged(size)]
+
+
+def restored(v: Vocabulary, ids: np.ndarray, lengths: np.ndarray, text: pa.Array) -> pa.Array:
+    """For each text whether its ids (concatenated, so many for each) decode to it; null for null."""
+    raw, offsets = buffers(text)
+    back = decoded(v, ids)
+    size = np.append(0, np.cumsum(np.diff(v.spelled_at)[ids]))
+    ends = np.cumsum(lengths)
+    at, to = size[ends - lengths], size[ends]
+    at = at + ((to > at) & (np.append(back, 0)[at] == _SPACE))
+    same = to - at == np.diff(offsets)
+    n = np.where(same, np.diff(offsets), 0)
+    differ = back[np.repeat(at, n) + ragged(n)] != raw[np.repeat(offsets[:-1], n) + ragged(n)]
+    wrong = np.bincount(np.repeat(np.arange(len(n)), n)[differ], minlength=len(n)) > 0
+    return pa.array(same & ~wrong, mask=pc.is_null(text).to_numpy(zero_copy_only=False))
+
+
 SCHEMA = "doc_id long, ids array<int>, n_pieces int, nbest array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>, restored boolean"
-_NBEST = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
+
+
+def _lists(lengths: list[int] | np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), values)
+
+
+def _nbest_column(found: list) -> pa.Array:
+    """The segmentations of encode() as a nested column, from flat arrays."""
+    per_text = [len(n) for _, n in found]
+    options = [x for _, n in found for x in n]
+    edits = [e for _, own in options for e in own]
+    ids = _lists([len(i) for _, _, i in edits], pa.array([x for _, _, i in edits for x in i], pa.int32()))
+    edit = pa.StructArray.from_arrays([pa.array([a for a, _, _ in edits], pa.int32()), pa.array([d for _, d, _ in edits], pa.int32()), ids], ["at", "drop", "ids"])
+    option = pa.StructArray.from_arrays([pa.array([s for s, _ in options], pa.float64()), _lists([len(own) for _, own in options], edit)], ["score", "edits"])
+    return _lists(per_text, option)
+
+
 _vocabularies: dict[str, Vocabulary] = {}
 
 
@@ -389,22 +469,15 @@ def _encoder(path: str, best: int):
         if path not in _vocabularies:
             _vocabularies[path] = load(path)
         v = _vocabularies[path]
-        names = np.array([p.replace(_MARK, " ") for p in v.pieces], object)
-        plain = np.array([k != 6 for k in v.kinds])
         for batch in batches:
-            for at, to in slices(batch.column(1), 8 << 20):
+            for at, to in slices(batch.column(1), _SLICE):
                 text = batch.column(1).slice(at, to - at)
                 got = encode(v, text, best)
-                restored = []
-                for (ids, _), t in zip(got, text.to_pylist()):
-                    back = "".join(names[ids])[1:] if plain[ids].all() else decode(v, ids)
-                    restored.append(None if t is None else back == t)
                 lengths = np.array([len(i) for i, _ in got])
-                flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(np.concatenate([i for i, _ in got]).astype(np.int32)))
-                nb = [[{"score": s, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in e]} for s, e in n] for _, n in got]
-                yield pa.record_batch([batch.column(0).slice(at, to - at), flat, pa.array(lengths.astype(np.int32)), pa.array(nb, _NBEST), pa.array(restored, pa.bool_())], ["doc_id", "ids", "n_pieces", "nbest", "restored"])
+                ids = np.concatenate([i for i, _ in got]).astype(np.int32)
+                yield pa.record_batch([batch.column(0).slice(at, to - at), _lists(lengths, pa.array(ids)), pa.array(lengths.astype(np.int32)), _nbest_column(got), restored(v, ids, lengths, text)], ["doc_id", "ids", "n_pieces", "nbest", "restored"])
 
-    return run
+    return lean(run)
 
 
 def encoded(docs: DataFrame, model: str = MODEL, best: int = BEST) -> DataFrame:
@@ -414,7 +487,7 @@ def encoded(docs: DataFrame, model: str = MODEL, best: int = BEST) -> DataFrame:
     edits that turn ids into it (the first has none); restored says whether decoding ids gives the text
     back, which fails only for texts that hold the word mark U+2581 itself. A null text has no ids, one
     empty segmentation and a null `restored`; an empty text the same but restored. Repeated rows are
-    encoded alike; other columns don't matter; an empty table gives an empty table. Characters without
+    encoded alike; very long texts and words are encoded whole; other columns don't matter; an empty table gives an empty table. Characters without
     a piece become their UTF-8 byte pieces. `model` is a path that every executor can read.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encoder(model, best), SCHEMA)
