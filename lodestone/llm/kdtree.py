@@ -1,17 +1,23 @@
 """Operator 3: exact top-k search with a KD-tree for each shard.
 
-Vectors are put into shards by the leaves of a top tree of median splits. Each shard builds a KD-tree: median
-splits on the widest dimension, tight bounding boxes, leaves of at most LEAF vectors. A query visits the
-leaves of a shard best first by the distance to their boxes and stops where that bound exceeds the distance
-of its kth neighbour so far. First every query searches its own shard; its kth distance found there is
-propagated, so that of the other shards it visits only those whose box is closer, and starts there with
-that bound. All vectors are queries. Distances are computed exactly for whatever the bounds leave, so
-results and ties (by id) don't depend on the sharding.
+All vectors are put into shards by the leaves of a top tree of median splits, whose cuts come from a bounded
+sample and bear on speed alone. Each shard builds a KD-tree: median splits on the widest dimension, and a tight
+bounding box at every node. A query descends a tree best first: a queue holds nodes by the distance of their
+boxes to the query, opens the nearest, and ends where that bound exceeds the query's kth distance so far.
+
+The queries are a stated set, the vectors whose id is divisible by `every`, searched against all vectors. A
+query starts in its own shard. Queries of neighbouring shards then form blocks; a block visits groups of the
+shards whose boxes are closer than its worst kth distance, nearest shard first, and each visit starts from the kth
+distances that those before left. A task holds one block and a few shards, whatever the number of
+vectors. In many dimensions without clusters boxes prune little, and a block visits nearly every shard.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,90 +27,90 @@ from pyspark.sql import functions as F
 from .common import saved
 
 K = 10
-LEAF = 128
-SHARD = 4096
+EVERY = 100
+LEAF = 256
+SHARD = 8192
+_BLOCK = 1024
+_VISITS = 8
 _SAMPLE = 20_000
 _SLACK = 1e-9
 
 
-def build(x: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the rows by leaf, where each leaf starts, and the leaves' least and greatest coordinates."""
-    order, starts, todo = [], [], [np.arange(len(x))]
-    at = 0
+@dataclass
+class Tree:
+    """Vectors in leaf order and the nodes: boxes, children (-1 for leaves) and ranges of rows."""
+
+    x: np.ndarray
+    ids: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    children: np.ndarray
+    rows: np.ndarray
+
+
+def build(x: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> Tree:
+    """Split at the median of the widest dimension down to `leaf` vectors, or to equal ones."""
+    order, todo = np.arange(len(x)), [(0, len(x), -1)]
+    low, high, children, rows = [], [], [], []
     while todo:
-        own = todo.pop()
-        wide = int(np.argmax(x[own].max(axis=0) - x[own].min(axis=0)))
-        if len(own) <= leaf or x[own, wide].max() == x[own, wide].min():
-            starts.append(at)
-            order.append(own)
-            at += len(own)
-        else:
-            half = np.argpartition(x[own, wide], len(own) // 2)
-            todo += [own[half[len(own) // 2 :]], own[half[: len(own) // 2]]]
-    order = np.concatenate(order)
-    starts = np.array(starts)
-    return order, starts, np.minimum.reduceat(x[order], starts), np.maximum.reduceat(x[order], starts)
+        at, to, parent = todo.pop()
+        own = x[order[at:to]]
+        node = len(rows)
+        if parent >= 0:
+            children[parent].append(node)
+        low.append(own.min(axis=0))
+        high.append(own.max(axis=0))
+        rows.append((at, to))
+        children.append([])
+        wide = int(np.argmax(high[-1] - low[-1]))
+        if to - at > leaf and high[-1][wide] > low[-1][wide]:
+            half = (to - at) // 2
+            order[at:to] = order[at:to][np.argpartition(own[:, wide], half)]
+            todo += [(at + half, to, node), (at, at + half, node)]
+    return Tree(x[order], ids[order], np.array(low), np.array(high), np.array([c or [-1, -1] for c in children]), np.array(rows))
 
 
 def box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Squared distances from each row of q to each box."""
-    out = np.zeros((len(q), len(low)))
-    for d in range(q.shape[1]):
-        a = q[:, d][:, None]
-        out += np.maximum(np.maximum(low[None, :, d] - a, a - high[None, :, d]), 0) ** 2
-    return out
+    """Squared distance from a point to each box."""
+    return (np.maximum(np.maximum(low - q, q - high), 0) ** 2).sum(axis=-1)
 
 
 class Best:
-    """The k nearest so far for each of n queries: sorted by (distance, id), padded with infinity."""
-
-    def __init__(self, n: int, k: int, bound: np.ndarray | None = None) -> None:
-        self.distance, self.ids, self.k = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max), k
-        self.bound = np.full(n, np.inf) if bound is None else bound.astype(np.float64)
-
-    def kth(self, rows) -> np.ndarray:
-        return np.minimum(self.distance[rows, -1], self.bound[rows])
-
-    def offer(self, rows: np.ndarray, query: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
-        """Add candidates: `query` indexes `rows`."""
-        base = np.repeat(np.arange(len(rows)), self.k)
-        q, d, i = np.concatenate([base, query]), np.concatenate([self.distance[rows].ravel(), distance]), np.concatenate([self.ids[rows].ravel(), ids])
-        order = np.lexsort((i, d, q))
-        q, d, i = q[order], d[order], i[order]
-        first = np.searchsorted(q, np.arange(len(rows)))
-        take = first[:, None] + np.arange(self.k)
-        self.distance[rows], self.ids[rows] = d[take], i[take]
-
-
-def search(x: np.ndarray, x_ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, bound: np.ndarray | None = None, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """(distances, ids) of each query's k nearest others among x within its bound (squared), by best-first traversal."""
-    order, starts, low, high = build(x, leaf)
-    x, x_ids = x[order], x_ids[order]
-    ends = np.append(starts[1:], len(x))
-    best = Best(len(q), k, bound)
-    reach = box_distance(q, low, high)
-    turn = np.argsort(reach, axis=1, kind="stable")
-    x2, q2 = (x**2).sum(axis=1), (q**2).sum(axis=1)
-    slack = _SLACK * (1 + (x2.max() if len(x2) else 0) + (q2.max() if len(q2) else 0))
-    live = np.arange(len(q))
-    for r in range(len(starts)):
-        # the r-th leaf in each query's own order; a query ends at its first leaf beyond its kth distance
-        target = turn[live, r]
-        on = reach[live, target] <= best.kth(live) + slack
-        live, target = live[on], target[on]
-        if not len(live):
+    """A query's k nearest so far, sorted by (distance, id); `bound` is a kth distance known from elsewhere."""
+
+    def __init__(self, k: int, bound: float = math.inf) -> None:
+        self.k, self.bound, self.distance, self.ids = k, bound, np.zeros(0), np.zeros(0, np.int64)
+
+    def kth(self) -> float:
+        return min(self.bound, self.distance[-1]) if len(self.distance) == self.k else self.bound
+
+    def offer(self, distance: np.ndarray, ids: np.ndarray) -> None:
+        d, i = np.concatenate([self.distance, distance]), np.concatenate([self.ids, ids])
+        order = np.lexsort((i, d))[: self.k]
+        self.distance, self.ids = d[order], i[order]
+
+
+def search(tree: Tree, q: np.ndarray, q_id: int, best: Best) -> int:
+    """Offer the tree's vectors to best, but the query itself, by best-first traversal; the number of leaves read."""
+    reach = lambda d: d <= best.kth() * (1 + 1e-12) + _SLACK
+    queue, read = [(float(box_distance(q, tree.low[0], tree.high[0])), 0)], 0
+    while queue:
+        bound, node = heapq.heappop(queue)
+        if not reach(bound):
             break
-        by = np.argsort(target, kind="stable")
-        edges = np.flatnonzero(np.append(True, np.diff(target[by]) > 0))
-        for a, b in zip(edges, np.append(edges[1:], len(by))):
-            rows, t = live[by[a:b]], target[by[a]]
-            s = slice(starts[t], ends[t])
-            near = q2[rows][:, None] + x2[s][None, :] - 2 * (q[rows] @ x[s].T)
-            i, j = np.nonzero((near <= best.kth(rows)[:, None] + slack) & (q_ids[rows][:, None] != x_ids[s][None, :]))
-            if len(i):
-                exact = ((q[rows[i]] - x[s][j]) ** 2).sum(axis=1)
-                best.offer(rows, i, x_ids[s][j], exact)
-    return best.distance, best.ids
+        pair = tree.children[node]
+        if pair[0] >= 0:
+            for d, child in zip(box_distance(q, tree.low[pair], tree.high[pair]).tolist(), pair.tolist()):
+                if reach(d):
+                    heapq.heappush(queue, (d, child))
+            continue
+        at, to = tree.rows[node]
+        read += 1
+        d, ids = ((tree.x[at:to] - q) ** 2).sum(axis=1), tree.ids[at:to]
+        near = np.flatnonzero((d <= best.kth()) & (ids != q_id))
+        if len(near):
+            best.offer(d[near], ids[near])
+    return read
 
 
 def top_tree(sample: np.ndarray, shards: int) -> list[tuple[int, float]]:
@@ -125,7 +131,7 @@ def top_tree(sample: np.ndarray, shards: int) -> list[tuple[int, float]]:
 def _assign(tree: list[tuple[int, float]]):
     dims, cuts = np.array([d for d, _ in tree], int), np.array([c for _, c in tree])
 
-    def run(frames):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             x = np.stack(f["v"].to_numpy()) if len(f) else np.zeros((0, 1))
             at = np.zeros(len(f), int)
@@ -136,51 +142,75 @@ def _assign(tree: list[tuple[int, float]]):
     return run
 
 
+_PACKED = "shard long, cell long, piece long, ids binary, x binary, low array<double>, high array<double>"
+
+
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     """A shard as one row: ids, vectors and box."""
     pdf = pdf.sort_values("id")
     x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "ids": [pdf["id"].to_numpy().astype(np.int64).tobytes()], "x": [x.tobytes()], "low": [x.min(axis=0)], "high": [x.max(axis=0)], "n": [len(x)]})
+    first = pdf.iloc[0]
+    return pd.DataFrame({"shard": [int(first["shard"])], "cell": [int(first["cell"])], "piece": [int(first["piece"])], "ids": [pdf["id"].to_numpy().astype(np.int64).tobytes()], "x": [x.tobytes()], "low": [x.min(axis=0)], "high": [x.max(axis=0)]})
 
 
-def _arrays(row) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row["ids"], np.int64)
-    return ids, np.frombuffer(row["x"], np.float64).reshape(len(ids), -1)
+def _arrays(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(ids, np.int64)
+    return i, np.frombuffer(x, np.float64).reshape(len(i), -1)
 
 
-def _found(q_ids: np.ndarray, distance: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-    has = np.isfinite(distance)
-    return pd.DataFrame({"query_id": np.repeat(q_ids, distance.shape[1])[has.ravel()], "neighbor_id": ids[has], "d2": distance[has]})
+_BLOCKS = "cells long, piece long, homes binary, q_ids binary, q binary, bound binary, low array<double>, high array<double>, worst double"
+_HOMES = _BLOCKS + ", hits array<struct<query_id:long,neighbor_id:long,d2:double>>"
 
 
-def _home(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = _arrays(pdf.iloc[0])
-        distance, found = search(x, ids, x, ids, k)
-        return pd.DataFrame({"shard": pdf["shard"], "bound": [distance[:, -1].tobytes()], "found": [found.tobytes()], "distance": [distance.tobytes()], "worst": [float(distance[:, -1].max())]})
+def _block(homes: np.ndarray, ids: np.ndarray, x: np.ndarray, bound: np.ndarray) -> dict:
+    return {"homes": [homes.tobytes()], "q_ids": [ids.tobytes()], "q": [x.tobytes()], "bound": [bound.tobytes()], "low": [x.min(axis=0)], "high": [x.max(axis=0)], "worst": [float(bound.max())]}
 
-    return run
 
+def _hits(q_ids: np.ndarray, found: list[Best]) -> list[tuple]:
+    return [(int(q), int(i), float(d)) for q, b in zip(q_ids, found) for i, d in zip(b.ids, b.distance)]
 
-def _visit(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, other = pdf[pdf["role"] == 0].iloc[0], pdf[pdf["role"] == 1].iloc[0]
-        q_ids, q = _arrays(own)
-        ids, x = _arrays(other)
-        bound = np.frombuffer(own["bound"], np.float64)
-        near = box_distance(q, x.min(axis=0)[None], x.max(axis=0)[None])[:, 0] <= bound * (1 + 1e-12) + _SLACK
-        distance, found = search(x, ids, q[near], q_ids[near], k, bound[near])
-        return _found(q_ids[near], distance, found)
+
+def _home(k: int, every: int, per: int):
+    """Each shard's own queries searched in it: their kth distances, and what was found."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.to_dict("records"):
+                ids, x = _arrays(r["ids"], r["x"])
+                asked = np.flatnonzero(ids % every == 0)
+                if not len(asked):
+                    continue
+                tree, found = build(x, ids), [Best(k) for _ in asked]
+                for i, b in zip(asked, found):
+                    search(tree, x[i], ids[i], b)
+                bound = np.array([b.kth() for b in found])
+                own = _block(np.full(len(asked), r["shard"]), ids[asked], x[asked], bound)
+                yield pd.DataFrame({"cells": [r["cell"] // per], "piece": [r["piece"]], **own, "hits": [_hits(ids[asked], found)]})
 
     return run
 
 
-def _own(k: int):
-    def run(frames):
-        for f in frames:
-            for _, r in f.iterrows():
-                ids = np.frombuffer(r["ids"], np.int64)
-                yield _found(ids, np.frombuffer(r["distance"], np.float64).reshape(len(ids), k), np.frombuffer(r["found"], np.int64).reshape(len(ids), k))
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The queries of some neighbouring shards as one block."""
+    pdf = pdf.sort_values("homes")
+    parts = [_arrays(a, b) for a, b in zip(pdf["q_ids"], pdf["q"])]
+    homes, bound = np.concatenate([np.frombuffer(h, np.int64) for h in pdf["homes"]]), np.concatenate([np.frombuffer(b) for b in pdf["bound"]])
+    own = _block(homes, np.concatenate([i for i, _ in parts]), np.concatenate([x for _, x in parts]), bound)
+    return pd.DataFrame({"cells": [int(pdf["cells"].iloc[0])], "piece": [int(pdf["piece"].iloc[0])], **own})
+
+
+def _visit(k: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = pdf[pdf["role"] == 0].iloc[0]
+        q_ids, q = _arrays(block["q_ids"], block["q"])
+        homes, found = np.frombuffer(block["homes"], np.int64), [Best(k, b) for b in np.frombuffer(block["bound"])]
+        middle = (q.min(axis=0) + q.max(axis=0)) / 2
+        shards = [(r, *_arrays(r["ids"], r["x"])) for r in pdf[pdf["role"] == 1].to_dict("records")]
+        for r, ids, x in sorted(shards, key=lambda s: (box_distance(middle, s[2].min(axis=0), s[2].max(axis=0)), s[0]["shard"])):
+            tree = build(x, ids)
+            for i in np.flatnonzero(homes != r["shard"]):
+                search(tree, q[i], q_ids[i], found[i])
+        return pd.DataFrame(_hits(q_ids, found), columns=["query_id", "neighbor_id", "d2"])
 
     return run
 
@@ -192,13 +222,14 @@ def usable(df: DataFrame, id_column: str, vector: str) -> DataFrame:
     return one.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def nearest(df: DataFrame, k: int = K, id_column: str = "vec_id", vector: str = "embedding", shard: int = SHARD, seed: int = 3) -> DataFrame:
-    """(query_id, neighbor_id, distance, rank): the k nearest others of every vector, by Euclidean distance, then id.
+def nearest(df: DataFrame, k: int = K, id_column: str = "vec_id", vector: str = "embedding", every: int = EVERY, shard: int = SHARD, seed: int = 3) -> DataFrame:
+    """(query_id, neighbor_id, distance, rank): the k nearest others of each query, by Euclidean distance, then id.
 
+    The queries are the vectors whose id is divisible by `every` (1: all); they are searched against all vectors.
     Left out are a null id and a null, empty or not finite vector; of rows that share an id the vector
     that sorts first counts. All vectors must then have one length. With k or fewer others all of them are
     returned; a single vector has none, and an empty table gives an empty table. Equal vectors are each
-    other's neighbours at distance 0. Only the shards' cuts come from a sample; they bear on speed alone.
+    other's neighbours at distance 0, and any number of them is split over shards. Other columns don't matter.
     """
     vectors = saved(usable(df, id_column, vector))
     facts = vectors.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b")).first()
@@ -210,20 +241,22 @@ def nearest(df: DataFrame, k: int = K, id_column: str = "vec_id", vector: str =
     tree = top_tree(np.stack(list(sample)), math.ceil(n / shard)) if len(sample) else []
     celled = vectors.mapInPandas(_assign(tree), "id long, v array<double>, cell long")
     sizes = celled.groupBy("cell").agg(F.count("*").alias("m"))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("m") / (2 * shard)))  # a cell with many more than its share, as of equal vectors
-    shards = celled.join(sizes, "cell").withColumn("shard", F.xxhash64("cell", F.pmod(F.xxhash64("id"), pieces)))
-    packed = saved(shards.select("id", "v", "shard").groupBy("shard").applyInPandas(_pack, "shard long, ids binary, x binary, low array<double>, high array<double>, n long"))
-    home = packed.groupBy("shard").applyInPandas(_home(k), "shard long, bound binary, found binary, distance binary, worst double")
-    whole = saved(packed.join(home, "shard"))
-    boxes = whole.select("shard", "low", "high", "worst")
-    gap = F.aggregate(F.arrays_zip("a_low", "a_high", "b_low", "b_high"), F.lit(0.0), lambda s, z: s + F.pow(F.greatest(F.lit(0.0), z["b_low"] - z["a_high"], z["a_low"] - z["b_high"]), 2))
-    named = lambda p: boxes.select(*[F.col(c).alias(f"{p}_{c}") for c in boxes.columns])
-    pairs = saved(named("a").crossJoin(named("b")).where(F.col("a_shard") != F.col("b_shard")).where(gap <= F.col("a_worst") * (1 + 1e-12) + _SLACK).select(F.col("a_shard").alias("a"), F.col("b_shard").alias("b")))
-    empty = F.lit(None).cast("binary")
-    left = pairs.join(whole, pairs["a"] == whole["shard"]).select("a", "b", F.lit(0).alias("role"), "ids", "x", "bound")
-    right = pairs.join(whole, pairs["b"] == whole["shard"]).select("a", "b", F.lit(1).alias("role"), "ids", "x", empty.alias("bound"))
-    away = left.union(right).groupBy("a", "b").applyInPandas(_visit(k), "query_id long, neighbor_id long, d2 double")
-    own = whole.select("ids", "found", "distance").mapInPandas(_own(k), "query_id long, neighbor_id long, d2 double")
+    split = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("m") / (2 * shard))))  # a cell with many more than its share, as of equal vectors
+    placed = celled.join(sizes, "cell").withColumn("piece", split).withColumn("shard", F.xxhash64("cell", "piece"))
+    packed = saved(placed.select("id", "v", "cell", "piece", "shard").groupBy("shard").applyInPandas(_pack, _PACKED))
+    per = max(1, _BLOCK * every // (2 * shard))
+    home = saved(packed.mapInPandas(_home(k, every, per), _HOMES))
+    merged = saved(home.drop("hits").groupBy("cells", "piece").applyInPandas(_merge, _BLOCKS).withColumn("block", F.xxhash64("cells", "piece")))
+    gap = F.aggregate(F.arrays_zip("a_low", "a_high", "low", "high"), F.lit(0.0), lambda s, z: s + F.pow(F.greatest(F.lit(0.0), z["low"] - z["a_high"], z["a_low"] - z["high"]), 2))
+    asking = merged.select("block", F.col("low").alias("a_low"), F.col("high").alias("a_high"), "worst")
+    groups = F.pmod(F.xxhash64("shard"), F.lit(max(1, math.ceil(n / shard / _VISITS))))
+    pairs = asking.join(packed.select("shard", "low", "high"), gap <= F.col("worst") * (1 + 1e-12) + _SLACK).select("block", "shard", groups.alias("visit"))
+    pairs = saved(pairs)
+    none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    left = pairs.select("block", "visit").distinct().join(merged, "block").select("block", "visit", F.lit(0).alias("role"), F.lit(0).cast("long").alias("shard"), "q_ids", "q", "homes", "bound", *none("ids", "x"))
+    right = pairs.join(packed, "shard").select("block", "visit", F.lit(1).alias("role"), "shard", *none("q_ids", "q", "homes", "bound"), "ids", "x")
+    away = left.union(right).groupBy("block", "visit").applyInPandas(_visit(k), "query_id long, neighbor_id long, d2 double")
+    own = home.select(F.explode("hits").alias("h")).select("h.*")
     order = Window.partitionBy("query_id").orderBy("d2", "neighbor_id")
     ranked = own.union(away).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "neighbor_id", F.round(F.sqrt("d2"), 6).alias("distance"), "rank")
@@ -233,6 +266,6 @@ SQL = f"""
 SELECT query_id, neighbor_id, round(sqrt(d2), 6) AS distance, rank::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, neighbor_id) AS rank FROM (
     SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS d2
-    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id))
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0))
 WHERE rank <= {K}
 """
