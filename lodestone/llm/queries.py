@@ -61,43 +61,48 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOUNDARIES = r"""regexp_replace(regexp_replace(replace(text, chr(1), chr(2)), '([.!?][ \t\r\n]+|\n)', '\1' || chr(1), 'g'), ' ([A-ZÀ-ÖØ-Þ])', ' ' || chr(1) || '\1', 'g')"""
+_WORDS = r"regexp_extract_all(lower({0}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
 OP5_SQL = rf"""
 WITH parts AS (
   SELECT doc_id, unnest(string_split({_BOUNDARIES}, chr(1))) AS part, generate_subscripts(string_split({_BOUNDARIES}, chr(1)), 1) AS i
   FROM documents WHERE text IS NOT NULL
 ), placed AS (
-  SELECT doc_id, i, part, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  SELECT doc_id, i, part, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, len({_WORDS.format("part")}) AS n
   FROM parts
 ), units AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, s, s + length(part) AS e,
-         trim(regexp_replace(lower(part), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) AS norm
-  FROM placed WHERE regexp_matches(part, '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]')
+  SELECT doc_id, s, s + length(part) AS e, sum(n) OVER d AS high, sum(n) OVER d - n AS low FROM placed WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), sized AS (
-  SELECT *, len(string_split(norm, ' ')) >= {units.LEAST} AS long FROM units
-), near AS (
-  SELECT *, min(CASE WHEN long THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt,
-            max(CASE WHEN long THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prv
-  FROM sized
-), lists AS (
-  SELECT doc_id, list(norm ORDER BY i) AS norms FROM near GROUP BY doc_id
+  SELECT doc_id, max(high) AS total, max(e) AS last FROM units GROUP BY doc_id
+), reach AS (
+  SELECT doc_id, s, low, min(low) OVER (PARTITION BY doc_id ORDER BY low RANGE BETWEEN {units.LEAST} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM units
+), paragraphs AS (
+  SELECT r.doc_id, r.s, r.low, coalesce(nxt, total) AS high FROM reach r JOIN sized USING (doc_id) WHERE coalesce(nxt, total) - r.low >= {units.LEAST}
+  UNION
+  SELECT u.doc_id, max(u.s), max(u.low), any_value(total) FROM units u JOIN sized USING (doc_id) WHERE low + {units.LEAST} <= total OR (total < {units.LEAST} AND low = 0) GROUP BY u.doc_id
+), words AS (
+  SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL
 ), keys AS (
-  SELECT doc_id, s, e, '1' || norm AS k FROM near WHERE long
-  UNION ALL
-  SELECT doc_id, s, e, '2' || array_to_string(norms[i:nxt], ' ') FROM near JOIN lists USING (doc_id) WHERE NOT long AND nxt IS NOT NULL
-  UNION ALL
-  SELECT doc_id, s, e, '3' || array_to_string(norms[prv:i], ' ') FROM near JOIN lists USING (doc_id) WHERE NOT long AND prv IS NOT NULL
+  SELECT p.doc_id, p.s, u.e, array_to_string(w[low + 1 : p.high], ' ') AS k FROM paragraphs p JOIN words USING (doc_id) JOIN (SELECT doc_id, high, e FROM units) u ON u.doc_id = p.doc_id AND u.high = p.high
+), first AS (
+  SELECT k, min(doc_id) AS d FROM keys GROUP BY k HAVING count(*) > 1
+), opened AS (
+  SELECT f.k, d, min(s) AS s, arg_min(e, s) AS e FROM first f JOIN keys ON keys.k = f.k AND doc_id = d GROUP BY ALL
 ), gone AS (
-  SELECT DISTINCT doc_id, s, e FROM (SELECT *, rank() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM keys) WHERE r > 1
+  SELECT DISTINCT doc_id, keys.s, keys.e FROM keys JOIN opened o ON o.k = keys.k WHERE doc_id > d OR keys.s >= o.e
+), met AS (
+  SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM gone
+), islands AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM met
+), spans AS (
+  SELECT doc_id, min(s) AS s, max(e) AS e FROM islands GROUP BY doc_id, island
+), removed AS (
+  SELECT doc_id, count(*) AS n, string_agg(s::BIGINT::VARCHAR || '-' || e::BIGINT::VARCHAR, ',' ORDER BY s) AS removed_at FROM spans GROUP BY doc_id
 ), left_over AS (
-  SELECT p.doc_id, p.i, p.part, p.s, g.e FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.s = g.s AND g.e = p.s + length(p.part)
-), cut AS (
-  SELECT doc_id, string_agg(CASE WHEN e IS NULL THEN part ELSE '' END, '' ORDER BY i) AS kept, count(e) AS n,
-         coalesce(string_agg(CASE WHEN e IS NOT NULL THEN s::BIGINT::VARCHAR || '-' || e::BIGINT::VARCHAR END, ',' ORDER BY s), '') AS removed_at
-  FROM left_over GROUP BY doc_id
+  SELECT p.doc_id, string_agg(part, '' ORDER BY i) AS kept FROM placed p LEFT JOIN spans g ON p.doc_id = g.doc_id AND p.s >= g.s AND p.s < g.e WHERE g.e IS NULL AND length(part) > 0 GROUP BY p.doc_id
 )
-SELECT d.doc_id, CASE WHEN coalesce(n, 0) = 0 THEN d.text ELSE kept END AS text, coalesce(n, 0)::INTEGER AS n_removed, coalesce(removed_at, '') AS removed_at
-FROM documents d LEFT JOIN cut USING (doc_id)
+SELECT d.doc_id, CASE WHEN n IS NULL THEN d.text ELSE coalesce(kept, '') END AS text, coalesce(n, 0)::INTEGER AS n_removed, coalesce(removed_at, '') AS removed_at
+FROM documents d LEFT JOIN removed USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
 
 
