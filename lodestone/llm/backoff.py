@@ -4,11 +4,13 @@ S(w | context) is count(context w) / count(context) where the corpus holds the n
 times, else alpha times the score under the context shortened by a word; a word seen less often than
 that has 1/N. Counts cover all documents.
 
-The n-gram count tables are partitioned by n-gram hash. Documents are gathered in chunks; a chunk sends each
-partition the distinct n-grams it holds with their counts in it, as one sorted column (a row of bytes, not
-a row for each n-gram); the partition sums the counts over chunks, which is the count table, and joins
-it back to every chunk's column; the chunk then scores its documents' n-grams and sums per document.
-Hot n-grams are combined within a chunk first, so none can make a partition large.
+The n-gram count tables are partitioned by 64-bit n-gram hash, and n-grams travel in columns: a row is not one
+n-gram but those that a chunk of documents and a partition have in common. A chunk explodes its documents'
+n-grams, combines equal ones and sends each partition its distinct ones with their counts, as one sorted and
+compressed column; the partition sums the counts over chunks, which is its share of the count table,
+and joins it back to every chunk's column; the chunk then joins the counts to its documents' n-grams and sums
+per document. Hot n-grams are combined within a chunk first, so none can make a partition large. Rows are
+at most chunks times partitions, and never more than the distinct n-grams of the chunks, as none is empty.
 """
 
 from __future__ import annotations
@@ -26,29 +28,32 @@ ORDER = 3
 ALPHA = 0.4
 LEAST = 2
 _CHUNK_CHARS = 8 << 20
+_PART_CHUNKS = 4  # chunks' worth of n-grams in a partition
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Byte planes of differences (of sorted values), which shuffle compression takes well."""
-    return np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+def _squeezed(values: np.ndarray) -> bytes:
+    """Byte planes of 64-bit values, compressed, after their number: planes of zeros vanish."""
+    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel())
+def _expanded(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd"), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
 
-def _pack_counts(values: np.ndarray) -> bytes:
-    """Byte planes, after a byte that says how many: four, or eight where a count needs them."""
-    wide = 8 if len(values) and values.max() >= 2**32 else 4
-    return bytes([wide]) + np.ascontiguousarray(values.astype(f"u{wide}").view(np.uint8).reshape(-1, wide).T).tobytes()
+def _pack(values: np.ndarray) -> bytes:
+    """Sorted values, by their differences."""
+    return _squeezed(np.diff(values, prepend=np.uint64(0)))
 
 
-def _unpack_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1).T).view(f"u{data[0]}").ravel()
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(_expanded(data), dtype=np.uint64)
 
 
-def _grams(text: pa.ChunkedArray, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """n-gram hashes of every order at every word (of its last word), positions in the text, and text lengths."""
+def _grams(text: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """64-bit n-gram hashes of every order at every word (its last word), positions in the text, and text lengths."""
     found, lengths = [], []
     for part in text.chunks:
         for at, to in slices(part):
@@ -58,29 +63,29 @@ def _grams(text: pa.ChunkedArray, order: int, bits: int) -> tuple[list[np.ndarra
     words = np.concatenate(found) if found else np.zeros(0, np.uint64)
     lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
     place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    full, out, shift = words, [], np.uint64(64 - bits)
+    full, out = words, []
     for n in range(1, order + 1):
         if n > 1:
             with np.errstate(over="ignore"):
                 full = mix(np.concatenate([full[:1], full[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + words)
-        out.append(full >> shift)
+        out.append(full)
     return out, place, lengths
 
 
-def _bounds(parts: int, bits: int) -> np.ndarray:
-    return np.array([(p << bits) // parts for p in range(1, parts)], np.uint64)
+def _bounds(parts: int) -> np.ndarray:
+    return np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
 
 
-def _ask(order: int, bits: int, parts: int):
-    bounds = _bounds(parts, bits)
+def _ask(order: int, parts: int):
+    bounds = _bounds(parts)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        grams, place, _ = _grams(table["text"], order, bits)
+        grams, place, _ = _grams(table["text"], order)
         rows = [(0, 0, b"", np.array([len(place)], np.int64).tobytes())]
         for n, g in enumerate(grams, 1):
             keys, counts = np.unique(g[place >= n - 1], return_counts=True)
             cuts = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
-            rows += [(p, n, _pack(keys[a:b]), _pack_counts(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            rows += [(p, n, _pack(keys[a:b]), _squeezed(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         part, orders, keys, counts = zip(*rows)
         return pa.table({"part": pa.array(part, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int32()), "n": pa.array(orders, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
@@ -100,25 +105,25 @@ def _answer(least: int):
                 continue
             columns = [_unpack(keys[i]) for i in own]
             known, code = np.unique(np.concatenate(columns), return_inverse=True)
-            sums = np.bincount(code, weights=np.concatenate([_unpack_counts(counts[i]) for i in own]), minlength=len(known))
+            sums = np.bincount(code, weights=np.concatenate([_expanded(counts[i]) for i in own]), minlength=len(known)).astype(np.uint64)
             sums = np.where(sums >= least, sums, 0)
             ends = np.cumsum([len(c) for c in columns])
-            out += [(int(chunk[i]), int(order), key[0].as_py(), _pack_counts(sums[code[e - len(c) : e]])) for i, c, e in zip(own, columns, ends)]
+            out += [(int(chunk[i]), int(order), key[0].as_py(), _squeezed(sums[code[e - len(c) : e]])) for i, c, e in zip(own, columns, ends)]
         chunk, n, part, counts = zip(*out)
         return pa.table({"chunk": pa.array(chunk, pa.int32()), "n": pa.array(n, pa.int32()), "part": pa.array(part, pa.int32()), "counts": pa.array(counts, pa.binary())})
 
     return run
 
 
-def _score(order: int, bits: int, alpha: float):
+def _score(order: int, alpha: float):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, place, lengths = _grams(docs["text"], order, bits)
+        grams, place, lengths = _grams(docs["text"], order)
         n, part, got = answers["n"].to_numpy(), answers["part"].to_numpy(), answers["counts"].to_pylist()
         total = int(np.frombuffer(got[int(np.flatnonzero(n == 0)[0])], np.int64)[0])
         counts = []
         for k, g in enumerate(grams, 1):
             own = np.flatnonzero(n == k)
-            sums = np.concatenate([np.zeros(0, np.uint32), *(_unpack_counts(got[i]) for i in own[np.argsort(part[own])])])
+            sums = np.concatenate([np.zeros(0, np.uint64), *(_expanded(got[i]) for i in own[np.argsort(part[own])])])
             here = np.zeros(len(place), np.float64)
             valid = place >= k - 1
             here[valid] = sums[np.unique(g[valid], return_inverse=True)[1]]
@@ -129,7 +134,8 @@ def _score(order: int, bits: int, alpha: float):
         for k in range(2, order + 1):
             seen = counts[k - 1] > 0
             context = np.concatenate([counts[k - 2][:1], counts[k - 2][:-1]])
-            value[seen] = np.log(counts[k - 1][seen] / context[seen])
+            # a context holds every n-gram that it begins; the greatest keeps this so should hashes meet
+            value[seen] = np.log(counts[k - 1][seen] / np.maximum(context, counts[k - 1])[seen])
             level[seen] = k
         value += (possible - level) * math.log(alpha)
         row = np.repeat(np.arange(len(lengths)), lengths)
@@ -147,17 +153,17 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
     log_score sums the natural logs of the words' scores, backed_off counts words scored under a shortened
     context. A null, empty or wordless text has no tokens, log_score 0 and a null mean. Every row counts
     towards the corpus, repeated rows too, and has a row in the result, also with a null doc_id. Other
-    columns don't matter; an empty table gives an empty table. n-grams don't cross texts. Hashes are
-    as long as leaves about one n-gram in a million sharing one with another.
+    columns don't matter; an empty table gives an empty table. n-grams don't cross texts; very long texts count whole.
+    Should two n-grams share a 64-bit hash, a context counts at least as much as what it begins.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     chunks = max(1, math.ceil(chars / _CHUNK_CHARS))
-    bits = min(64, max(1, int(chars)).bit_length() + 20)
-    placed = texts.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(chunks)).cast("int"))
-    asked = placed.groupBy("chunk").applyInArrow(_ask(order, bits, chunks), "part int, chunk int, n int, keys binary, counts binary")
+    parts = math.ceil(chunks / _PART_CHUNKS)
+    placed = texts.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")), F.lit(chunks)).cast("int")).repartition(2 * chunks, "chunk")
+    asked = placed.groupBy("chunk").applyInArrow(_ask(order, parts), "part int, chunk int, n int, keys binary, counts binary").repartition(2 * parts, "part")
     answers = asked.groupBy("part").applyInArrow(_answer(least), "chunk int, n int, part int, counts binary")
-    return placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, bits, alpha), "doc_id long, tokens long, log_score double, mean_log_score double, backed_off long")
+    return placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, alpha), "doc_id long, tokens long, log_score double, mean_log_score double, backed_off long")
 
 
 SQL = r"""
