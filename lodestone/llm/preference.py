@@ -41,6 +41,10 @@ def pairs_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     Chosen is the conversation up to its last assistant turn. Rejected is the same with another last reply:
     the conversation's first assistant text, which answers another question; where that is the last reply
     itself, or equals it, the text of the turn before (an echo), or the empty text if it opens.
+    Rows with a null conv_id or turn are ignored, a null role or text counts as empty, repeated rows count once, and of
+    different rows with the same turn that with the smaller role, then text, comes first. A conversation without an
+    assistant turn has no row in either table; an empty table gives empty tables; extra columns don't matter, and texts
+    of any length are kept whole.
     """
     gathered = _gathered(conversations, "turns")
     n = F.size("turns")

@@ -2,11 +2,13 @@
 
 import itertools
 import math
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import backoff, common, htmlpaths, kdtree, mixing, pieces, planes, preference, queries, simhash, toxicity, units
 
@@ -97,6 +99,93 @@ def test_encoded_awkward(spark):
 # 2
 
 
+def naive_maxima(model, words):
+    """Each filter's maximum and place, one window at a time."""
+    pairs = toxicity.buckets(np.array(words, np.uint64)).T.tolist() + [[0, 0]] * toxicity._PAD
+    x = [model.tables[0][a] + model.tables[1][b] for a, b in pairs]
+    out, at = [], 0
+    for w in toxicity._WIDTHS:
+        for f in range(toxicity._FILTERS):
+            column = [model.filters[:, at + j * toxicity._FILTERS + f] for j in range(w)]
+            values = [float(sum(x[i + j] @ column[j] for j in range(w))) for i in range(len(words))]
+            out.append((max(values), int(np.argmax(values))))
+        at += w * toxicity._FILTERS
+    return out
+
+
+def naive_score(model, words):
+    if not words:
+        return 1 / (1 + math.exp(-model.shift))
+    hidden = [max(0.0, m + b) for (m, _), b in zip(naive_maxima(model, words), model.bias)]
+    return 1 / (1 + math.exp(-(sum(h * o for h, o in zip(hidden, model.out)) + model.shift)))
+
+
+def random_model(seed):
+    draw = np.random.default_rng(seed)
+    columns, n = sum(toxicity._WIDTHS) * toxicity._FILTERS, len(toxicity._WIDTHS) * toxicity._FILTERS
+    tables = draw.standard_normal((2, toxicity._BUCKETS, toxicity._DIM)).astype(np.float32)
+    tables[:, 0] = 0
+    return toxicity.Model(tables, draw.standard_normal((toxicity._DIM, columns)).astype(np.float32) * 0.3, draw.standard_normal(n).astype(np.float32), draw.standard_normal(n).astype(np.float32) * 0.1, 0.2)
+
+
+def test_toxicity_score_equals_naive_convolution():
+    draw, model = np.random.default_rng(14), random_model(15)
+    texts = [draw.integers(0, 2**64, n, dtype=np.uint64) for n in (1, 2, 3, 0, 40, 7, 0)]
+    got = toxicity.score(model, np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    assert got == pytest.approx([naive_score(model, t.tolist()) for t in texts], abs=1e-5)
+    some = [t for t in texts if len(t)]
+    pairs, starts, n = toxicity._padded(np.concatenate(some), np.cumsum([0, *map(len, some)]))
+    best, where = toxicity._pooled(toxicity._responses(model.tables[0][pairs[0]] + model.tables[1][pairs[1]], model.filters), starts, starts + n)
+    for i, t in enumerate(some):
+        want = naive_maxima(model, t.tolist())
+        assert best[i] == pytest.approx([m for m, _ in want], abs=1e-4) and (where[i] - starts[i]).tolist() == [at for _, at in want]
+
+
+def test_training_step_follows_the_gradient(monkeypatch):
+    """One batch of Adagrad from a known start moves every weight against the loss's difference quotient."""
+    draw = np.random.default_rng(18)
+    texts = [draw.integers(0, 2**64, n, dtype=np.uint64) for n in (9, 4, 6, 1, 12)]
+    labels_ = np.array([1, 0, 1, 0, 1], np.float32)
+    start = toxicity.train(texts, labels_, epochs=0)
+    after = toxicity.train(texts, labels_, epochs=1)
+
+    def loss(model):
+        s = [naive_score(model, t.tolist()) for t in texts]
+        return -np.mean([math.log(p) if y else math.log(1 - p) for p, y in zip(s, labels_)])
+
+    for name, tried in (("filters", [(3, 5), (0, 20), (7, 60)]), ("bias", [(2,), (20,)]), ("out", [(1,), (30,)])):
+        for at in tried:
+            value = getattr(start, name)
+            held, step = value[at], 1e-2
+            value[at] = held + step
+            up = loss(start)
+            value[at] = held - step
+            down = loss(start)
+            value[at] = held
+            slope = (up - down) / (2 * step)
+            moved = float(getattr(after, name)[at] - held)
+            want = -0.05 * slope / math.sqrt(1e-2 + slope**2)
+            assert moved == pytest.approx(want, abs=2e-3)
+    assert loss(after) < loss(start)
+
+
+def test_best_threshold_equals_scan():
+    draw = np.random.default_rng(20)
+    for _ in range(20):
+        s, y = np.round(draw.random(40), 1), (draw.random(40) < 0.4).astype(float)
+        y[0] = 1
+        f1 = lambda cut: 2 * y[s >= cut].sum() / ((s >= cut).sum() + y.sum())
+        assert f1(toxicity.best_threshold(s, y)) == pytest.approx(max(f1(c) for c in [*s, *(s - 0.05)]))
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 50, "word " * 100 + str(i), "en", "s", 0) for i in range(5000)], DOCS)
+    known = labels(spark, [(i % 50, 1, i % 2) for i in range(200)])
+    assert toxicity.sample(docs, known).count() == 50  # one row for each doc_id, however often it occurs
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 10 * 505)
+    assert 1 <= toxicity.sample(docs, known).count() <= 25
+
+
 def test_toxicity_held_out(spark):
     draw = np.random.default_rng(1)
     words = [f"w{i}" for i in range(400)]
@@ -133,21 +222,41 @@ def test_topk_brute_force_with_ties(spark):
     x = np.concatenate([draw.integers(0, 4, (300, 5)), np.zeros((40, 5), int)]).astype(float)
     df = spark.createDataFrame([(i, [float(a) for a in v], "z") for i, v in enumerate(x)], "vec_id long, embedding array<float>, shard string")
     got = {}
-    for r in kdtree.nearest(df, k=4, shard=32).collect():
+    for r in kdtree.nearest(df, k=4, every=1, shard=32).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["neighbor_id"], r["distance"]))
+    asked = {r["query_id"] for r in kdtree.nearest(df, k=4, every=7, shard=32).collect()}
+    assert asked == set(range(0, len(x), 7))
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     for i in range(len(x)):
         want = sorted((d[i, j], j) for j in range(len(x)) if j != i)[:4]
         assert [(j, round(math.sqrt(s), 6)) for s, j in want] == [(j, s) for _, j, s in sorted(got[i])]
 
 
+def test_tree_prunes_and_stays_exact():
+    draw = np.random.default_rng(12)
+    x = np.concatenate([c + 0.01 * draw.standard_normal((256, 8)) for c in draw.standard_normal((16, 8))])
+    tree = kdtree.build(x, np.arange(len(x)), leaf=32)
+    inner = tree.children[:, 0] >= 0
+    for node in np.flatnonzero(~inner):
+        a, b = tree.rows[node]
+        assert np.array_equal(tree.low[node], tree.x[a:b].min(axis=0)) and np.array_equal(tree.high[node], tree.x[a:b].max(axis=0))
+    for i in range(0, len(x), 97):
+        best = kdtree.Best(5)
+        assert kdtree.search(tree, x[i], i, best) <= 12  # of 128 leaves
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert sorted(best.ids) == sorted(np.argsort(d)[:5])
+        known = kdtree.Best(5, best.kth())
+        assert kdtree.search(tree, x[i], i, known) <= 12 and np.array_equal(known.ids, best.ids)
+
+
 def test_topk_awkward(spark):
     schema = "vec_id long, embedding array<float>, id string, v int"
     bad = [(None, [1.0, 2.0]), (5, None), (6, []), (7, [float("nan"), 1.0]), (8, [None, 1.0])]
     good = [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [3.0, 4.0])]
-    got = kdtree.nearest(spark.createDataFrame([(*r, "x", 1) for r in bad + good], schema)).collect()
+    got = kdtree.nearest(spark.createDataFrame([(*r, "x", 1) for r in bad + good], schema), every=1).collect()
     assert sorted((r["query_id"], r["neighbor_id"], r["distance"]) for r in got) == [(1, 2, 5.0), (2, 1, 5.0)]
-    assert kdtree.nearest(spark.createDataFrame([(1, [1.0], "x", 1)], schema)).count() == 0
+    assert kdtree.nearest(spark.createDataFrame([(1, [1.0], "x", 1)], schema), every=1).count() == 0
     assert kdtree.nearest(spark.createDataFrame([], schema)).count() == 0
 
 
@@ -189,7 +298,7 @@ def test_pigeonring_budgets_lose_no_chain():
     near = flip.sum(1) <= simhash.MOST
     hit = np.zeros(200, bool)
     for s in range(32):
-        hit[simhash.chain(values, a, b, s, simhash.MOST)] = True
+        hit[simhash.chain(values[:, :32], a, b, simhash.MOST, s)] = True
     assert np.array_equal(hit, near)  # some start keeps all budgets exactly for the near pairs
 
 
@@ -209,8 +318,8 @@ def test_simhash_pairs_meet_at_every_size(n, distance):
         value = out.column("value").to_numpy()
         same = np.flatnonzero(value[:1000] == value[1000:])
         # the group in which this segment's pairs meet
-        group = pa.Table.from_batches([out.take(pa.array(np.concatenate([same, same + 1000])))]).to_pandas()
-        found = simhash._meet(simhash.MOST)(group)
+        group = pa.Table.from_batches([out.take(pa.array(np.concatenate([same, same + 1000])))])
+        found = simhash._meet(simhash.MOST)(group).to_pandas()
         met[found["b"][found["a"] == found["b"] + 1000]] = True
     assert met.mean() >= 0.9
 
@@ -235,13 +344,26 @@ def test_components(spark):
 
 
 def test_passage_is_removed_whole(spark):
-    passage = "A first sentence of the shared passage stands here for all. Yes it does. Then comes another rather long sentence that is shared too."
-    docs = spark.createDataFrame([(2, f"Own start of the second text goes like this.\n{passage}\nOwn end of the second text.", "", "", 0), (1, f"{passage}\nThe rest of the first one is its own.", "", "", 0), (3, "Nothing in here is shared with any other text.", "", "", 0)], DOCS)
-    got = {r["doc_id"]: r for r in units.drop_repeats(docs).collect()}
+    draw = np.random.default_rng(16)
+    sentence = lambda n: " ".join(f"w{i}" for i in draw.integers(0, 10**9, n)).capitalize() + "."
+    passage = " ".join(sentence(n) for n in (9, 4, 12, 7, 11, 10))
+    own = [sentence(40) for _ in range(4)]
+    texts = [(2, f"{own[0]}\n{passage}\n{own[1]}"), (1, f"{passage}\n{own[2]}"), (3, own[3]), (4, f"glued words {passage} {own[3]}")]
+    got = {r["doc_id"]: r for r in units.drop_repeats(spark.createDataFrame([(*t, "", "", 0) for t in texts], DOCS)).collect()}
     assert got[1]["removed"] == [] and got[3]["removed"] == []
-    assert got[2]["text"] == "Own start of the second text goes like this.\nOwn end of the second text."
-    text = f"Own start of the second text goes like this.\n{passage}\nOwn end of the second text."
-    assert "".join(text[s["start"] : s["end"]] for s in got[2]["removed"]).strip() == passage
+    assert got[2]["text"] == f"{own[0]}\n{own[1]}" and got[4]["text"] == "glued words "
+    for i, t in texts:
+        spans = [(s["start"], s["end"]) for s in got[i]["removed"]]
+        kept = [t[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(t)])]
+        assert "".join(kept) == got[i]["text"] and all(e < s for (_, e), (s, _) in zip(spans, spans[1:]))
+
+
+def test_short_common_lines_stay(spark):
+    draw = np.random.default_rng(17)
+    words = lambda n: " ".join(f"w{i}" for i in draw.integers(0, 10**9, n))
+    texts = [(i, f"{words(40)}\nAll rights of this page are reserved by its owner.\n{words(30)}") for i in range(40)]
+    got = units.drop_repeats(spark.createDataFrame([(*t, "", "", 0) for t in texts], DOCS))
+    assert got.where("size(removed) > 0").count() == 0
 
 
 def test_passages_of_short_units_are_removed(spark):
@@ -250,18 +372,42 @@ def test_passages_of_short_units_are_removed(spark):
     capitals = " ".join(words(155)).upper()
     lines = "\n".join(" ".join(words(5)) for _ in range(10)) + "\n"
     own = [" ".join(words(5)) + "\n" for _ in range(4)]
-    period = "Buy Now " * 20
+    period = "Buy Now " * 40
     texts = [(1, capitals), (2, own[0] + lines + own[1]), (3, capitals), (4, own[2] + lines + own[3]), (5, "Tiny Text"), (6, "tiny text!"), (7, "tiny"), (8, period), (9, period)]
     got = {r["doc_id"]: r["text"] for r in units.drop_repeats(spark.createDataFrame([(*t, "", "", 0) for t in texts], DOCS)).collect()}
     assert got[1] == capitals and got[3] == "" and got[2] == own[0] + lines + own[1] and got[4] == own[2] + own[3]
     assert got[5] == "Tiny Text" and got[6] == "" and got[7] == "tiny"
-    assert got[8].split() == ["Buy", "Now"] * 3 and got[9] == ""  # the occurrence that stays stays whole
+    assert got[8].split() == ["Buy", "Now"] * 13 and got[9] == ""  # the occurrences that stay, one word apart, stay whole
+
+
+def test_planted_passages_go_and_clean_documents_stay(spark):
+    """Passages of 50 words and more that documents share, against documents that share and repeat none, by plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: len(r["removed"]) for r in units.drop_repeats(docs).collect()}
+    first, later, shared = {}, set(), set()
+    short = Counter()
+    texts = {r["doc_id"]: __import__("re").findall(r"[0-9a-z\x80-\U0010ffff]+", (r["text"] or "").lower()) for r in docs.collect()}
+    for i in sorted(texts):
+        w = texts[i]
+        short[tuple(w)] += 1
+        for at in range(len(w) - 49):
+            seen = first.setdefault(tuple(w[at : at + 50]), i)
+            if seen != i:
+                later.add(i)
+                shared |= {i, seen}
+        own = {}
+        if any(at - own.setdefault(tuple(w[at : at + 25]), at) >= 25 for at in range(len(w) - 24)):
+            shared.add(i)  # repeats itself
+    clean = [i for i in texts if i not in shared and short[tuple(texts[i])] == 1]
+    assert len(later) > 50 and np.mean([got[i] > 0 for i in later]) >= 0.95
+    assert len(clean) > 300 and np.mean([got[i] == 0 for i in clean]) >= 0.95
 
 
 def test_units_awkward(spark):
     docs = awkward(spark)
     got = units.drop_repeats(docs)
     assert got.count() == 11 and got.columns == [*[c for c in docs.columns if c != "removed"], "removed"]
+    assert units.drop_repeats(docs.drop("removed").withColumn("Removed", F.lit(1))).columns[-1] == "removed"
     by = {}
     for r in got.select("doc_id", "text", "removed").collect():
         by.setdefault(r["doc_id"], []).append((r["text"], len(r["removed"])))
@@ -297,6 +443,13 @@ def test_backoff_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == pytest.approx(brute_scores(texts), abs=0.002)
 
 
+def test_backoff_is_finite_and_equals_sql_at_a_larger_size(spark):
+    folder = "/root/testdata/sf0.1"
+    got = backoff.scores(spark.read.parquet(f"{folder}/documents.parquet"))
+    assert got.where("isnan(log_score) OR abs(log_score) = double('Infinity')").count() == 0
+    assert rows(got) == sql_rows(backoff.SQL, folder)
+
+
 def test_backoff_awkward(spark):
     got = backoff.scores(awkward(spark)).collect()
     assert len(got) == 11
@@ -322,6 +475,22 @@ def test_preference_awkward(spark):
     assert preference.formatted(chosen.limit(0), rejected).count() == 0
 
 
+def test_preference_pairs_of_awkward_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, turns string, _last int, t string"
+    made = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 2, "user", "again"), (1, 3, "assistant", "b"), (1, 4, "user", "unanswered"), (2, 0, "user", "alone"), (3, 0, "assistant", None), (4, 0, "user", "echo me"), (4, 1, "assistant", "only"), (None, 0, "assistant", "x"), (5, None, "assistant", "x"), (6, 0, None, None), (6, 1, "assistant", LONG)]
+    chosen, rejected = preference.pairs_of(spark.createDataFrame([(*r, "x", 1, "y") for r in made], schema))
+    turns = lambda df: {i: [(r["turn"], r["role"], r["text"]) for r in sorted(df.where(f"conv_id = {i}").collect(), key=lambda r: r["turn"])] for i in (1, 2, 3, 4, 5, 6)}
+    good, bad = turns(chosen), turns(rejected)
+    assert good[1] == [(0, "user", "q"), (1, "assistant", "a"), (2, "user", "again"), (3, "assistant", "b")] and bad[1] == [*good[1][:3], (3, "assistant", "a")]
+    assert good[2] == bad[2] == good[5] == [] and good[3] == bad[3] == [(0, "assistant", "")]
+    assert bad[4] == [(0, "user", "echo me"), (1, "assistant", "echo me")]
+    assert good[6] == [(0, "", ""), (1, "assistant", LONG)] and bad[6] == [(0, "", ""), (1, "assistant", "")]
+    got = {r["conv_id"]: r for r in preference.formatted(chosen, rejected).collect()}
+    assert set(got) == {1, 3, 4, 6} and got[6]["chosen"] == f"<|assistant|>\n{LONG}<|end|>\n" and got[6]["chosen_mask"] == f"14-{14 + len(LONG) + 8}"
+    empty = preference.pairs_of(spark.createDataFrame([], schema))
+    assert empty[0].count() == empty[1].count() == preference.formatted(*empty).count() == 0
+
+
 # 8
 
 
@@ -339,6 +508,33 @@ def test_planes_recall(spark):
     assert all(low[i] == low[g] for i, g in got.items())
 
 
+def test_rounded_vectors_bound_every_cosine():
+    draw = np.random.default_rng(22)
+    x = draw.standard_normal((300, 24))
+    x[150:] = x[:150] + 0.3 * draw.standard_normal((150, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    batch = pa.record_batch({"id": pa.array(np.arange(300)), "v": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    out = next(planes._codes(4, 1, 1, 7)(iter([batch])))
+    small = np.frombuffer(b"".join(out["v"].to_pylist()), np.int8).reshape(300, -1)
+    exact, sure_n, open_n = x @ x.T, 0, 0
+    for threshold in (0.5, 0.9, 0.95):
+        sure, maybe = planes.bounded(small, out["scale"].to_numpy(), out["error"].to_numpy(), threshold, 0, 300)
+        assert not (sure & (exact < threshold)).any() and not (~maybe & (exact >= threshold)).any()
+        sure_n, open_n = sure_n + sure.sum(), open_n + (maybe & ~sure).sum()
+    assert open_n < 0.2 * sure_n
+
+
+def test_planes_verify_pairs_that_rounding_leaves_open(spark):
+    draw = np.random.default_rng(23)
+    x = np.linalg.qr(draw.standard_normal((64, 64)))[0]
+    made = []
+    for i in range(0, 60, 2):  # pairs just at either side of the threshold
+        c = planes.THRESHOLD + (1e-4 if i % 4 else -1e-4)
+        made += [x[i], c * x[i] + math.sqrt(1 - c * c) * x[i + 1]]
+    got = {r["id"]: r["group_id"] for r in planes.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "vec_id long, embedding array<double>"), recall=0.99999).collect()}
+    assert all((got[i] == got[i + 1]) == (i % 4 == 2) for i in range(0, 60, 2))
+
+
 def test_planes_awkward(spark):
     schema = "vec_id long, embedding array<float>, id string, v int, group_id string"
     made = [(None, [1.0, 2.0]), (5, None), (6, []), (7, [float("nan"), 1.0]), (8, [0.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0])]
@@ -352,10 +548,10 @@ def test_planes_awkward(spark):
 
 def test_backoff_counts_beyond_32_bits():
     column = lambda v, kind: pa.array(v, kind)
-    keys, counts = backoff._pack(np.array([5, 9], np.uint64)), backoff._pack_counts(np.array([3 * 10**9, 7]))
+    keys, counts = backoff._pack(np.array([5, 9], np.uint64)), backoff._squeezed(np.array([3 * 10**9, 7]))
     asked = pa.table({"part": column([0, 0], pa.int32()), "chunk": column([1, 2], pa.int32()), "n": column([1, 1], pa.int32()), "keys": column([keys] * 2, pa.binary()), "counts": column([counts] * 2, pa.binary())})
     for r in backoff._answer(2)((pa.scalar(0),), asked)["counts"].to_pylist():
-        assert backoff._unpack_counts(r).tolist() == [6 * 10**9, 14]
+        assert backoff._expanded(r).tolist() == [6 * 10**9, 14]
 
 
 def test_consensus_overrules_a_page(spark):
@@ -399,6 +595,80 @@ def test_html_brute_force(spark):
         assert not r["agreed"] or r["text"] == "\n".join(text)
 
 
+def test_reading_a_page_is_linear():
+    def took(page):
+        begun = time.process_time()
+        found = htmlpaths.containers(page)
+        for c in found:
+            c.score(), c.path
+        return time.process_time() - begun, found
+
+    for make in (lambda n: "<a " * n, lambda n: "<div class='abcdefgh'>x" * n, lambda n: "<!x " * n, lambda n: "<div>" * n + "</section>" * n, lambda n: '<a b="' * n, lambda n: "<script " * n, lambda n: "<p class" + " " * n, lambda n: "<!-- " * n):
+        small, large = took(make(5_000))[0], took(make(50_000))[0]
+        assert large < 40 * max(small, 0.02)
+    deep = took("<div class='abcdefgh'>x" * 50_000)[1]
+    assert len(deep) == 50_001 and max(len(c.path) for c in deep[::1000]) < htmlpaths.DEEP * (htmlpaths.LONG + 1) + 20
+    assert deep[10].path == ">".join(["div.abcdefgh"] * 10) and deep[300].path != deep[301].path
+    wide = took("<div class='" + "c" * 5000 + "'>x")[1]
+    assert len(wide[1].path) < 30
+
+
+def test_consensus_on_a_megabyte_page(spark):
+    deep = "<div class='abcdefgh'>x" * 50_000
+    made = [(1, "http://x.y/", deep), (2, "http://x.y/", "<a " * 350_000), (3, "http://x.y/", "<p>" + "some text " * 100_000)]
+    got = {r["page_id"]: r["text"] for r in htmlpaths.extracted(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert len(got) == 3 and len(got[3]) == 999_999
+
+
+def test_pages_without_a_winning_path_use_their_best(spark):
+    main = "<article class=main>" + "<p>Words of the main text of a page.</p>" * 9 + "</article>"
+    odd = "<div class=a>short</div><div class=b>Here is what the odd page has to say, at some length.</div>"
+    made = [(i, "http://x.y/", main) for i in range(5)] + [(9, "http://x.y/", odd)]
+    got = {r["page_id"]: r for r in htmlpaths.extracted(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert (got[9]["agreed"], got[9]["path"], got[9]["text"]) == (False, "div.b", "Here is what the odd page has to say, at some length.")
+
+
+def test_containers_equal_the_standard_parser(spark):
+    """Paths and text of well-formed pages against the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.size, self.skip = [], Counter(), 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style", "noscript", "template", "title"):
+                self.skip += 1
+            elif tag in htmlpaths._CONTAINERS:
+                names = sorted({__import__("re").sub(r"\d+", "#", c.lower()) for c in (dict(attrs).get("class") or "").split()})
+                self.stack.append(".".join([tag, *names]))
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style", "noscript", "template", "title"):
+                self.skip -= 1
+            elif tag in htmlpaths._CONTAINERS:
+                self.stack.pop()
+
+        def handle_data(self, data):
+            if not self.skip and data.strip():
+                self.size[">".join(self.stack)] += len(data.strip())
+
+    seen = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        reader = Reader()
+        try:
+            reader.feed(r["html"])
+        except IndexError:  # not well-formed
+            continue
+        own = Counter()
+        for c in htmlpaths.containers(r["html"]):
+            own[c.path] += sum(len(__import__("html").unescape(p).strip()) for p in c.parts if isinstance(p, str))
+        seen += 1
+        assert {k for k, n in own.items() if n} == set(reader.size)
+    assert seen > 20
+
+
 def test_html_awkward(spark):
     schema = "page_id long, url string, html string, host string, paths string, path string"
     made = [(1, None, "<p>a</p>"), (2, "nonsense", None), (3, "http://x.y/", ""), (None, "http://x.y/", "<div><div><b>open text"), (4, "http://x.y/", "</div></div><div>" * 500 + "deep"), (5, "http://x.y/", "<script>only()</script><!-- never closed")]
@@ -442,19 +712,45 @@ def test_mixing_copies_keep_small_rates(spark, monkeypatch):
 
 
 def test_solve_equals_dense_descent(spark):
+    """Far-off targets, which clip most rates: they are met, with the rates of a dense descent that runs till it ends."""
     draw = np.random.default_rng(9)
     p, t = draw.dirichlet([0.3, 0.3, 0.3], 200), draw.integers(1, 100, 200)
     frame = spark.createDataFrame([(i, int(t[i]), *map(float, p[i])) for i in range(200)], "doc_id long, tokens long, p0 double, p1 double, p2 double")
-    goal_share = np.array([0.9, 0.09, 0.01])
-    steps, goal, total = mixing.solve(frame, goal_share, rounds=60)
-    r, a = np.ones(200), (p * t[:, None]).T
-    for _ in steps:
-        r = np.maximum(0, r - p @ np.linalg.pinv(a @ p, rcond=1e-9) @ (a @ r - goal))
-    assert a @ r == pytest.approx(total, rel=1e-6)
-    # targets this far off clip most rates, and the descent is slow there; it must still go down
-    white = np.linalg.pinv(a @ p, rcond=1e-9)
-    left = [(x - goal) @ white @ (x - goal) for x in (a.sum(1), total)]
-    assert left[1] < 0.1 * left[0]
+    rated, goal, total = mixing.solve(frame, np.array([0.9, 0.09, 0.01]))
+    a = (p * t[:, None]).T
+    assert goal == pytest.approx(np.array([0.9, 0.09, 0.01]) * min(a.sum(1) / [0.9, 0.09, 0.01])) and total == pytest.approx(goal, rel=1e-3)
+    r = np.array([x["rate"] for x in rated.orderBy("doc_id").collect()])
+    assert (r >= 0).all() and a @ r == pytest.approx(total, rel=1e-9) and (r == 0).mean() > 0.3
+    dense, step = np.ones(200), 1.0
+    loss = lambda x: float((a @ x - goal) @ metric @ (a @ x - goal))
+    metric = np.linalg.pinv(a @ p, rcond=1e-12)
+    while np.abs(a @ dense - goal).max() > 1e-6 * goal.sum():
+        live = (dense > 0) * t
+        new = np.maximum(0, dense - step * p @ np.linalg.pinv((p * live[:, None]).T @ p, rcond=1e-12) @ (a @ dense - goal))
+        step, dense = (min(1.0, 2 * step), new) if loss(new) < loss(dense) * (1 - 1e-3 * step) else (step / 2, dense)
+    assert r == pytest.approx(dense, abs=1e-6)
+
+
+def test_solve_ends_where_targets_are_out_of_reach(spark):
+    frame = spark.createDataFrame([(i, 10, 0.6, 0.4) for i in range(50)], "doc_id long, tokens long, p0 double, p1 double")
+    rated, goal, total = mixing.solve(frame, np.array([0.1, 0.9]))
+    r = np.array([x["rate"] for x in rated.collect()])
+    a = np.array([6.0, 4.0])
+    assert r == pytest.approx(np.full(50, r[0])) and r[0] > 0 and total == pytest.approx(a * r.sum(), rel=1e-9) and abs(total - goal).max() > 1
+
+
+def test_domain_posteriors_equal_naive_softmax():
+    draw = np.random.default_rng(19)
+    text = pa.array(["Some words here, some more", "", None, "één  twee! drie"])
+    model = mixing.Softmax(draw.standard_normal((mixing._HASHED, 2)), draw.standard_normal((mixing._DENSE, 2)), mixing.DOMAINS)
+    ids, offsets, dense = mixing.features(text)
+    got = mixing.posteriors(model, ids, offsets, dense)
+    for i, t in enumerate(text.to_pylist()):
+        raw = (t or "").encode()
+        words = common.word_hashes(pa.array([t]))[0].tolist()
+        x = [math.sqrt(raw.count(bytes([b])) / max(1, len(raw))) for b in range(256)] + [len(set(words)) / max(1, len(words)), 1.0]
+        logit = [sum(f * model.dense[k, j] for k, f in enumerate(x)) + sum(model.hashed[w % mixing._HASHED, j] for w in words) / math.sqrt(max(1, len(words))) for j in range(2)]
+        assert got[i, 1] == pytest.approx(1 / (1 + math.exp(logit[0] - logit[1])), rel=1e-9)
 
 
 def test_mixing_awkward(spark):

@@ -50,5 +50,95 @@ def test_stages_take_effect(spark, folder, tmp_path):
     assert all(pieces.decode(v, r["ids"]) == last[r["doc_id"]] for r in final)
 
 
-def test_run_is_the_stages(spark):
-    assert corpus_pipeline.run(spark, SF).count() == corpus_pipeline.run(spark, SF).count() > 0
+def by_hand(spark, docs, known):
+    """What run() should give for the small corpus below: each stage restated in plain Python over whole texts."""
+    import re
+
+    import numpy as np
+
+    from lodestone.llm import mixing, simhash, toxicity
+
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    # toxicity: the fitted model, scored by the naive convolution of test_operators
+    from ..llm.test_operators import naive_score
+
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    model = toxicity.fit(frame, known)
+    left = []
+    for r in docs:
+        from lodestone.llm.common import word_hashes
+        import pyarrow as pa
+
+        hashed = word_hashes(pa.array([r[1]]))[0].tolist()
+        if not hashed or naive_score(model, hashed) < model.thresholds.get(r[2], model.thresholds[None]):
+            left.append(r)
+    # near copies: all pairs of signatures, by brute force
+    frame = spark.createDataFrame(left, frame.schema)
+    signed = simhash.signatures(frame).collect()
+    bits = np.array([np.unpackbits(np.frombuffer(r["signature"], np.uint8)) for r in signed])
+    near = (bits[:, None] != bits[None]).sum(2) <= simhash.MOST
+    short = np.array([r["short"] for r in signed])
+    same = (bits[:, None] != bits[None]).sum(2) == 0
+    near = np.where(short[:, None] | short[None], same & (short[:, None] == short[None]), near)
+    label = np.arange(len(signed))
+    for _ in signed:
+        label = np.array([label[near[i]].min() for i in range(len(signed))])
+    ids = [r["doc_id"] for r in signed]
+    dropped = {ids[i] for i in range(len(ids)) if min(ids[j] for j in range(len(ids)) if label[j] == label[i]) != ids[i]}
+    left = [r for r in left if r[0] not in dropped]
+    # repeated passages: each line is a unit here, of 25 words or more
+    seen, cut = set(), []
+    for r in sorted(left):
+        kept = []
+        for line in (r[1] or "").splitlines(True):
+            key = tuple(words(line))
+            if len(key) < 25 or key not in seen:
+                kept.append(line)
+            seen.add(key)
+        text = "".join(kept)
+        if text.strip() or not (r[1] or "").strip():
+            cut.append((*r[:1], text if r[1] is not None else None, *r[2:4], len(text) if text != r[1] and r[1] is not None else r[4]))
+    # mixing: copies by the rates of a dense descent are compared in test_operators; here the rates are asked for
+    frame = spark.createDataFrame(cut, frame.schema)
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mixture(frame, known).collect()}
+    return sorted((r[0], r[1]) for r in cut for _ in range(copies.get(r[0], 1)))
+
+
+def test_run_equals_the_stages_by_hand(spark, tmp_path):
+    import numpy as np
+
+    draw = np.random.default_rng(21)
+    line = lambda n, low=0, high=3000: " ".join(f"w{i}" for i in draw.integers(low, high, n))
+    shared = line(60, 10**6, 2 * 10**6)
+    docs, known = [], []
+    for i in range(240):
+        toxic, good = i % 6 == 0, i % 5 > 0
+        text = "\n".join([line(40) + (" zorg blat" if toxic else "") + (" fine prose" if good else " dull stuff") for _ in range(3)])
+        if i % 10 == 3:
+            text += "\n" + shared
+        docs.append((i, text, "en" if i % 2 else "de", "s", len(text)))
+        if i % 4 < 3:
+            known.append((i, int(good), int(toxic)))
+    for i in (7, 8, 9):  # a copy and a near copy
+        docs.append((300 + i, docs[i][1], docs[i][2], "s", docs[i][4]))
+        docs.append((400 + i, docs[i][1].replace(" w", " changed w", 1), docs[i][2], "s", docs[i][4]))
+    docs += [(500, None, "en", None, None), (501, "", None, None, 0), (502, "word " * 30000, "en", "s", 150000)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, known).write.parquet(f"{tmp_path}/labels.parquet")
+    v = pieces.load()
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    back = sorted((r["doc_id"], None if r["restored"] is None else pieces.decode(v, r["ids"])) for r in got)
+    want = by_hand(spark, docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert [i for i, _ in back] == [i for i, _ in want] and back == want
+    kept = {i for i, _ in want}
+    assert 100 < len(kept) < 240 and not kept & {i for i in range(0, 240, 6)} and not any(i > 300 for i in kept if i < 500)
+    assert sum(shared in (t or "") for _, t in want) <= max(1, sum(i == min(i for i, t in want if shared in (t or "")) for i, _ in want))
+
+
+def test_run_on_awkward_and_empty_tables(spark, tmp_path):
+    for name, docs in (("awkward", awkward(spark)), ("empty", awkward(spark).limit(0)), ("plain", awkward(spark).select("doc_id", "text", "lang", "source", "n_chars"))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels(spark, [(1, 1, 0), (5, 0, 1), (4, 0, 0)]).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (len(got) == 0) == (name == "empty")
+        assert name == "empty" or {2, 3} <= {r["doc_id"] for r in got} and sum(r["doc_id"] is None for r in got) == 2
