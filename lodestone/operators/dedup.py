@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions import vectors as vx
+from . import blocks
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -23,10 +23,8 @@ def lexical_first(rows: DataFrame, text: str = "text", order: str = "doc_id") ->
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, similarity) for pairs a < b of (id, v) at or above the threshold, by an exact self-join."""
-    left, right = vectors.select(F.col("id").alias("a"), F.col("v").alias("va")), vectors.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    pairs = left.join(right, F.col("a") < F.col("b")).select("a", "b", F.round(vx.cosine(F.col("va"), F.col("vb")), 9).alias("similarity"))
-    return pairs.where(F.col("similarity") >= threshold)
+    """(a, b, similarity) for pairs a < b of (id, v) at or above the threshold, exact, by products of blocks."""
+    return blocks.pairs(vectors, threshold)
 
 
 def _leaders(threshold: float, key: list[str]):

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..checkpoints import saved
 from ..functions import text as tx
 
 WORDS = "\\p{L}{3,}"
+_STOP = re.compile(r"([.!?])[ \t\r\n]+")
 NUMERIC = (
     "(?i)\\b[0-9]+\\.?[0-9]*[ \\t]*(percent|%|million|billion|thousand|years?|days?|hours?|kg|km|cm|m)\\b",
     "(?i)\\b[0-9]+\\.?[0-9]*[ \\t]*(increased|decreased|rose|fell|grew|declined)\\b",
@@ -33,19 +39,31 @@ def word_overlap(claim: Column, text: Column) -> Column:
     return F.when(F.size(words) > 0, F.size(F.array_intersect(words, word_set(text))) / F.size(words)).otherwise(0.0)
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("sentence", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def _placed(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> list[tuple]:
+        out, cursor = [], 0
+        for pos, s in enumerate(_STOP.sub("\\1" + tx.MARK, text).split(tx.MARK) if text is not None else ()):
+            found = text.find(s, cursor)
+            start = found if found >= 0 else cursor
+            out.append((pos, s, start, start + len(s)))
+            cursor += len(s) + 1
+        return out
+
+    return pd.Series([one(t) for t in texts], dtype=object)
+
+
 def sentence_offsets(texts: DataFrame, *keys: str) -> DataFrame:
-    """(keys, pos, sentence, start, end): sentences with their offsets, a running sum over lengths plus separators."""
-    split = texts.select(*keys, "text", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    cursor = F.coalesce(F.sum(F.length("sentence") + 1).over(w), F.lit(0))
-    found = F.expr("locate(sentence, text, cast(cursor + 1 as int))")
-    placed = split.withColumn("cursor", cursor).withColumn("start", F.when(found > 0, found - 1).otherwise(F.col("cursor")).cast("int"))
-    return placed.select(*keys, "pos", "sentence", "start", (F.col("start") + F.length("sentence")).alias("end"))
+    """(keys, pos, sentence, start, end): sentences with their offsets, sought from a running sum of lengths and separators.
+
+    Each text is read once where it lies; only its sentences go on.
+    """
+    return texts.select(*keys, F.explode(_placed(F.col("text"))).alias("s")).select(*keys, "s.pos", "s.sentence", "s.start", "s.end")
 
 
 def cited_spans(pairs: DataFrame, similarity=word_overlap, threshold: float = 0.6, top: int = 3, least: int = 20) -> DataFrame:
     """(claim_id, id, start, end, text, confidence, rank) for pairs (claim_id, claim, id, text)."""
-    parts = sentence_offsets(pairs, "claim_id", "claim", "id").where(F.length("sentence") >= least)
+    parts = sentence_offsets(pairs, "claim_id", "claim", "id").where(F.length(F.trim("sentence")) >= least)
     scored = parts.withColumn("confidence", F.round(similarity(F.col("claim"), F.col("sentence")), 9)).where(F.col("confidence") > threshold)
     w = Window.partitionBy("claim_id", "id").orderBy(F.desc("confidence"), "start")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("claim_id", "id", "start", "end", F.col("sentence").alias("text"), "confidence", "rank")
@@ -57,7 +75,7 @@ def cited_everywhere(claims: DataFrame, texts: DataFrame, threshold: float = 0.6
     A sentence whose overlap exceeds the threshold has one of any size - floor(threshold * size) of the claim's
     words, so only sentences with one of that many of its rarest words are compared; no span is lost.
     """
-    parts = sentence_offsets(texts.select("id", "text"), "id").where(F.length("sentence") >= least).select("id", "pos", "sentence", "start", "end")
+    parts = saved(sentence_offsets(texts.select("id", "text"), "id").where(F.length(F.trim("sentence")) >= least))
     words = parts.select("id", "pos", F.explode(word_set(F.col("sentence"))).alias("word"))
     claimed = claims.select("claim_id", F.size(word_set(F.col("claim"))).alias("size"), F.explode(word_set(F.col("claim"))).alias("word"))
     n = words.groupBy("word").agg(F.count("*").alias("n"))
@@ -136,6 +154,28 @@ def verified(pairs: DataFrame, similarity=word_overlap, top: int = 3) -> DataFra
     )
 
 
+def verified_everywhere(claims: DataFrame, texts: DataFrame, top: int = 3) -> DataFrame:
+    """verified() by words alone of every claim (claim_id, claim, kind) against every text (id, text), without their pairs.
+
+    Claims name no entities here and similarity is the words' overlap, so a text that shares no word with a claim can't
+    support it: texts' words that some claim has are joined to the claims' words and counted. A claim that
+    shares no word with any text, or has none, is unsupported.
+    """
+    words = claims.select("claim_id", "kind", word_set(F.col("claim")).alias("ws")).select("claim_id", "kind", F.size("ws").alias("size"), F.explode_outer("ws").alias("word"))
+    wanted = words.select("word").where("word IS NOT NULL").distinct()
+    small = wanted.count() < 1_000_000
+    held = texts.select("id", F.explode(word_set(F.col("text"))).alias("word")).join(F.broadcast(wanted) if small else wanted, "word", "left_semi")
+    shared = held.join(words, "word").groupBy("claim_id", "kind", "size", "id").agg(F.count("*").alias("n"))
+    overlap = F.col("n") / F.col("size")
+    scored = shared.withColumn("words", overlap).withColumn("sure", F.round(weighted(F.col("kind"), overlap, overlap, F.lit(0.0)), 9))
+    backed = scored.where((F.col("words") >= 0.3) | (F.col("sure") >= 0.6))
+    w = Window.partitionBy("claim_id").orderBy(F.desc("sure"), "id")
+    first = backed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    told = first.groupBy("claim_id").agg(F.max("sure").alias("best"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string")), ",").alias("citations"))
+    whole = claims.select("claim_id").join(told, "claim_id", "left")
+    return whole.select("claim_id", F.coalesce(F.col("best") >= 0.6, F.lit(False)).alias("is_verified"), F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("citations", F.lit("")).alias("citations"), F.when(F.col("best").isNotNull(), "lexical").otherwise("none").alias("method"))
+
+
 def supporting_sentence(claim: Column, text: Column) -> Column:
     """The first sentence that shares most words with the claim; without any, the first 200 characters."""
     scored = F.transform(tx.sentences(text), lambda s, i: F.struct(F.size(F.array_intersect(word_set(s), word_set(claim))).alias("n"), (-i).alias("i"), s.alias("s")))

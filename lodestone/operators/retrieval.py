@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
 from ..functions import text as tx
 from ..functions import vectors as vx
+from . import blocks
 
 K1, B, RRF = 1.2, 0.75, 60
+BROADCAST_TERMS = 1_000_000
 COMPARISONS = ("compare", "comparison", "difference", "differences", "versus", "vs", "vs.", "both", "either", "contrast", "similarities", "distinction", "between")
 STOPWORDS = "the is at which on are was were been be have has had do does did will would should could may might must can this that these those what when where who why how".split()
 
@@ -25,8 +28,15 @@ def ranked(scored: DataFrame, k: int | None = None, by: str = "query_id") -> Dat
 
 def postings(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, term, tf, dl): one row for each distinct term of a document; dl counts all its terms."""
-    terms = docs.select(F.col(id_column).alias("id"), tx.terms(F.col("text")).alias("ts")).select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    return terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return _counted(_exploded(docs, id_column))
+
+
+def _exploded(docs: DataFrame, id_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).alias("id"), tx.terms(F.col("text")).alias("ts")).select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+
+
+def _counted(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).select("id", "term", "tf", "dl")
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -37,23 +47,41 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc_id") -> DataFrame:
     """Top k documents for each query (query_id, query) by BM25; repeated query terms count each time.
 
-    Postings are joined to the batch's terms before anything is aggregated, so only terms that some
+    Documents' terms are joined to the batch's before anything is aggregated, so that only terms that some
     query has are shuffled.
     """
-    wanted = queries.select("query_id", F.explode(tx.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    p = postings(docs, id_column)
+    wanted = query_terms(queries)
+    return score_postings(_counted(_of_batch(_exploded(docs, id_column), wanted)), corpus_stats(docs), wanted, k)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of queries (query_id, query), written out once, as every step reads it."""
+    return saved(queries.select("query_id", F.explode(tx.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
+
+
+def _of_batch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose term the batch has; the terms are broadcast below a million, else joined."""
+    own = wanted.select("term").distinct()
+    return rows.join(F.broadcast(own) if own.count() < BROADCAST_TERMS else own, "term", "left_semi")
+
+
+def bm25_indexed(postings_: DataFrame, stats: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """bm25() from a saved index: postings (id, term, tf, dl) and one row of statistics (n, avgdl)."""
+    wanted = query_terms(queries)
+    return score_postings(_of_batch(postings_, wanted), stats, wanted, k)
+
+
+def score_postings(p: DataFrame, stats: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     df = p.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs)  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = p.join(wanted, "term").join(df, "term").crossJoin(F.broadcast(stats)).groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    scored = p.join(wanted.join(df, "term"), "term").crossJoin(F.broadcast(stats)).groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     return ranked(scored.withColumn("score", F.round("score", 9)), k)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Top k of vectors (id, v) for each query (query_id, v) by cosine: an exact scan with the top k kept per group."""
-    pairs = vectors.crossJoin(queries.select("query_id", F.col("v").alias("q")))
-    return ranked(pairs.select("query_id", "id", F.round(vx.cosine(F.col("v"), F.col("q")), 9).alias("score")), k)
+    """Top k of vectors (id, v) for each query (query_id, v) by cosine: an exact scan in blocks, k rows a query leaving each."""
+    return ranked(blocks.top(vectors, queries, k), k)
 
 
 def reciprocal_rank(lists: DataFrame, constant: int = RRF, k: int | None = None) -> DataFrame:
@@ -157,7 +185,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 10, threshold: float
 
     chunks is (id, text, source[, section, page]); rank follows the fused score, and pair_score is reported beside it.
     """
-    coded = chunks.withColumn("v", encode(F.col("text")))
+    coded = saved(chunks.select("id", encode(F.col("text")).alias("v")))  # encoded once, read twice
     near = dense(coded.select("id", "v"), queries.select("query_id", encode(F.col("query")).alias("v")), 2 * k).withColumn("method", F.lit("dense"))
     words = bm25(chunks.withColumnRenamed("id", "doc_id"), queries, 2 * k).withColumn("method", F.lit("sparse"))
     fused = reciprocal_rank(near.unionByName(words), k=2 * k)

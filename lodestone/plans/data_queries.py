@@ -255,7 +255,7 @@ def draft_upsert(spark, sf_dir):
     return catalog.upserted(catalog.latest(d.where("project_id % 5 <> 1"), keys, F.desc("version")), catalog.latest(d.where("project_id % 3 = 0"), keys, F.asc("version")), keys)
 
 
-@query(f"WITH RECURSIVE {_DRAFTS}, up AS (SELECT id, parent_id AS ancestor, 1 AS distance FROM dr WHERE parent_id IS NOT NULL UNION ALL SELECT up.id, dr.parent_id, distance + 1 FROM up JOIN dr ON dr.id = up.ancestor WHERE dr.parent_id IS NOT NULL AND distance < 8) SELECT id, ancestor, distance::INTEGER AS distance FROM up")
+@query(f"WITH RECURSIVE {_DRAFTS}, up AS (SELECT id, parent_id AS ancestor, 1 AS distance FROM dr WHERE parent_id IS NOT NULL UNION ALL SELECT up.id, dr.parent_id, distance + 1 FROM up JOIN dr ON dr.id = up.ancestor WHERE dr.parent_id IS NOT NULL) SELECT id, ancestor, distance::INTEGER AS distance FROM up")
 def lineage(spark, sf_dir):
     return catalog.lineage(_drafts(spark, sf_dir).select("id", "parent_id"))
 

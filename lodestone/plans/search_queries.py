@@ -22,7 +22,7 @@ bm AS (SELECT query_id, p.doc_id AS id, round(sum(qtf * ln(1 + (n - df + 0.5) /
   FROM qs JOIN post p USING (term) JOIN dfs USING (term) JOIN lens l ON l.doc_id = p.doc_id CROSS JOIN stat GROUP BY ALL),
 bm_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm)"""
 KNN = """
-qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE label = 3),
+qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings),
 kn AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q), 9) AS score FROM embeddings, qv),
 kn_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM kn)"""
 #: two ranked lists for each source, to fuse: documents by length and by id
@@ -173,12 +173,13 @@ _SENT = r"string_split(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(1),
 _OVER = "CASE WHEN len({a}) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / len({a}) ELSE 0.0 END"
 
 
-@query(rf"""WITH s AS (SELECT doc_id, source, text, unnest({_SENT}) AS sentence, generate_subscripts({_SENT}, 1) - 1 AS pos FROM documents),
+@query(rf"""WITH s AS (SELECT doc_id, text, unnest({_SENT}) AS sentence, generate_subscripts({_SENT}, 1) - 1 AS pos FROM documents),
   p AS (SELECT *, coalesce(sum(length(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS cur FROM s),
-  q AS (SELECT *, CASE WHEN instr(substr(text, cur + 1), sentence) > 0 THEN cur + instr(substr(text, cur + 1), sentence) - 1 ELSE cur END AS start FROM p WHERE length(sentence) >= 20),
-  x AS (SELECT doc_id, start, sentence, round({_OVER.format(a=_WORDS.format("text[1:200]"), b=_WORDS.format("sentence"))}, 9) AS confidence FROM q),
-  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, start) AS rank FROM x WHERE confidence > 0.2)
-  SELECT doc_id AS id, start::INTEGER AS start, (start + length(sentence))::INTEGER AS "end", sentence AS text, confidence, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
+  q AS (SELECT doc_id, sentence, {_WORDS.format("sentence")} AS ws, CASE WHEN instr(substr(text, cur + 1), sentence) > 0 THEN cur + instr(substr(text, cur + 1), sentence) - 1 ELSE cur END AS start FROM p WHERE length(trim(sentence)) >= 20),
+  b AS (SELECT item_id, {_WORDS.format("text")} AS cs FROM benchmark),
+  x AS (SELECT item_id AS claim_id, doc_id, start, sentence, round({_OVER.format(a="cs", b="ws")}, 9) AS confidence FROM q, b),
+  r AS (SELECT *, row_number() OVER (PARTITION BY claim_id, doc_id ORDER BY confidence DESC, start) AS rank FROM x WHERE confidence > 0.6)
+  SELECT claim_id, doc_id AS id, start::INTEGER AS start, (start + length(sentence))::INTEGER AS "end", sentence AS text, confidence, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
 def cited_spans(spark, sf_dir):
     claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
     return evidence.cited_everywhere(claims, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
@@ -208,7 +209,7 @@ def claims_extract(spark, sf_dir):
 def claim_verify(spark, sf_dir):
     claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.lower("text").alias("claim"), F.lit("factual_pattern").alias("kind"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return evidence.verified(docs.crossJoin(claims))
+    return evidence.verified_everywhere(claims, docs)
 
 
 @query("SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
