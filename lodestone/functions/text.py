@@ -127,21 +127,35 @@ def human_size(n: Column) -> Column:
 
 
 DOC_TYPES = {
-    "code": ("py", "js", "java", "cpp", "c", "h", "hpp", "cs", "go", "rs", "rb", "php", "r", "m", "sh", "sql"),
+    "code": ("c", "cpp", "go", "java", "js", "py", "r", "ts"),
     "notebook": ("ipynb",),
     "paper": ("pdf", "tex"),
-    "slides": ("ppt", "pptx"),
-    "protocol": ("docx", "doc"),
-    "web": ("html", "htm"),
+    "slides": ("key", "ppt", "pptx"),
+    "protocol": ("md", "rst", "txt"),
+    "web": ("htm", "html"),
+}
+LANGUAGES = {"python": ("py",), "r": ("r",), "c": ("c", "h"), "cpp": ("cc", "cpp", "cxx", "h++", "hpp")}
+#: kinds of boundary at which a type's texts may be cut
+BOUNDARIES = {
+    "code": ("class", "function", "method"),
+    "default": ("paragraph", "sentence"),
+    "notebook": ("cell", "markdown_section"),
+    "paper": ("paragraph", "section", "subsection"),
+    "protocol": ("numbered_list", "section", "step"),
+    "slides": ("bullet_group", "slide"),
+    "web": ("article", "paragraph", "section"),
 }
-LANGUAGES = {"python": ("py",), "r": ("r",), "c": ("c", "h"), "cpp": ("cpp", "cc", "cxx", "hpp", "hxx", "hh")}
 #: target, least and most tokens by document type; slides have no target
 STRATEGIES = {"code": (275, 100, 400), "notebook": (300, 50, 500), "paper": (425, 200, 600), "slides": (None, 20, 800), "protocol": (400, 150, 550), "web": (350, 100, 500), "default": (400, 150, 600)}
 
 
 def extension(path: Column) -> Column:
-    """Lower-case extension of the last path segment, without query or fragment; '' if it has none."""
-    return F.lower(F.regexp_extract(path, "^[^?#]*/[^/?#]*\\.([A-Za-z0-9]+)([?#].*)?$", 1))
+    """Lower-case extension of the last path segment, without query or fragment; '' if it has none.
+
+    A host is no path segment, and a name that only starts with a dot has no extension.
+    """
+    plain = F.regexp_replace(F.regexp_replace(path, "[?#].*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    return F.lower(F.regexp_extract(plain, "[^/.][^/]*\\.([A-Za-z0-9+]+)$", 1))
 
 
 def _by_extension(path: Column, kinds: dict, default: str) -> Column:
@@ -155,6 +169,11 @@ def document_type(path: Column) -> Column:
     return _by_extension(path, DOC_TYPES, "default")
 
 
+def may_cut(kind: Column, boundary: Column) -> Column:
+    """Whether texts of a document type may be cut at a boundary of this kind."""
+    return F.coalesce(*[F.when(kind == k, boundary.isin(*v)) for k, v in BOUNDARIES.items()], F.lit(False))
+
+
 def language(path: Column) -> Column:
     return _by_extension(path, LANGUAGES, "unknown")
 

@@ -9,8 +9,10 @@ FIELDS = ("groundedness", "specificity", "clarity", "usefulness", "consistency",
 WEIGHTS = (0.30, 0.20, 0.20, 0.15, 0.10, 0.05)
 GATE = {"groundedness": 0.7, "specificity": 0.6, "clarity": 0.6, "usefulness": 0.5}
 FLOORS = {"Background": 300, "Specific Aims": 200, "Significance": 250, "Innovation": 200, "Approach": 400, "Environment": 150, "Bibliography": 50}
-_GOOD = ("Answer is well-grounded in the provided context", "Answer provides specific and detailed information", "Answer is clear and well-structured", "Pair has high training value")
-_BAD = ("Answer lacks proper grounding in context", "Answer is too vague or generic", "Answer is unclear or poorly structured", "Pair has limited training value")
+OUTSIDE = ("best practice", "common practice", "recommended approach", "industry standard", "generally", "usually", "typically", "in most cases", "framework", "external library", "see documentation", "refer to manual", "documented in", "according to the documentation")
+_GOOD = ("What it says rests on the context", "It goes into detail", "It reads clearly", "It teaches something")
+_BAD = ("What it says doesn't rest on the context", "It stays vague", "It is hard to follow", "It teaches little")
+_SUGGEST = ("Say only what the context shows", "Name details and examples from the context", "Order and word the answer more plainly", "Ask about what a learner needs")
 _ADVICE = ("improve grounding in provided context", "increase specificity and detail", "improve clarity and structure", "focus on educational value")
 
 
@@ -27,7 +29,8 @@ def parsed_scores(raw: Column) -> list[Column]:
 
 
 def overall(*scores: Column) -> Column:
-    return F.round(sum((w * s for w, s in zip(WEIGHTS, scores)), F.lit(0.0)), 3)
+    """Weighted sum of the six scores at three digits, of a decimal, so that halves round up."""
+    return F.round(sum((w * s for w, s in zip(WEIGHTS, scores)), F.lit(0.0)).cast("decimal(18,6)"), 3).cast("double")
 
 
 def passes_gate() -> Column:
@@ -42,11 +45,27 @@ def band(score: Column) -> Column:
 
 
 def feedback(score: Column, cited: Column, negative: Column) -> list[Column]:
-    """strengths, weaknesses and verdict columns from the score fields."""
+    """strengths, weaknesses, suggestions and verdict columns from the score fields; score is the overall one."""
     some = lambda items: F.filter(F.array(*items), lambda x: x.isNotNull())
-    strong = [F.when(F.col(f) >= 0.8, t) for f, t in zip(FIELDS, _GOOD)] + [F.when(cited, "Answer includes proper citations")]
-    weak = [F.when(F.col(f) < 0.5, t) for f, t in zip(FIELDS, _BAD)] + [F.when(~cited & ~negative, "Answer lacks proper citations")]
-    return [some(strong).alias("strengths"), some(weak).alias("weaknesses"), band(score).alias("verdict")]
+    bare = ~cited & ~negative
+    strong = [F.when(F.col(f) >= 0.8, t) for f, t in zip(FIELDS, _GOOD)] + [F.when(cited, "It cites its sources")]
+    weak = [F.when(F.col(f) < 0.5, t) for f, t in zip(FIELDS, _BAD)] + [F.when(bare, "It cites nothing")]
+    todo = [F.when(F.col(f) < 0.5, t) for f, t in zip(FIELDS, _SUGGEST)] + [F.when(bare, "Point to lines or snippets of the context")]
+    return [some(strong).alias("strengths"), some(weak).alias("weaknesses"), some(todo).alias("suggestions"), band(score).alias("verdict")]
+
+
+def coverage(answer: Column, context: Column) -> Column:
+    """Share of the answer's distinct words that the context has; 0 without words."""
+    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[\\p{L}\\p{N}_]+"), 0))
+    own = words(answer)
+    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, words(context))) / F.size(own)).otherwise(0.0)
+
+
+def citation_facts(citations: Column, answer: Column, context: Column) -> list[Column]:
+    """has_citations, citation_count, line_references, code_snippets and code_coverage of an answer."""
+    starts = lambda what: F.size(F.filter(citations, lambda c: c.startswith(what)))
+    n = F.size(citations)
+    return [(n > 0).alias("has_citations"), n.alias("citation_count"), starts("line").alias("line_references"), starts("code:").alias("code_snippets"), F.round(coverage(answer, context), 9).alias("code_coverage")]
 
 
 def regeneration(answer: Column, negative: Column) -> list[Column]:
@@ -82,5 +101,8 @@ def section_band(score: Column) -> Column:
 
 
 def external_knowledge(text: Column) -> Column:
-    """Whether an answer draws on knowledge outside its context, by its phrases."""
-    return F.lower(text).rlike("generally|typically|usually|in general|best practice|commonly|it is known|as we know|well-known|industry standard|conventionally|traditionally|normally|in most cases")
+    """Whether an answer draws on knowledge outside its context, by its phrases; an abstention never does."""
+    found, low = F.lit(False), F.lower(text)
+    for phrase in OUTSIDE:
+        found = found | low.contains(phrase)
+    return found & ~text.contains("NOT_IN_CONTEXT")

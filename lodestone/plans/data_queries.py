@@ -22,10 +22,9 @@ _ALL = " + ".join(f"{w} * {f}" for f, w in zip(quality.FIELDS, quality.WEIGHTS))
 _GATE = "groundedness >= 0.7 AND specificity >= 0.6 AND clarity >= 0.6 AND usefulness >= 0.5"
 
 
-@query(f"WITH {_SCORES} SELECT doc_id, round({_ALL}, 6) AS overall FROM sc WHERE {_GATE}")
+@query(f"WITH {_SCORES} SELECT doc_id, round(({_ALL})::DECIMAL(18,6), 3)::DOUBLE AS overall FROM sc WHERE {_GATE}")
 def quality_gate(spark, sf_dir):
-    total = sum((w * F.col(f) for f, w in zip(quality.FIELDS, quality.WEIGHTS)), F.lit(0.0))
-    return _scores(spark, sf_dir).where(quality.passes_gate()).select("doc_id", F.round(total, 6).alias("overall"))
+    return _scores(spark, sf_dir).where(quality.passes_gate()).select("doc_id", quality.overall(*[F.col(f) for f in quality.FIELDS]).alias("overall"))
 
 
 @query(f"""WITH {_SCORES}, j AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{{"groundedness": ' || groundedness || ', "specificity": ' || specificity || '}}' WHEN 1 THEN 'Scores: {{"groundedness": ' || groundedness || '}} done' ELSE 'say "groundedness": ' || groundedness || ' and "specificity": ' || specificity END AS raw FROM sc)
@@ -41,12 +40,16 @@ def score_parse(spark, sf_dir):
 @query(f"""WITH {_SCORES} SELECT doc_id, (text = 'NOT_IN_CONTEXT' AND toxic = 0) OR NOT ({_GATE}) AS regenerate,
   CASE WHEN text = 'NOT_IN_CONTEXT' AND toxic = 0 THEN 'The question needs outside knowledge; ask one that the context answers' WHEN NOT ({_GATE}) THEN 'Regenerate with focus on: ' || concat_ws(', ', CASE WHEN groundedness < 0.7 THEN 'improve grounding in provided context' END,
   CASE WHEN specificity < 0.6 THEN 'increase specificity and detail' END, CASE WHEN clarity < 0.6 THEN 'improve clarity and structure' END, CASE WHEN usefulness < 0.5 THEN 'focus on educational value' END) ELSE '' END AS guidance,
-  CASE WHEN groundedness >= 0.8 THEN 'excellent' WHEN groundedness >= 0.6 THEN 'good' WHEN groundedness >= 0.4 THEN 'acceptable' ELSE 'poor' END AS verdict,
-  ((groundedness >= 0.8)::INTEGER + (specificity >= 0.8)::INTEGER + (clarity >= 0.8)::INTEGER + (usefulness >= 0.8)::INTEGER + (quality = 1)::INTEGER)::INTEGER AS n_strengths FROM sc""")
+  CASE WHEN o >= 0.8 THEN 'excellent' WHEN o >= 0.6 THEN 'good' WHEN o >= 0.4 THEN 'acceptable' ELSE 'poor' END AS verdict,
+  concat_ws('; ', CASE WHEN groundedness < 0.5 THEN 'Say only what the context shows' END, CASE WHEN specificity < 0.5 THEN 'Name details and examples from the context' END, CASE WHEN clarity < 0.5 THEN 'Order and word the answer more plainly' END,
+  CASE WHEN usefulness < 0.5 THEN 'Ask about what a learner needs' END, CASE WHEN quality <> 1 AND toxic <> 1 THEN 'Point to lines or snippets of the context' END) AS suggestions,
+  ((groundedness < 0.5)::INTEGER + (specificity < 0.5)::INTEGER + (clarity < 0.5)::INTEGER + (usefulness < 0.5)::INTEGER + (quality <> 1 AND toxic <> 1)::INTEGER)::INTEGER AS n_weaknesses,
+  ((groundedness >= 0.8)::INTEGER + (specificity >= 0.8)::INTEGER + (clarity >= 0.8)::INTEGER + (usefulness >= 0.8)::INTEGER + (quality = 1)::INTEGER)::INTEGER AS n_strengths FROM (SELECT *, round(({_ALL})::DECIMAL(18,6), 3)::DOUBLE AS o FROM sc)""")
 def quality_feedback(spark, sf_dir):
     s = _scores(spark, sf_dir)
-    strengths, _, verdict = quality.feedback(F.col("groundedness"), F.col("quality") == 1, F.col("toxic") == 1)
-    return s.select("doc_id", *quality.regeneration(F.col("text"), F.col("toxic") == 1), verdict, strengths).select("doc_id", "regenerate", "guidance", "verdict", F.size("strengths").alias("n_strengths"))
+    told = quality.feedback(quality.overall(*[F.col(f) for f in quality.FIELDS]), F.col("quality") == 1, F.col("toxic") == 1)
+    done = s.select("doc_id", *quality.regeneration(F.col("text"), F.col("toxic") == 1), *told)
+    return done.select("doc_id", "regenerate", "guidance", "verdict", F.concat_ws("; ", "suggestions").alias("suggestions"), F.size("weaknesses").alias("n_weaknesses"), F.size("strengths").alias("n_strengths"))
 
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS running_mean FROM events")
@@ -70,10 +73,6 @@ def section_rubric(spark, sf_dir):
     return s.withColumn("band", quality.section_band(F.col("score")))
 
 
-def _scripts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "html", F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1).alias("source"))
-
-
 _COUNT = "len(regexp_extract_all(html, '(?i)\\b{0}\\b'))"
 
 

@@ -152,14 +152,30 @@ def citation_format(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.citation(F.col("source"), section, page).alias("citation"))
 
 
-@query("""SELECT page_id, coalesce(lower(regexp_extract(url, '^[^?#]*/[^/?#]*\\.([A-Za-z0-9]+)([?#].*)?$', 1)), '') AS ext,
-  CASE WHEN lower(regexp_extract(url, '^[^?#]*/[^/?#]*\\.([A-Za-z0-9]+)([?#].*)?$', 1)) IN ('html', 'htm') THEN 'web'
-       WHEN lower(regexp_extract(url, '^[^?#]*/[^/?#]*\\.([A-Za-z0-9]+)([?#].*)?$', 1)) IN ('py', 'js', 'java', 'cpp', 'c', 'h', 'hpp', 'cs', 'go', 'rs', 'rb', 'php', 'r', 'm', 'sh', 'sql') THEN 'code'
-       WHEN lower(regexp_extract(url, '^[^?#]*/[^/?#]*\\.([A-Za-z0-9]+)([?#].*)?$', 1)) IN ('pdf', 'tex') THEN 'paper' ELSE 'default' END AS doc_type FROM pages""")
+_EXT = r"coalesce(lower(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '[^/.][^/]*\.([A-Za-z0-9+]+)$', 1)), '')"
+_KINDS = "CASE WHEN ext IN ('py', 'r', 'c', 'cpp', 'java', 'js', 'ts', 'go') THEN 'code' WHEN ext = 'ipynb' THEN 'notebook' WHEN ext IN ('pdf', 'tex') THEN 'paper' WHEN ext IN ('pptx', 'ppt', 'key') THEN 'slides' WHEN ext IN ('txt', 'md', 'rst') THEN 'protocol' WHEN ext IN ('html', 'htm') THEN 'web' ELSE 'default' END"
+#: each page's name under one of twenty endings
+_NAMED = "(SELECT page_id, 'https://site.org/' || page_id || ['.py', '.R', '.c', '.cpp', '.java', '.js', '.ts', '.go', '.ipynb', '.pdf', '.tex', '.pptx', '.ppt', '.key', '.txt', '.md?x=1', '.rst#top', '.html', '.h++', ''][page_id % 20 + 1] AS url FROM pages)"
+ENDINGS = (".py", ".R", ".c", ".cpp", ".java", ".js", ".ts", ".go", ".ipynb", ".pdf", ".tex", ".pptx", ".ppt", ".key", ".txt", ".md?x=1", ".rst#top", ".html", ".h++", "")
+
+
+@query(f"SELECT page_id, ext, {_KINDS} AS doc_type FROM (SELECT page_id, {_EXT} AS ext FROM pages)")
 def extension_scan_type(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.extension(F.col("url")).alias("ext"), tx.document_type(F.col("url")).alias("doc_type"))
 
 
+@query(f"""SELECT page_id, ext, {_KINDS} AS doc_type, CASE WHEN ext = 'py' THEN 'python' WHEN ext = 'r' THEN 'r' WHEN ext IN ('c', 'h') THEN 'c' WHEN ext IN ('cpp', 'cxx', 'cc', 'hpp', 'h++') THEN 'cpp' ELSE 'unknown' END AS language,
+  CASE {_KINDS} WHEN 'code' THEN 100 WHEN 'notebook' THEN 50 WHEN 'paper' THEN 200 WHEN 'slides' THEN 20 WHEN 'protocol' THEN 150 WHEN 'web' THEN 100 ELSE 150 END AS least, CASE {_KINDS} WHEN 'code' THEN 400 WHEN 'notebook' THEN 500 WHEN 'paper' THEN 600 WHEN 'slides' THEN 800 WHEN 'protocol' THEN 550 WHEN 'web' THEN 500 ELSE 600 END AS most,
+  {_KINDS} IN ('paper', 'protocol', 'web') AS cuts_at_section FROM (SELECT page_id, {_EXT} AS ext FROM {_NAMED})""")
+def path_types(spark, sf_dir):
+    ending = F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("page_id") % 20 + 1).cast("int"))
+    path = F.concat(F.lit("https://site.org/"), F.col("page_id").cast("string"), ending)
+    kind = tx.document_type(F.col("path"))
+    limits = F.create_map(*[x for k, v in tx.STRATEGIES.items() for x in (F.lit(k), F.array(F.lit(v[1]), F.lit(v[2])))])
+    rows = table(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("doc_type", kind)
+    return rows.select("page_id", tx.extension(F.col("path")).alias("ext"), "doc_type", tx.language(F.col("path")).alias("language"), limits[F.col("doc_type")][0].alias("least"), limits[F.col("doc_type")][1].alias("most"), tx.may_cut(F.col("doc_type"), F.lit("section")).alias("cuts_at_section"))
+
+
 @query("SELECT page_id, regexp_replace(string_split(url, '/')[-1], '\\.[^.]*$', '') || '_' || md5(url)[1:8] AS doc_id FROM pages")
 def path_document_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.document_id(F.col("url")).alias("doc_id"))
