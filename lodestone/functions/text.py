@@ -189,3 +189,25 @@ def chunk_estimate(tokens: Column, kind: Column) -> Column:
     target = F.coalesce(*[F.when(kind == k, F.lit(v[0])) for k, v in STRATEGIES.items() if v[0]])
     most = F.coalesce(*[F.when(kind == k, F.lit(v[2])) for k, v in STRATEGIES.items()])
     return F.greatest(F.lit(1), F.floor(F.when(target.isNotNull(), tokens / (target * 0.9)).otherwise(tokens / (most * 0.5)))).cast("int")
+
+
+def mla(source: Column) -> Column:
+    """A works-cited entry: 'Author. Title. Year.' of 'Author. Title (Year)', a file's name in quotes, else the source and a stop."""
+    before, year = F.trim(F.substring_index(source, "(", 1)), F.trim(F.substring_index(F.element_at(F.split(source, "\\("), 2), ")", 1))
+    author, title = F.trim(F.substring_index(before, ".", 1)), F.trim(F.regexp_replace(before, "^[^.]*\\.", ""))
+    dated = F.when(before.contains("."), F.concat(author, F.lit(". "), title, F.lit(". "), year, F.lit("."))).otherwise(F.concat(before, F.lit(". "), year, F.lit(".")))
+    name = F.replace(F.replace(F.replace(source, F.lit(".pdf"), F.lit("")), F.lit(".txt"), F.lit("")), F.lit("_"), F.lit(" "))
+    return F.when(source.contains("(") & source.contains(")"), dated).when(source.rlike("\\.(pdf|txt)$"), F.concat(F.lit('"'), name, F.lit('." Document.'))).otherwise(F.concat(source, F.lit(".")))
+
+
+def filled(template: Column, **values: Column) -> Column:
+    """template with each {name} replaced; a null value becomes ''."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    return template
+
+
+def letter_counts(text: Column) -> Column:
+    """How often each of a to z occurs: the smallest encoder that any engine can follow."""
+    low = F.lower(text)
+    return F.array(*[F.regexp_count(low, F.lit(c)).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])

@@ -28,6 +28,11 @@ def hashed_terms(terms: Column, size: int = 256) -> Column:
     return _counted(F.transform(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int")), F.lit(size))
 
 
+def text_vector(text: Column) -> Column:
+    """The built-in encoder of a text: its lexical terms, hashed."""
+    return hashed_terms(F.regexp_extract_all(F.lower(text), F.lit("\\p{L}{2,}"), 0))
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def _counted(buckets: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else np.bincount(b, minlength=n).astype(np.float32) for b, n in zip(buckets, size)], dtype=object)

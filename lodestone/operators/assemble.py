@@ -89,3 +89,17 @@ def budgeted(parts: DataFrame, by: str, order: str, text: str, most: int) -> Dat
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = parts.withColumn("_sum", F.sum(F.length(text)).over(w)).where(F.col("_sum") < most)
     return kept.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n").alias("context"))
+
+
+FORMS = {"qa": "What follows is code. {question}", "debug": "Find what is wrong in this code. {question}", "paper": "What follows is from a paper. {question}"}
+
+
+def examples(rows: DataFrame, pairs: str = "qa_pairs", form: str = "qa") -> DataFrame:
+    """(path, position, messages, metadata): one example for each pair (question, answer) of an entry (path, context, pairs).
+
+    Pairs without a question or an answer are left out; metadata names the entry, the form and the pair's place.
+    """
+    one = rows.select("path", "context", F.posexplode(pairs).alias("position", "p")).where("trim(p.question) <> '' AND trim(p.answer) <> ''")
+    asked = F.replace(F.lit(FORMS[form]), F.lit("{question}"), F.col("p.question"))
+    told = F.create_map(F.lit("path"), F.col("path").cast("string"), F.lit("form"), F.lit(form), F.lit("position"), F.col("position").cast("string"))
+    return one.select("path", "position", instruct(asked, F.col("p.answer"), F.col("context")).alias("messages"), told.alias("metadata"))

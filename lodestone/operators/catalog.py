@@ -108,3 +108,81 @@ def recent(rows: DataFrame, by: str, n: int, order: str, tie: str) -> DataFrame:
     """The latest n rows of each group, for reading in ascending order."""
     w = Window.partitionBy(by).orderBy(F.desc(order), F.desc(tie))
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+NEEDS = {"training": ("data_generation",), "chat": ("training",), "grant": ("rag", "training")}
+PIPELINES = ("rag", "data_generation", "training")
+
+
+def project_state(log: DataFrame, key: str, fields: tuple[str, ...], *order: str) -> DataFrame:
+    """(key, fields.., created_at, updated_at) of an append-only log of creations and updates.
+
+    Each field has the value of the last row that sets it (isn't null) by the order columns, of which the
+    first is the time; a field that no row sets is null.
+    """
+    at = F.struct(*order)
+    last = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields]
+    return log.groupBy(key).agg(*last, F.min(order[0]).alias("created_at"), F.max(order[0]).alias("updated_at"))
+
+
+def numbered(rows: DataFrame, by: list[str], *order: Column) -> DataFrame:
+    """rows with `place` from 1 in each group: a project's documents newest first, a draft's feedback oldest first."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def generation_report(log: DataFrame, by: str) -> DataFrame:
+    """(by, n, tokens, mean_seconds, last_at) of a generation log (by, tokens, seconds, at)."""
+    return log.groupBy(by).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.round(F.avg("seconds"), 6).alias("mean_seconds"), F.max("at").alias("last_at"))
+
+
+def availability(projects: DataFrame, models: DataFrame, indexes: DataFrame, key: str = "id") -> DataFrame:
+    """projects (key, rag_completed, ..) with has_model and has_rag; an index counts once its pipeline is completed."""
+    held = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    both = projects.join(held(models, "_model"), key, "left").join(held(indexes, "_index"), key, "left")
+    ready = F.col("_index").isNotNull() & F.coalesce("rag_completed", F.lit(False))
+    return both.withColumn("has_model", F.col("_model").isNotNull()).withColumn("has_rag", ready).drop("_model", "_index")
+
+
+def drafts_by_section(drafts: DataFrame, key: str = "project_id") -> DataFrame:
+    """(key, drafts): a map of each section's current draft as (content, citations, version); citations are a JSON list, [] without."""
+    cited = F.coalesce(F.from_json("citations", "array<string>"), F.expr("cast(array() as array<string>)"))
+    now = drafts.groupBy(key, "section").agg(F.max_by(F.struct("content", cited.alias("citations"), "version"), "version").alias("draft"))
+    return now.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "draft")))).alias("drafts"))
+
+
+def marked_complete(projects: DataFrame, done: DataFrame, key: str = "project_id") -> DataFrame:
+    """projects with <pipeline>_completed true where done (key, pipeline) has a row for it; unknown pipelines raise an error."""
+    known = done.select(key, F.when(F.col("pipeline").isin(*PIPELINES), F.col("pipeline")).otherwise(F.raise_error(F.concat(F.lit("unknown pipeline "), F.col("pipeline")))).alias("pipeline"))
+    flags = known.groupBy(key).agg(*[F.max(F.col("pipeline") == p).alias(f"_{p}") for p in PIPELINES])
+    joined = projects.join(flags, key, "left")
+    return joined.select(*[c for c in projects.columns if c not in {f"{p}_completed" for p in PIPELINES}], *[(F.coalesce(f"{p}_completed", F.lit(False)) | F.coalesce(f"_{p}", F.lit(False))).alias(f"{p}_completed") for p in PIPELINES])
+
+
+def project_status(projects: DataFrame, jobs: DataFrame, key: str = "project_id") -> DataFrame:
+    """(key, <pipeline>_completed.., active, last_<pipeline>.., can_<step>.., missing_<step>..) for every project.
+
+    jobs is (key, job_id, job_type, status, created_at); active counts those pending or running, last_<pipeline> is the
+    status of the type's newest job, and a step may be entered when all that it needs is completed.
+    """
+    own = jobs.groupBy(key).agg(F.count_if(F.col("status").isin("pending", "running")).alias("active"), *[F.max_by("status", F.when(F.col("job_type") == p, F.struct("created_at", "job_id"))).alias(f"last_{p}") for p in PIPELINES])
+    done = F.array_compact(F.array(*[F.when(F.col(f"{p}_completed"), F.lit(p)) for p in PIPELINES]))
+    steps = {s: missing_steps(F.array(*[F.lit(n) for n in needs]), done) for s, needs in NEEDS.items()}
+    joined = projects.join(own, key, "left")
+    return joined.select(key, *[f"{p}_completed" for p in PIPELINES], F.coalesce("active", F.lit(0)).alias("active"), *[f"last_{p}" for p in PIPELINES], *[(F.size(m) == 0).alias(f"can_{s}") for s, m in steps.items()], *[m.alias(f"missing_{s}") for s, m in steps.items()])
+
+
+def job_by_task(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The latest state (job_id, task_id, status, progress, created_at) of the jobs of tasks (task_id)."""
+    return latest(jobs.join(tasks.select("task_id").distinct(), "task_id", "left_semi"), ["task_id"], F.desc("created_at"), F.desc("job_id"))
+
+
+def corpus_status(projects: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """(key, exists, has_index, document_count, chunk_count) from documents (key, chunks) of projects' indexes."""
+    counted = documents.groupBy(key).agg(F.count("*").alias("document_count"), F.sum("chunks").alias("chunk_count"))
+    joined = projects.select(key).join(counted, key, "left")
+    return joined.select(key, F.col("document_count").isNotNull().alias("exists"), (F.coalesce("chunk_count", F.lit(0)) > 0).alias("has_index"), F.coalesce("document_count", F.lit(0)).alias("document_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+
+
+def missing_files(present: Column, required: tuple[str, ...] = ("chunks", "postings", "stats")) -> Column:
+    """The files of an index that aren't among those present."""
+    return F.array_except(F.array(*[F.lit(r) for r in required]), present)

@@ -1,13 +1,15 @@
 """Structure and chunking: lines, headings, sections, and the sequential packers.
 
-The packers are folds over one document's sentence array (`aggregate`), so nothing is shuffled and no
-row leaves the JVM; a task holds one document at a time.
+The packers are inherently sequential, so each document is folded in an Arrow batch where it lies, in time linear in
+its sentences; nothing is shuffled and a task holds one batch of documents at a time.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -47,58 +49,94 @@ def markdown_headings(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "pos", F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), F.regexp_extract("line", "^#+[ \\t]*(.*)$", 1).alias("line"))
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _paths(headings_: pd.Series) -> pd.Series:
+    out = []
+    for own in headings_:
+        stack, paths = [], []
+        for h in own:
+            while stack and stack[-1][0] >= h["level"]:
+                stack.pop()
+            stack.append((h["level"], h["line"]))
+            paths.append([line for _, line in stack])
+        out.append(paths)
+    return pd.Series(out, dtype=object)
+
+
 def hierarchy(found: DataFrame) -> DataFrame:
     """found (doc_id, pos, line, level) plus path: the nearest preceding headings of ever smaller levels, outermost first."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.reverse(F.collect_list(F.struct("level", "line")).over(w))
-    start = F.struct(F.lit(1 << 30).alias("level"), F.expr("cast(array() as array<string>)").alias("path"))
-    step = lambda a, h: F.when(h["level"] < a["level"], F.struct(h["level"].alias("level"), F.concat(F.array(h["line"]), a["path"]).alias("path"))).otherwise(a)
-    return found.withColumn("path", F.aggregate(seen, start, step, lambda a: a["path"]))
+    grouped = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "level"))).alias("hs"))
+    both = grouped.withColumn("paths", _paths("hs")).select("doc_id", F.explode(F.arrays_zip("hs", "paths")).alias("x"))
+    return both.select("doc_id", "x.hs.pos", "x.hs.line", "x.hs.level", F.col("x.paths").alias("path"))
 
 
-def _tail(kept: Column, budget: int) -> Column:
+def _tail(kept: list[str], budget: int) -> list[str]:
     """Trailing sentences whose tokens together stay within the budget."""
-    start = F.struct(F.lit(0).alias("sum"), F.lit(False).alias("full"), F.expr("cast(array() as array<string>)").alias("out"))
+    total, at = 0, len(kept)
+    while at and total + len(kept[at - 1]) // 4 <= budget:
+        at -= 1
+        total += len(kept[at]) // 4
+    return kept[at:]
 
-    def step(a: Column, s: Column) -> Column:
-        fits = ~a["full"] & (a["sum"] + tx.token_count(s) <= budget)
-        return F.struct(F.when(fits, a["sum"] + tx.token_count(s)).otherwise(a["sum"]).alias("sum"), (~fits).alias("full"), F.when(fits, F.concat(F.array(s), a["out"])).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(F.reverse(kept), start, step, lambda a: a["out"])
+def packed(sentences: list[str], target: int, most: int, overlap: int) -> list[str]:
+    """Chunks of a sentence list.
 
-
-def _joined(parts: Column) -> Column:
-    return F.array_join(parts, " ")
+    A sentence that would take the current chunk over `most` tokens closes it first; reaching `target` closes it
+    after; each chunk begins with the sentences of the last that fit the overlap; what remains is a chunk.
+    """
+    current, tokens, out = [], 0, []
+    for s in sentences:
+        if current and tokens + len(s) // 4 > most:
+            out.append(" ".join(current))
+            current = [*_tail(current, overlap), s]
+            tokens = len(" ".join(current)) // 4
+        else:
+            current.append(s)
+            tokens += len(s) // 4
+        if tokens >= target:
+            out.append(" ".join(current))
+            current = _tail(current, overlap)
+            tokens = len(" ".join(current)) // 4
+    return [*out, " ".join(current)] if current else out
+
+
+def packed_paper(sentences: list[str], target: int = 600, most: int = 800, least: int = 200, overlap: int = 50) -> list[str]:
+    """The papers' packer: sentences of more than 10 characters; token sums are not recounted; the last chunk needs `least`."""
+    current, tokens, out = [], 0, []
+    total = lambda c: sum(len(s) // 4 for s in c)
+    for s in sentences:
+        if len(s.strip(" ")) <= 10:
+            continue
+        if current and tokens + len(s) // 4 > most:
+            out.append(" ".join(current))
+            current = _tail(current, overlap)
+            tokens = total(current)
+        current.append(s)
+        tokens += len(s) // 4
+        if tokens >= target:
+            out.append(" ".join(current))
+            current = _tail(current, overlap)
+            tokens = total(current)
+    return [*out, " ".join(current)] if tokens >= least else out
 
 
 def pack(sentences: Column, target: int, most: int, overlap: int) -> Column:
-    """Chunks (array<string>) of a sentence array.
+    """Chunks (array<string>) of a column of sentence arrays, by packed()."""
+
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else packed(list(x), target, most, overlap) for x in column], dtype=object)
+
+    return F.pandas_udf(run, T.ArrayType(T.StringType()))(sentences)
 
-    A sentence that would take the current chunk over `most` tokens closes it first; reaching `target` closes it
-    after; each chunk begins with the sentences of the last that fit the overlap; what remains is a chunk.
-    """
-    none = "cast(array() as array<string>)"
-    start = F.struct(F.expr(none).alias("cur"), F.lit(0).alias("tok"), F.expr(none).alias("out"))
-
-    def recount(cur: Column) -> Column:
-        return F.when(F.size(cur) > 0, tx.token_count(_joined(cur))).otherwise(0)
-
-    def step(a: Column, s: Column) -> Column:
-        over = (a["tok"] + tx.token_count(s) > most) & (F.size(a["cur"]) > 0)
-        moved = F.concat(_tail(a["cur"], overlap), F.array(s))
-        one = F.struct(
-            F.when(over, moved).otherwise(F.concat(a["cur"], F.array(s))).alias("cur"),
-            F.when(over, recount(moved)).otherwise(a["tok"] + tx.token_count(s)).alias("tok"),
-            F.when(over, F.concat(a["out"], F.array(_joined(a["cur"])))).otherwise(a["out"]).alias("out"),
-        )
-        # a second, one-element fold names the state between the two rules, so that it is computed once
-        return F.aggregate(
-            F.array(one),
-            a,
-            lambda _, b: F.when(b["tok"] >= target, F.struct(_tail(b["cur"], overlap).alias("cur"), recount(_tail(b["cur"], overlap)).alias("tok"), F.concat(b["out"], F.array(_joined(b["cur"]))).alias("out"))).otherwise(b),
-        )
 
-    return F.aggregate(sentences, start, step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["out"], F.array(_joined(a["cur"])))).otherwise(a["out"]))
+def pack_paper(sentences: Column) -> Column:
+    """Chunks (array<string>) of a column of sentence arrays, by packed_paper()."""
+
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else packed_paper(list(x)) for x in column], dtype=object)
+
+    return F.pandas_udf(run, T.ArrayType(T.StringType()))(sentences)
 
 
 def rag_chunks(docs: DataFrame, kind: str = "default") -> DataFrame:
@@ -115,26 +153,6 @@ def rag_chunks(docs: DataFrame, kind: str = "default") -> DataFrame:
     return cleaned.select("doc_id", (F.row_number().over(w) - 1).alias("chunk_index"), "text", tx.token_count(F.col("text")).alias("token_count"))
 
 
-def pack_paper(sentences: Column, target: int = 600, most: int = 800, least: int = 200, overlap: int = 50) -> Column:
-    """The papers' packer: sentences of more than 10 characters; token sums are not recounted; the last chunk needs `least`."""
-    none = "cast(array() as array<string>)"
-    start = F.struct(F.expr(none).alias("cur"), F.lit(0).alias("tok"), F.expr(none).alias("out"))
-    total = lambda c: F.aggregate(c, F.lit(0), lambda t, s: t + tx.token_count(s))
-
-    def step(a: Column, s: Column) -> Column:
-        over = (a["tok"] + tx.token_count(s) > most) & (F.size(a["cur"]) > 0)
-        kept = _tail(a["cur"], overlap)
-        one = F.struct(
-            F.when(over, F.concat(kept, F.array(s))).otherwise(F.concat(a["cur"], F.array(s))).alias("cur"),
-            F.when(over, total(kept) + tx.token_count(s)).otherwise(a["tok"] + tx.token_count(s)).alias("tok"),
-            F.when(over, F.concat(a["out"], F.array(_joined(a["cur"])))).otherwise(a["out"]).alias("out"),
-        )
-        return F.aggregate(F.array(one), a, lambda _, b: F.when(b["tok"] >= target, F.struct(_tail(b["cur"], overlap).alias("cur"), total(_tail(b["cur"], overlap)).alias("tok"), F.concat(b["out"], F.array(_joined(b["cur"]))).alias("out"))).otherwise(b))
-
-    long = F.filter(sentences, lambda s: F.length(F.trim(s)) > 10)
-    return F.aggregate(long, start, step, lambda a: F.when(a["tok"] >= least, F.concat(a["out"], F.array(_joined(a["cur"])))).otherwise(a["out"]))
-
-
 def paper_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk_index, content, token_count, prev_preview, next_preview)."""
     raw = docs.select("doc_id", F.posexplode(pack_paper(tx.sentences(F.col("text")))).alias("chunk_index", "content"))
@@ -171,3 +189,34 @@ def windows(chunks: DataFrame, size: int) -> DataFrame:
     """(doc_id, window_no, indices): complete runs of `size` consecutive chunks that don't overlap."""
     grouped = chunks.groupBy("doc_id", F.floor(F.col("chunk_index") / size).alias("window_no")).agg(F.array_sort(F.collect_list("chunk_index")).alias("indices"))
     return grouped.where(F.size("indices") == size)
+
+
+def structured(docs: DataFrame) -> DataFrame:
+    """(doc_id, section_no, title, path, content): the sections of documents (doc_id, doc_type, text) by type.
+
+    Markdown is cut at '#' headings, everything else at lines that look like headings; a document without any is one
+    section without a title. path holds the titles above a section, its own last.
+    """
+    marked = F.col("doc_type") == "md"
+    own = sections(docs.where(~F.coalesce(marked, F.lit(False)))).select("doc_id", "section_no", "title", "level", F.col("start_line").alias("pos"), "content")
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    numbered = lines(docs.where(marked)).withColumn("head", F.col("line").rlike("^#+")).withColumn("section_no", F.sum(F.col("head").cast("int")).over(w))
+    body = F.when(~F.col("head") & (F.col("line") != ""), F.struct("pos", "line"))
+    head = F.max(F.when(F.col("head"), F.col("line")))
+    notes = numbered.groupBy("doc_id", "section_no").agg(head.alias("h"), F.min("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["line"]), "\n").alias("content"))
+    notes = notes.select("doc_id", "section_no", F.regexp_extract("h", "^#+[ \\t]*(.*)$", 1).alias("title"), F.length(F.regexp_extract("h", "^(#+)", 1)).alias("level"), "pos", "content")
+    every = own.unionByName(notes)
+    paths = hierarchy(every.where("title IS NOT NULL").select("doc_id", "pos", F.col("title").alias("line"), "level")).select("doc_id", "pos", "path")
+    return every.join(paths, ["doc_id", "pos"], "left").select("doc_id", "section_no", "title", "path", "content")
+
+
+def section_chunks(docs: DataFrame, kind: str = "default") -> DataFrame:
+    """(doc_id, section_no, title, path, chunk_index, text, token_count): each section of documents (doc_id, doc_type, text)
+    packed by itself under a type's limits; chunks are numbered through the document, and no chunk spans two sections."""
+    target, least, most = tx.STRATEGIES[kind]
+    target = target or most
+    parts = F.filter(tx.sentences(F.col("content")), lambda s: F.length(F.trim(s)) > 0)
+    raw = structured(docs).select("doc_id", "section_no", "title", "path", F.posexplode(pack(parts, target, most, int(0.1 * target))).alias("i", "raw"))
+    cleaned = raw.withColumn("text", tx.clean(F.col("raw"))).where(tx.token_count(F.col("text")) >= least)
+    w = Window.partitionBy("doc_id").orderBy("section_no", "i")
+    return cleaned.select("doc_id", "section_no", "title", "path", (F.row_number().over(w) - 1).alias("chunk_index"), "text", tx.token_count(F.col("text")).alias("token_count"))

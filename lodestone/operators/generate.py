@@ -175,3 +175,64 @@ def difficulty(chunks: Column) -> Column:
 def parsed_answer(raw: Column) -> list[Column]:
     """question and answer of a 'QUESTION: .. ANSWER: ..' reply; '' where a part is missing."""
     return [F.trim(F.regexp_extract(raw, "(?s)QUESTION:(.*?)ANSWER:", 1)).alias("question"), F.trim(F.regexp_extract(raw, "(?s)ANSWER:(.*)$", 1)).alias("answer")]
+
+
+TECHNICAL = ("algorithm", "configuration", "implementation", "optimization", "performance")
+OUTWARD = ("benchmark", "compare", "connect", "deployment", "equivalent", "first", "history", "integrate", "originally", "production", "require", "scale", "version", "when", "who", "why")
+COMPARING = ("alternative", "better", "compare", "faster", "versus")
+TRICKY = (("design_pattern", "Which design pattern does `{name}` follow?"), ("time_complexity", "What is the time complexity of `{name}`?"))
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | text.contains(w)
+    return found
+
+
+def traps(question: Column, name: Column, kind: Column) -> Column:
+    """What tempts to answer a negative question: array of real_name, technical, detailed, plausible_parameter, asks_for_numbers."""
+    low = F.lower(question)
+    parts = (
+        F.when(question.contains(name), "real_name"),
+        F.when(_any(low, TECHNICAL), "technical"),
+        F.when(F.size(F.filter(F.split(F.trim(question), "[ \\t\\r\\n]+"), lambda w: w != "")) > 10, "detailed"),
+        F.when(kind == "nonexistent_parameter", "plausible_parameter").when(kind == "performance_claim", "asks_for_numbers"),
+    )
+    return F.array_compact(F.array(*parts))
+
+
+def cues(question: Column, kind: Column) -> Column:
+    """What should lead to abstaining: array of outside_words, absent_element, outside_domain, comparison."""
+    low = F.lower(question)
+    parts = (
+        F.when(_any(low, OUTWARD), "outside_words"),
+        F.when(kind.isin("nonexistent_parameter", "nonexistent_method"), "absent_element"),
+        F.when(kind == "external_knowledge", "outside_domain"),
+        F.when(_any(low, COMPARING), "comparison"),
+    )
+    return F.array_compact(F.array(*parts))
+
+
+def adversarial(symbols: DataFrame) -> DataFrame:
+    """(path, name, focus, question, difficulty): two hard questions for each symbol that its source only seems to answer."""
+    dim = F.array(*[F.struct(F.lit(f).alias("focus"), F.lit(t).alias("t")) for f, t in TRICKY])
+    every = symbols.select("path", "name", F.explode(dim).alias("d"))
+    return every.select("path", "name", "d.focus", F.replace(F.col("d.t"), F.lit("{name}"), F.col("name")).alias("question"), F.lit("hard").alias("difficulty"))
+
+
+def versions(symbols: DataFrame) -> DataFrame:
+    """(path, name, task, original, buggy, bug_type, line): for each symbol (path, name, source, language) with a bug to
+    plant, one comparison of both versions and up to two steps, the second of which starts from the first one's bug."""
+    found = symbols.select("path", "name", "source", F.posexplode(injected(F.col("source"), F.col("language"), F.lit(2))).alias("step", "b"), injected(F.col("source"), F.col("language"), F.lit(2)).alias("all"))
+    before = F.when(F.col("step") == 0, F.col("source")).otherwise(F.try_element_at("all", F.lit(1))["buggy"])
+    steps = found.select("path", "name", "step", before.alias("original"), "b.buggy", "b.bug_type", "b.line")
+    named = steps.withColumn("task", F.concat(F.lit("step_"), (F.col("step") + 1).cast("string")))
+    compared = steps.where("step = 0").withColumn("task", F.lit("compare"))
+    return compared.unionByName(named).select("path", "name", "task", "original", "buggy", "bug_type", "line")
+
+
+def task_stats(rows: DataFrame, *columns: str) -> DataFrame:
+    """(column, value, n) for each of the columns: what was generated, by kind."""
+    parts = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x"))
+    return parts.groupBy("x.column", "x.value").agg(F.count("*").alias("n"))

@@ -106,3 +106,36 @@ def external_knowledge(text: Column) -> Column:
     for phrase in OUTSIDE:
         found = found | low.contains(phrase)
     return found & ~text.contains("NOT_IN_CONTEXT")
+
+
+def needs_context(feedback: Column) -> Column:
+    """Whether feedback on a draft asks for more than the draft's own context, by any of 13 words anywhere in it."""
+    found, low = F.lit(False), F.lower(feedback)
+    for word in ("add", "address", "cite", "cover", "describe", "detail", "discuss", "elaborate", "expand", "explain", "include", "more", "reference"):
+        found = found | low.contains(word)
+    return found
+
+
+def grounded(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """Rows whose answer isn't an abstention."""
+    return rows.where(F.col(answer).isNotNull() & ~F.col(answer).contains("NOT_IN_CONTEXT"))
+
+
+def five_point(section: Column, text: Column) -> Column:
+    """The older rubric, 0 to 5: length, the words a section should have, and at least three sentences."""
+    low, size = F.lower(text), F.length(F.trim(text))
+    off = lambda test, by: F.when(test, by).otherwise(0.0)
+    lost = off(size < 100, 2.0) + off(size > 2000, 0.5) + off(F.size(F.split(text, "\\. ")) < 3, 1.0)
+    lost = lost + off((section == "Background") & ~low.contains("gap") & ~low.contains("problem"), 1.0)
+    lost = lost + off((section == "Objectives") & ~low.rlike("\\b(aim|goal|objective)\\b"), 1.0)
+    lost = lost + off((section == "Specific Aims") & ~low.rlike("aim [0-9]|aim one|aim two|aim three"), 1.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(5.0), 5.0 - lost))
+
+
+def five_point_band(score: Column) -> Column:
+    return F.when(score >= 4.0, "ready for review").when(score >= 3.0, "minor changes").otherwise("major changes")
+
+
+def evaluated(rows: DataFrame, scorer) -> DataFrame:
+    """rows with the six scores that `scorer` (rows -> rows with FIELDS) gives, their overall score and whether they pass."""
+    return scorer(rows).withColumn("overall", overall(*[F.col(f) for f in FIELDS])).withColumn("passes", passes_gate())

@@ -6,6 +6,8 @@ A batch of queries is a table; nothing loops over queries on the driver. Ranked
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,3 +221,120 @@ def with_cache(chunks: DataFrame, cache: DataFrame, encode) -> DataFrame:
     """chunks with vectors: from the cache where it has them, else encoded once for each distinct text."""
     fresh = cache_misses(chunks, cache).select("hash", encode(F.col("text")).alias("v"))
     return chunks.withColumn("hash", F.sha2("text", 256)).join(cache.select("hash", "v").unionByName(fresh), "hash", "left")
+
+
+@dataclass(frozen=True)
+class SearchConfig:
+    """How search() runs; replace() gives a changed copy."""
+
+    k: int = 10
+    dense_k: int = 20
+    sparse_k: int = 20
+    expand: bool = False
+    expansions: int = 2
+    rerank: bool = True
+    auto_k: bool = True
+    spans: bool = False
+    fusion: str = "rrf"  # rrf, linear or rank_sum
+    dense_weight: float = 0.6
+    sparse_weight: float = 0.4
+    diversity: float = 0.85
+
+    @property
+    def depth(self) -> int:
+        """Candidates fused: three times k before a rerank, and no fewer than either list holds."""
+        return max(self.k * (3 if self.rerank else 1), self.dense_k, self.sparse_k)
+
+
+PRESETS = {
+    "default": SearchConfig(),
+    "research": SearchConfig(dense_k=25, sparse_k=25, expand=True, spans=True, diversity=0.8),
+    "technical": SearchConfig(k=15, dense_k=30, sparse_k=20, expand=True, expansions=3, fusion="linear", dense_weight=0.7, sparse_weight=0.3),
+}
+
+
+def configured(preset: str = "default", **changes) -> SearchConfig:
+    """A preset with some settings changed; unknown settings are ignored."""
+    known = {f.name for f in fields(SearchConfig)}
+    return replace(PRESETS[preset], **{k: v for k, v in changes.items() if k in known})
+
+
+def bi_rerank(candidates: DataFrame, encode) -> DataFrame:
+    """candidates (query_id, query, id, text, ..) ranked anew by the cosine of query and text under one encoder."""
+    return ranked(candidates.withColumn("score", F.round(vx.cosine(encode(F.col("query")), encode(F.col("text"))), 9)))
+
+
+def fused(lists: DataFrame, config: SearchConfig) -> DataFrame:
+    """Lists (query_id, method 'dense' or 'sparse', id, score, rank) as one, by the configured method."""
+    if config.fusion == "linear":
+        return linear_fusion(lists, {"dense": config.dense_weight, "sparse": config.sparse_weight}, config.depth)
+    if config.fusion == "rank_sum":
+        return rank_sum(lists, 2, config.depth, config.depth)
+    return reciprocal_rank(lists, k=config.depth)
+
+
+def search(chunks: DataFrame, queries: DataFrame, config: SearchConfig = PRESETS["default"], pair_score=lexical_overlap, encode=vx.text_vector) -> DataFrame:
+    """(query_id, id, score, rank, k, added_terms, text, citation, source, section, page, spans) for a table of queries (query_id, query).
+
+    Expands queries from their best five lexical hits, fuses dense and lexical lists, makes them diverse, sets each
+    query's k (raised for comparisons and flat tails), reranks by pair_score, cuts to k and, if asked, adds the cited
+    spans. chunks is (id, text, source[, section, page]). Every step is one pass over the whole batch of queries.
+    """
+    coded = saved(chunks.select("id", encode(F.col("text")).alias("v")))
+    asked = queries.select("query_id", "query")
+    as_docs = chunks.withColumnRenamed("id", "doc_id")
+    if config.expand:
+        first = chunks.select("id", "text").join(bm25(as_docs, asked, 5), "id")
+        asked = saved(expanded(asked, expansion_terms(first, asked, encode, count=config.expansions)))
+    near = dense(coded, asked.select("query_id", encode(F.col("query")).alias("v")), config.depth).withColumn("method", F.lit("dense"))
+    words = bm25(as_docs, asked, config.depth).withColumn("method", F.lit("sparse"))
+    met = saved(fused(near.unionByName(words), config))
+    kept = saved(ranked(diverse(met.join(coded, "id"), config.diversity)))
+    limit = adaptive_k(kept, queries, config.k) if config.auto_k else queries.select("query_id", F.lit(config.k).alias("k"))
+    told = kept.join(chunks, "id").join(queries, "query_id")
+    scored = ranked(told.withColumn("score", F.round(pair_score(F.col("query"), F.col("text")), 9))) if config.rerank else told
+    cut = scored.join(limit.select("query_id", "k"), "query_id").where(F.col("rank") <= F.col("k"))
+    grown = asked.select("query_id", F.size(F.split("query", tx.BLANKS)).alias("_n")).join(queries.select("query_id", F.size(F.split("query", tx.BLANKS)).alias("_m")), "query_id").select("query_id", (F.col("_n") - F.col("_m")).alias("added_terms"))
+    out = result_shape(cut.join(grown, "query_id"), "query_id", "id", "score", "rank", "k", "added_terms")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string,confidence:double>>)")
+    if not config.spans:
+        return out.withColumn("spans", none)
+    from . import evidence
+
+    found = evidence.cited_spans(out.join(queries.select(F.col("query_id"), F.col("query").alias("claim")), "query_id").select(F.col("query_id").alias("claim_id"), "claim", "id", "text"))
+    spans = found.groupBy(F.col("claim_id").alias("query_id"), "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "start", "end", "text", "confidence"))), lambda x: F.struct(x["start"], x["end"], x["text"], x["confidence"])).alias("spans"))
+    return out.join(spans, ["query_id", "id"], "left").withColumn("spans", F.coalesce("spans", none))
+
+
+def result_shape(hits: DataFrame, *keys: str) -> DataFrame:
+    """keys and (text, citation, source, section, page): N/A where a section or page is unknown."""
+    null = lambda c: F.col(c).cast("string") if c in hits.columns else F.lit(None).cast("string")
+    known = lambda c: F.coalesce(F.when(null(c) != "", null(c)), F.lit("N/A")).alias(c)
+    return hits.select(*keys, "text", tx.citation(F.col("source"), null("section"), null("page")).alias("citation"), "source", known("section"), known("page"))
+
+
+def search_stats(log: DataFrame) -> DataFrame:
+    """One row over a log of searches (seconds, words, added_terms, raised, hits, misses): totals, means and the cache's hit rate."""
+    asked = F.sum("hits") + F.sum("misses")
+    return log.agg(F.count("*").alias("searches"), F.round(F.avg("seconds"), 6).alias("mean_seconds"), F.round(F.avg("words"), 6).alias("mean_words"), F.round(F.avg(F.when(F.col("added_terms") > 0, F.col("added_terms"))), 6).alias("mean_added_terms"), F.count_if("raised").alias("raised"), F.round(F.when(asked > 0, F.sum("hits") / asked), 6).alias("hit_rate"))
+
+
+def filtered(chunks: DataFrame, quality: float | None = 0.3, newest: Column | None = None, days: int | None = None, types: tuple[str, ...] | None = None, sections: tuple[str, ...] | None = None) -> DataFrame:
+    """chunks (quality, updated_at, doc_type, section) of at least that quality, at most so many days older than `newest`,
+    of the allowed types and outside the excluded sections; a setting of None filters nothing."""
+    keep = F.lit(True) if quality is None else F.coalesce(F.col("quality") >= quality, F.lit(False))
+    if days is not None:
+        keep = keep & (F.col("updated_at") >= newest - F.expr(f"INTERVAL {int(days)} DAYS"))
+    if types is not None:
+        keep = keep & F.col("doc_type").isin(*types)
+    if sections is not None:
+        keep = keep & ~F.coalesce(F.col("section").isin(*sections), F.lit(False))
+    return chunks.where(keep)
+
+
+def paragraph_hits(docs: DataFrame, queries: DataFrame, encode, k: int = 3) -> DataFrame:
+    """(query_id, doc_id, pos, text, score, rank): the k paragraphs, set apart by blank lines, nearest to each query."""
+    parts = docs.select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("pos", "text")).withColumn("text", F.trim(F.regexp_replace("text", "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", ""))).where("text <> ''")
+    coded = saved(parts.withColumn("id", F.col("doc_id") * (1 << 24) + F.col("pos")).withColumn("v", encode(F.col("text"))))
+    top = dense(coded.select("id", "v"), queries.select("query_id", encode(F.col("query")).alias("v")), k)
+    return coded.drop("v").join(top, "id").select("query_id", "doc_id", "pos", "text", "score", "rank")
