@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..checkpoints import saved
 from ..functions import text as tx
@@ -53,7 +56,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc
     query has are shuffled.
     """
     wanted = query_terms(queries)
-    return score_postings(_counted(_of_batch(_exploded(docs, id_column), wanted)), corpus_stats(docs), wanted, k)
+    own = saved(_counted(_of_batch(_exploded(docs, id_column), wanted)))  # read twice, for df and for the scores
+    return score_postings(own, corpus_stats(docs), wanted, k)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -73,6 +77,12 @@ def bm25_indexed(postings_: DataFrame, stats: DataFrame, queries: DataFrame, k:
     return score_postings(_of_batch(postings_, wanted), stats, wanted, k)
 
 
+def terms_with_idf(postings_: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) of an index."""
+    df = postings_.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    return df.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
 def score_postings(p: DataFrame, stats: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -155,20 +165,33 @@ def expanded(queries: DataFrame, terms: DataFrame) -> DataFrame:
     return queries.join(added, "query_id", "left").withColumn("query", F.concat_ws(" ", "query", "extra")).drop("extra")
 
 
+def apart(vectors: np.ndarray, threshold: float) -> list[int]:
+    """Rows kept by a greedy pass in order: a row goes if its cosine with any row kept before reaches the threshold."""
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+    near, kept = unit @ unit.T >= threshold, []
+    for i in range(len(unit)):
+        if not near[i, kept].any():
+            kept.append(i)
+    return kept
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _apart(vectors: pd.Series, threshold: pd.Series) -> pd.Series:
+    return pd.Series([apart(np.array([np.asarray(v, np.float64) for v in own]), t) for own, t in zip(vectors, threshold)], dtype=object)
+
+
 def diverse(found: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Rows of found (query_id, id, score, rank, v) kept by a greedy pass in rank order.
 
-    A row goes if its cosine with any row kept before reaches the threshold. The pass is a fold over each
-    query's candidates, which are at most twice its k.
+    A row goes if its cosine with any row kept before reaches the threshold. A query's candidates, a small multiple of
+    its k, are passed in one Arrow batch with those of other queries.
     """
     if threshold >= 1.0:
         return found.drop("v")
-    items = F.array_sort(F.collect_list(F.struct("rank", "id", "score", "v")))
-    kind = "array<struct<rank:int,id:bigint,score:double,v:array<double>>>"
-    typed = found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").cast("bigint").alias("id"), F.col("score").cast("double").alias("score"), F.transform("v", lambda x: x.cast("double")).alias("v"))
-    step = lambda kept, x: F.when(F.exists(kept, lambda y: vx.cosine(x["v"], y["v"]) >= threshold), kept).otherwise(F.concat(kept, F.array(x)))
-    grouped = typed.groupBy("query_id").agg(F.aggregate(items, F.expr(f"cast(array() as {kind})"), step).alias("kept"))
-    return grouped.select("query_id", F.explode("kept").alias("x")).select("query_id", "x.id", "x.score", "x.rank")
+    items = F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), F.col("id").cast("bigint").alias("id"), F.col("score").cast("double").alias("score"), "v")))
+    grouped = found.groupBy("query_id").agg(items.alias("xs")).withColumn("kept", _apart(F.transform("xs", lambda x: x["v"]), F.lit(threshold)))
+    return grouped.select("query_id", "xs", F.explode("kept").alias("i")).select("query_id", F.get("xs", F.col("i")).alias("x")).select("query_id", "x.id", "x.score", "x.rank")
 
 
 def rerank(candidates: DataFrame, cross: Column, bi: Column, weight: float = 0.7) -> DataFrame:

@@ -25,5 +25,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: tables whose rows are worth more time than their bytes say
+TEXTS = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the cluster has cores, such as one small file, over all of them; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
