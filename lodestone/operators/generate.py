@@ -174,7 +174,8 @@ def difficulty(chunks: Column) -> Column:
 
 def parsed_answer(raw: Column) -> list[Column]:
     """question and answer of a 'QUESTION: .. ANSWER: ..' reply; '' where a part is missing."""
-    return [F.trim(F.regexp_extract(raw, "(?s)QUESTION:(.*?)ANSWER:", 1)).alias("question"), F.trim(F.regexp_extract(raw, "(?s)ANSWER:(.*)$", 1)).alias("answer")]
+    bare = lambda c: F.regexp_replace(c, "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
+    return [bare(F.regexp_extract(raw, "(?s)QUESTION:(.*?)ANSWER:", 1)).alias("question"), bare(F.regexp_extract(raw, "(?s)ANSWER:(.*)$", 1)).alias("answer")]
 
 
 TECHNICAL = ("algorithm", "configuration", "implementation", "optimization", "performance")

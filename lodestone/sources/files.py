@@ -11,7 +11,7 @@ from .. import schemas
 from ..functions import text as tx
 
 TEXT_EXTENSIONS = ("pdf", "txt", "md", "tex", "rst")
-CODE_EXTENSIONS = ("py", "r", "R", "c", "h", "cpp", "cc", "cxx", "hpp", "hxx", "hh")
+CODE_EXTENSIONS = ("py", "r", "R", "c", "h", "cpp", "cc", "cxx", "hpp", "h++")
 
 
 def binary(spark: SparkSession, path: str, extensions: tuple[str, ...] = (), recursive: bool = True) -> DataFrame:
@@ -41,7 +41,10 @@ def code(spark: SparkSession, path: str) -> DataFrame:
 
 
 def paged(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): PDF pages behind [PAGE n] markers, where a PDF library is installed; unreadable files have null text."""
+    """(path, text, pages, title, error): PDF pages behind [PAGE n] markers, where a PDF library is installed.
+
+    The title is the file's own or its stem; an unreadable file has null text and the error's message.
+    """
 
     def run(frames):
         import io
@@ -51,15 +54,18 @@ def paged(spark: SparkSession, path: str) -> DataFrame:
 
         for f in frames:
             out = []
-            for data in f["content"]:
+            for at, data in zip(f["path"], f["content"]):
+                stem = os.path.splitext(os.path.basename(at))[0]
                 try:
-                    pages = [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
-                    out.append("\n".join(f"[PAGE {i}]\n{t}" for i, t in enumerate(pages, 1) if t.strip()))
-                except Exception:  # noqa: BLE001 - a damaged file is a row with null text
-                    out.append(None)
-            yield pd.DataFrame({"path": f["path"], "text": out})
+                    reader = PdfReader(io.BytesIO(data))
+                    pages = [p.extract_text() or "" for p in reader.pages]
+                    text = "\n".join(f"[PAGE {i}]\n{t}" for i, t in enumerate(pages, 1) if t.strip())
+                    out.append((at, text, len(pages), (reader.metadata or {}).get("/Title") or stem, None))
+                except Exception as e:  # noqa: BLE001 - a damaged file is a row with its error
+                    out.append((at, None, None, stem, str(e)))
+            yield pd.DataFrame(out, columns=["path", "text", "pages", "title", "error"])
 
-    return binary(spark, path, ("pdf",)).select("path", "content").mapInPandas(run, "path string, text string")
+    return binary(spark, path, ("pdf",)).select("path", "content").mapInPandas(run, "path string, text string, pages int, title string, error string")
 
 
 def is_scanned(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -98,6 +104,11 @@ def jdbc(spark: SparkSession, url: str, table: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=table).load()
 
 
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot, one row or none."""
+    return snapshots(spark, path).limit(1)
+
+
 def stage_done(spark: SparkSession, folder: str) -> bool:
     """Whether a stage's Parquet output is complete."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
