@@ -189,8 +189,11 @@ def solve(scores: DataFrame, targets: np.ndarray, tolerance: float = 1e-6) -> tu
         step = length * (np.linalg.pinv(gram, rcond=1e-12) @ (total - goal))
         new, new_gram = facts(_onward(F.col("_r"), [*steps, step]))
         if loss(new) < loss(total) * (1 - 1e-3 * length):
+            moved = np.abs(new - total).max()
             total, gram, length = new, new_gram, min(1.0, 2 * length)
             steps.append(step)
+            if moved <= 1e-3 * tolerance * size:
+                break
             if len(steps) == _FOLD:  # a long replay is folded into a written column
                 scores, steps = saved(scores.withColumn("_r", _onward(F.col("_r"), steps))), []
         elif length < 1e-4:
