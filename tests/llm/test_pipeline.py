@@ -69,7 +69,7 @@ def by_hand(spark, docs, known):
         from lodestone.llm.common import word_hashes
         import pyarrow as pa
 
-        hashed = word_hashes(pa.array([r[1]]))[0].tolist()
+        hashed = word_hashes(pa.array([r[1]], pa.string()))[0].tolist()
         if not hashed or naive_score(model, hashed) < model.thresholds.get(r[2], model.thresholds[None]):
             left.append(r)
     # near copies: all pairs of signatures, by brute force
