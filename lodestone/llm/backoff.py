@@ -16,19 +16,22 @@ at most chunks times partitions, and never more than the distinct n-grams of the
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, word_hashes
+from .common import lean, mix, slices, trim, word_hashes
 
 ORDER = 3
 ALPHA = 0.4
 LEAST = 2
-_CHUNK_CHARS = 8 << 20
-_PART_CHUNKS = 4  # chunks' worth of n-grams in a partition
+_CHUNK_CHARS = 5 << 20
+_GATHERED = 4096
+_PART_CHUNKS = 2  # chunks' worth of n-grams in a partition
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -52,10 +55,39 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(_expanded(data), dtype=np.uint64)
 
 
-def _grams(text: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, doc_id, text) of a batch as one row for each chunk: ids, byte lengths and compressed text."""
+    for batch in batches:
+        chunk = batch.column(0).to_numpy()
+        for c in np.unique(chunk):
+            own = pa.array(np.flatnonzero(chunk == c))
+            for at in range(0, len(own), _GATHERED):
+                some = own.slice(at, _GATHERED)
+                text = batch.column(2).take(some).cast(pa.large_binary())
+                data = b"".join(text.to_pylist())
+                ids, sizes = batch.column(1).take(some), pc.binary_length(text).cast(pa.int64())
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.record_batch([pa.array([int(c)], pa.int32()), one(ids), one(sizes), pa.array([pa.compress(data, "zstd", asbytes=True)], pa.binary())], ["chunk", "ids", "sizes", "data"])
+
+
+_GATHER = "chunk int, ids array<long>, sizes array<long>, data binary"
+
+
+def _texts(table: pa.Table) -> Iterator[pa.Array]:
+    for sizes, data in zip(table["sizes"].to_pylist(), table["data"]):
+        offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+        raw = pa.decompress(data.as_py(), int(offsets[-1]), "zstd") if offsets[-1] else b""
+        yield pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(raw))
+
+
+def _ids(table: pa.Table) -> pa.Array:
+    return pa.concat_arrays([x for c in table["ids"].chunks for x in [c.flatten()]]) if table.num_rows else pa.array([], pa.int64())
+
+
+def _grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """64-bit n-gram hashes of every order at every word (its last word), positions in the text, and text lengths."""
     found, lengths = [], []
-    for part in text.chunks:
+    for part in _texts(table):
         for at, to in slices(part):
             words, offsets = word_hashes(part.slice(at, to - at))
             found.append(words)
@@ -80,12 +112,13 @@ def _ask(order: int, parts: int):
     bounds = _bounds(parts)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        grams, place, _ = _grams(table["text"], order)
+        grams, place, _ = _grams(table, order)
         rows = [(0, 0, b"", np.array([len(place)], np.int64).tobytes())]
         for n, g in enumerate(grams, 1):
             keys, counts = np.unique(g[place >= n - 1], return_counts=True)
             cuts = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
             rows += [(p, n, _pack(keys[a:b]), _squeezed(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+        trim()
         part, orders, keys, counts = zip(*rows)
         return pa.table({"part": pa.array(part, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int32()), "n": pa.array(orders, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
@@ -109,6 +142,7 @@ def _answer(least: int):
             sums = np.where(sums >= least, sums, 0)
             ends = np.cumsum([len(c) for c in columns])
             out += [(int(chunk[i]), int(order), key[0].as_py(), _squeezed(sums[code[e - len(c) : e]])) for i, c, e in zip(own, columns, ends)]
+        trim()
         chunk, n, part, counts = zip(*out)
         return pa.table({"chunk": pa.array(chunk, pa.int32()), "n": pa.array(n, pa.int32()), "part": pa.array(part, pa.int32()), "counts": pa.array(counts, pa.binary())})
 
@@ -117,17 +151,23 @@ def _answer(least: int):
 
 def _score(order: int, alpha: float):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, place, lengths = _grams(docs["text"], order)
+        grams, place, lengths = _grams(docs, order)
         n, part, got = answers["n"].to_numpy(), answers["part"].to_numpy(), answers["counts"].to_pylist()
         total = int(np.frombuffer(got[int(np.flatnonzero(n == 0)[0])], np.int64)[0])
         counts = []
-        for k, g in enumerate(grams, 1):
+        for k in range(1, order + 1):
             own = np.flatnonzero(n == k)
             sums = np.concatenate([np.zeros(0, np.uint64), *(_expanded(got[i]) for i in own[np.argsort(part[own])])])
-            here = np.zeros(len(place), np.float64)
-            valid = place >= k - 1
-            here[valid] = sums[np.unique(g[valid], return_inverse=True)[1]]
+            for i in own:
+                got[i] = b""
+            g, grams[k - 1] = grams[k - 1], None  # freed order by order
+            here, at = np.zeros(len(place), np.float64), np.flatnonzero(place >= k - 1).astype(np.int32)
+            at = at[np.argsort(g[at], kind="stable")]
+            g = g[at]
+            if len(at):
+                here[at] = sums[np.cumsum(np.append(False, g[1:] != g[:-1]))]
             counts.append(here)
+            del g, at, sums
         possible = np.minimum(place + 1, order)
         level = np.ones(len(place), np.int64)
         value = np.log(np.maximum(counts[0], 1) / max(total, 1))
@@ -142,7 +182,8 @@ def _score(order: int, alpha: float):
         score = np.bincount(row, weights=value, minlength=len(lengths))
         backed = np.bincount(row, weights=possible > level, minlength=len(lengths))
         mean = pa.array(np.round(score / np.maximum(lengths, 1), 6), mask=lengths == 0)
-        return pa.table({"doc_id": docs["doc_id"], "tokens": pa.array(lengths), "log_score": pa.array(np.round(score, 4)), "mean_log_score": mean, "backed_off": pa.array(backed.astype(np.int64))})
+        trim()
+        return pa.table({"doc_id": _ids(docs), "tokens": pa.array(lengths), "log_score": pa.array(np.round(score, 4)), "mean_log_score": mean, "backed_off": pa.array(backed.astype(np.int64))})
 
     return run
 
@@ -160,7 +201,8 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
     chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     chunks = max(1, math.ceil(chars / _CHUNK_CHARS))
     parts = math.ceil(chunks / _PART_CHUNKS)
-    placed = texts.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")), F.lit(chunks)).cast("int")).repartition(2 * chunks, "chunk")
+    placed = texts.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")), F.lit(chunks)).cast("int"))
+    placed = placed.select("chunk", "doc_id", "text").mapInArrow(lean(_gather), _GATHER).repartition(2 * chunks, "chunk")
     asked = placed.groupBy("chunk").applyInArrow(_ask(order, parts), "part int, chunk int, n int, keys binary, counts binary").repartition(2 * parts, "part")
     answers = asked.groupBy("part").applyInArrow(_answer(least), "chunk int, n int, part int, counts binary")
     return placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, alpha), "doc_id long, tokens long, log_score double, mean_log_score double, backed_off long")
