@@ -84,10 +84,15 @@ def terms_with_idf(postings_: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def score_postings(p: DataFrame, stats: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The k best (query_id, id, score, rank) of postings (id, term, tf, dl); weights and saturations are computed before
+    the rows of the two sides multiply."""
+    one = F.broadcast(stats)
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = p.join(wanted.join(df, "term"), "term").crossJoin(F.broadcast(stats)).groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    asked = wanted.join(df, "term").crossJoin(one).select("query_id", "term", (F.col("qtf") * idf).alias("w"))
+    asked = F.broadcast(asked) if wanted.count() < BROADCAST_TERMS else asked  # no more rows than the batch has terms
+    held = p.crossJoin(one).select("id", "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("s"))
+    scored = held.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("s")).alias("score"))
     return ranked(scored.withColumn("score", F.round("score", 9)), k)
 
 
