@@ -747,7 +747,7 @@ def test_domain_posteriors_equal_naive_softmax():
     got = mixing.posteriors(model, ids, offsets, dense)
     for i, t in enumerate(text.to_pylist()):
         raw = (t or "").encode()
-        words = common.word_hashes(pa.array([t]))[0].tolist()
+        words = common.word_hashes(pa.array([t], pa.string()))[0].tolist()
         x = [math.sqrt(raw.count(bytes([b])) / max(1, len(raw))) for b in range(256)] + [len(set(words)) / max(1, len(words)), 1.0]
         logit = [sum(f * model.dense[k, j] for k, f in enumerate(x)) + sum(model.hashed[w % mixing._HASHED, j] for w in words) / math.sqrt(max(1, len(words))) for j in range(2)]
         assert got[i, 1] == pytest.approx(1 / (1 + math.exp(logit[0] - logit[1])), rel=1e-9)
