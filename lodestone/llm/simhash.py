@@ -1,21 +1,20 @@
-"""Operator 4: near-duplicate documents by SimHash over segments of rings.
+"""Operator 4: near-duplicate documents by SimHash, all pairs within the threshold by pigeonring filtering.
 
 A document's signature has 256 bits, each the sign of the sum over its distinct words of a +1/-1 drawn
-from the word's hash. Two documents are near copies when at most `most` bits differ. Candidates come
-from segments: the bits, in several permutations ("rings"), are cut into segments of `width` bits, and
-documents that agree on a whole segment meet. From there the ring is followed in boxes of 64 bits, and a pair
-goes on only while the differences so far stay within its share of a budget (pigeonring filtering); what
-comes round is held against `most` itself. The principle promises every near pair a start that keeps the exact
-proportional budgets, but not the one where it met, so the shares are SLACK times as wide; layout() counts what
-they still lose. A row carries the ring's bits from its segment on, so that the chain reads them in place.
-
-`width` grows with log2 of the number of signatures, so that a segment holds about as many unrelated
-documents at every size, and the number of rings grows with it so that a pair at `most` bits itself is still
-found with probability `recall`: unrelated candidates grow as n rather than n^2. The search is approximate.
+from the word's hash. Two documents are near copies when at most `most` bits differ. The bits are a ring of
+m boxes. Of a pair within `most`, some box starts a chain that keeps every proportional budget: after i boxes at
+most i / m of `most` bits differ (the pigeonring principle). So from each box in turn, values of that box within
+most / m bits are looked up in a table of the box's values, and what is met goes on if the 64 bits from there on keep
+their budget too; what is left is compared whole. No pair within the threshold is lost, at any number of documents.
+
+Signatures are dealt into blocks, and each two blocks meet in one task, which holds no more than these two: a row
+travels once for each block. Most pairs of unrelated signatures cost nothing and a few in a hundred a lookup: the work
+grows as n^2 by a small constant.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,10 +28,13 @@ from .common import connected_components, lean, local_components, mix, ragged, s
 BITS = 256
 MOST = 45
 LEAST_WORDS = 8
-SLACK = 1.3
-_BOXES = BITS // 64
+_WIDTH = 16
+_WORDS = BITS // 64
 _BLOCK = 1 << 15
-_PART_ROWS = 1 << 18
+_BLOCK_ROWS = 1 << 19
+_SPREAD = 8
+_BRUTE = 1 << 20
+_PAIRS = 1 << 19
 
 
 def _signatures(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,37 +104,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_sign), schema).where("words > 0")
 
 
-def survival(width: int, most: int = MOST) -> float:
-    """Probability that a pair with `most` differing bits at random places that agrees on a segment keeps the chain's budgets."""
-    state, left = {0: 1.0}, BITS - width
-    for box in range(1, _BOXES):
-        free = min(max(0, 64 * box - width), 64)
-        grown: dict[int, float] = {}
-        for seen, p in state.items():
-            for d in range(min(free, most - seen) + 1):
-                if (seen + d) * _BOXES <= box * most * SLACK and most - seen - d <= left - free:
-                    grown[seen + d] = grown.get(seen + d, 0.0) + p * math.comb(free, d) * math.comb(left - free, most - seen - d) / math.comb(left, most - seen)
-        state, left = grown, left - free
-    return sum(state.values())
-
-
-def layout(n: int, most: int = MOST, recall: float = 0.92) -> tuple[int, int]:
-    """Segment width and number of rings for n signatures.
-
-    Width log2(n) - 4 leaves about sixteen unrelated documents to a segment. Rings are added until a pair
-    that differs in `most` bits at random places shares a segment and passes the chain from there with
-    probability `recall` or more.
-    """
-    width = min(32, max(8, math.ceil(math.log2(max(n, 2))) - 4))
-    per_ring = BITS // width
-    same = math.prod((BITS - width - i) / (BITS - i) for i in range(most))  # none of the differing bits in a segment
-    return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same * survival(width, most)) / per_ring))
-
-
-def rings(width: int, count: int) -> np.ndarray:
-    """Bit orders of the rings; the first is the identity."""
-    draw = np.random.default_rng(20240229)
-    return np.stack([np.arange(BITS), *(draw.permutation(BITS) for _ in range(count - 1))])
+def layout(n: int) -> tuple[int, int]:
+    """Width of a box and number of blocks for n signatures: blocks have about _BLOCK_ROWS, or fewer so that many cores have work."""
+    return _WIDTH, max(1, math.ceil(n / _BLOCK_ROWS), min(_SPREAD, math.ceil(n / _BLOCK)))
 
 
 def cut(bits: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
@@ -144,26 +118,21 @@ def cut(bits: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([(held[:, : m * width].reshape(n, m, width) @ power), (rest @ power[: rest.shape[1]])[:, None]], axis=1).astype(np.uint64)
 
 
-def _unpacked(column: list[bytes]) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b"".join(column), np.uint8).reshape(len(column), BITS // 8), axis=1, bitorder="little")
-
-
 def _segments(width: int, count: int, parts: int):
-    orders, m = rings(width, count), BITS // width
+    """Signatures once for each of the `count` blocks they meet: in step k block x meets block k - x, and that block x.
+
+    value names the two blocks, the lesser in its upper half; block is the row's own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            ids, bits = batch.column(0), _unpacked(batch.column(1).to_pylist())
-            for r, order in enumerate(orders):
-                value, ring = cut(bits, order, width), bits[:, order]
-                for s in range(m):
-                    packed = np.packbits(np.concatenate([ring[:, s * width :], ring[:, : s * width]], axis=1), axis=1, bitorder="little")
-                    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), n, [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
-                    group = mix(value[:, s] | np.uint64((r * m + s) << 32)) % np.uint64(parts)
-                    yield pa.record_batch({"part": pa.array(group.astype(np.int32)), "place": pa.array(np.full(n, r * m + s, np.int32)), "value": pa.array(value[:, s].astype(np.int64)), "doc_id": ids, "bits": packed})
+            ids, bits = batch.column(0), batch.column(1)
+            own = (mix(ids.to_numpy().astype(np.int64).view(np.uint64) + np.uint64(width)) % np.uint64(count)).astype(np.int64)
+            for k in range(count):
+                other = (k - own) % count
+                value = np.minimum(own, other) << 32 | np.maximum(own, other)
+                group = mix(value.view(np.uint64)) % np.uint64(parts)
+                yield pa.record_batch({"part": pa.array(group.astype(np.int32)), "block": pa.array(own.astype(np.int32)), "value": pa.array(value), "doc_id": ids, "bits": bits})
 
     return lean(run)
 
@@ -184,35 +153,81 @@ def chain(boxes: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, start: int
     return alive
 
 
-def _pairs(sizes: np.ndarray, firsts: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of positions within runs, at most about `most` at a time."""
-    place = np.repeat(firsts, sizes) + ragged(sizes)
-    later = np.repeat(firsts + sizes, sizes) - place - 1
-    ends, at = np.cumsum(later), 0
-    while at < len(place):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        k = later[at:to]
-        left = np.repeat(place[at:to], k)
-        yield left, left + 1 + ragged(k)
-        at = to
+def _starts(words: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each box of the ring, its bits and the 64 bits of every signature from it on; the last box of a word has the bits left over."""
+    for k in range(_WORDS):
+        for at in range(0, 64 - width + 1, width):
+            head = words[:, k] >> np.uint64(at) | words[:, (k + 1) % _WORDS] << np.uint64(64 - at) if at else words[:, k]
+            yield (width if at + 2 * width <= 64 else 64 - at), head
 
 
-def _meet(most: int):
+def _near(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a row of `a` and one of `b` (rows of `words`) with at most `most` differing bits; a is b: of its rows.
+
+    A pair may come more than once. Pairs are looked at _PAIRS at a time, or one row's at a time.
+    """
+
+    def whole(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = (i[i != j], j[i != j]) if a is b else (i, j)
+        good = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= most
+        return i[good], j[good]
+
+    if len(a) * len(b) <= _BRUTE:
+        yield whole(np.repeat(a, len(b)), np.tile(b, len(a)))
+        return
+    per_word = 64 // width
+    budget, ahead = most // (per_word * _WORDS), most // _WORDS
+    for (bits, head_a), (_, head_b) in zip(_starts(words[a], width), _starts(words[b], width)):
+        low = np.uint64((1 << bits) - 1)
+        by_a, by_b = (np.argsort(h & low, kind="stable") for h in (head_a, head_b))
+        head_a, head_b = head_a[by_a], head_b[by_b]
+        value = (head_a & low).astype(np.int64)
+        sizes = np.bincount((head_b & low).astype(np.int64), minlength=1 << bits)
+        firsts = np.cumsum(sizes) - sizes
+        left, right, held = [], [], 0
+        for flips in range(min(budget, bits) + 1):
+            for mask in itertools.combinations(range(bits), flips):
+                sought = value ^ sum(1 << x for x in mask)
+                size = sizes[sought]
+                some = np.flatnonzero(size)
+                size = size[some]
+                ends = np.cumsum(size)
+                shift, mine, at = firsts[sought[some]] - ends + size, head_a[some], 0
+                while at < len(some):
+                    done = ends[at - 1] if at else 0
+                    to = len(some) if ends[-1] - done <= _PAIRS else max(at + 1, int(np.searchsorted(ends, done + _PAIRS, "right")))
+                    part = size[at:to]
+                    j = np.repeat(shift[at:to], part) + np.arange(done, ends[to - 1])
+                    good = np.flatnonzero(np.bitwise_count(np.repeat(mine[at:to], part) ^ head_b[j]) <= ahead)
+                    left.append(some[np.searchsorted(ends, good + done, "right")])
+                    right.append(j[good])
+                    held, at = held + len(good), to
+                    if held > _PAIRS:
+                        yield whole(a[by_a[np.concatenate(left)]], b[by_b[np.concatenate(right)]])
+                        left, right, held = [], [], 0
+        if held:
+            yield whole(a[by_a[np.concatenate(left)]], b[by_b[np.concatenate(right)]])
+
+
+def _meet(most: int, width: int = _WIDTH):
     def run(table: pa.Table) -> pa.Table:
-        place, value, ids = (table[c].to_numpy() for c in ("place", "value", "doc_id"))
+        value, block, ids = (table[c].to_numpy() for c in ("value", "block", "doc_id"))
         packed = table["bits"].combine_chunks()
         packed = pa.concat_arrays(packed.chunks) if isinstance(packed, pa.ChunkedArray) else packed
-        words = np.frombuffer(packed.buffers()[2], np.uint64)[packed.offset * _BOXES :][: len(packed) * _BOXES].reshape(-1, _BOXES)
-        order = np.lexsort((ids, value, place))
-        place, value, ids, words = place[order], value[order], ids[order], words[order]
+        words = np.frombuffer(packed.buffers()[2] or b"", np.uint64)[packed.offset * _WORDS :][: len(packed) * _WORDS].reshape(-1, _WORDS)
         known, code = np.unique(ids, return_inverse=True)
-        firsts = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (value[1:] != value[:-1])))
-        sizes = np.diff(np.append(firsts, len(ids)))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in _pairs(sizes[sizes > 1], firsts[sizes > 1]):
-            good = chain(words, i, j, most, slack=SLACK)
-            left.append(code[i[good]])
-            right.append(code[j[good]])
+        left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for pair in np.unique(value):
+            rows = np.flatnonzero(value == pair)
+            a = rows[block[rows] == pair >> 32]
+            b = a if pair >> 32 == pair & 0xFFFF_FFFF else rows[block[rows] != pair >> 32]
+            for i, j in _near(words, a, b, most, width):
+                left.append(code[i])
+                right.append(code[j])
+                held += len(i)
+                if held > max(1 << 20, 2 * len(known)):  # links within a component say no more than its members
+                    low = local_components(len(known), np.concatenate(left), np.concatenate(right))
+                    left, right, held = [np.arange(len(known))], [low], len(known)
         low = local_components(len(known), np.concatenate(left), np.concatenate(right))
         member = np.flatnonzero(low != np.arange(len(known)))
         return pa.table({"a": pa.array(known[member]), "b": pa.array(known[low[member]])})
@@ -223,7 +238,7 @@ def _meet(most: int):
 def near_copies(docs: DataFrame, most: int = MOST) -> DataFrame:
     """(doc_id, group_id, kept) for every document with a word; docs needs doc_id and text.
 
-    group_id is the least doc_id of the near-copy group (connected components of near pairs), kept is
+    No near pair is left out; copies with equal signatures are linked by one of them. group_id is the least doc_id of the near-copy group (connected components of near pairs), kept is
     true for that document alone. Unrelated documents are groups of one. Rows with a null doc_id are
     ignored; null, empty and wordless texts are in no group and have no row; repeated rows of one
     doc_id count once (the least signature stands for it). Columns other than doc_id and text are ignored.
@@ -234,12 +249,13 @@ def near_copies(docs: DataFrame, most: int = MOST) -> DataFrame:
     edges = signed.join(same.where("signature IS NOT NULL"), ["signature", "short"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
     long = same.where("NOT short").select(F.col("b").alias("doc_id"), "signature")
     n = long.count()
-    width, count = layout(n, most)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2, math.ceil(n * count * (BITS // width) / _PART_ROWS))
+    width, count = layout(n)
+    parts = count * (count + 1) // 2
     met = (
-        long.mapInArrow(_segments(width, count, parts), "part int, place int, value long, doc_id long, bits binary")
+        long.mapInArrow(_segments(width, count, parts), "part int, block int, value long, doc_id long, bits binary")
+        .repartition(parts, "part")
         .groupBy("part")
-        .applyInArrow(_meet(most), "a long, b long")
+        .applyInArrow(_meet(most, width), "a long, b long")
     )
     groups = connected_components(edges.union(met))
     return (

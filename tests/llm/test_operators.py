@@ -324,6 +324,51 @@ def test_simhash_pairs_meet_at_every_size(n, distance):
     assert met.mean() >= 0.9
 
 
+@pytest.mark.parametrize("distance", [20, 45])
+@pytest.mark.parametrize("width", [16, 21])
+def test_simhash_loses_no_pair(monkeypatch, distance, width):
+    monkeypatch.setattr(simhash, "_BRUTE", 0, raising=False)  # lookups, also for few signatures
+    monkeypatch.setattr(simhash, "_PAIRS", 1 << 12, raising=False)
+    draw = np.random.default_rng(distance)
+    bits = draw.integers(0, 2, (1500, simhash.BITS)).astype(np.uint8)
+    other = bits.copy()
+    for x in other:
+        x[draw.choice(simhash.BITS, distance, replace=False)] ^= 1
+    packed = [np.packbits(x, bitorder="little").tobytes() for x in np.concatenate([bits, other])]
+    batch = pa.record_batch({"doc_id": pa.array(np.arange(3000)), "signature": pa.array(packed, pa.binary())})
+    every = pa.Table.from_batches(simhash._segments(width, 3, 1)([batch]))
+    found = simhash._meet(simhash.MOST, width)(every).to_pandas()
+    assert sorted(zip(found["b"], found["a"])) == [(i, i + 1500) for i in range(1500)]
+
+
+def test_simhash_groups_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_BLOCK", 250)  # eight blocks
+    monkeypatch.setattr(simhash, "_BRUTE", 1000, raising=False)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    signed = sorted(simhash.signatures(docs).collect(), key=lambda r: r["doc_id"])
+    bits = np.stack([np.frombuffer(r["signature"], np.uint64) for r in signed])
+    short = np.array([r["short"] for r in signed])
+    near = np.bitwise_count(bits[:, None] ^ bits[None]).sum(2) <= np.where(short[:, None] | short[None], 0, simhash.MOST)
+    low = common.local_components(len(signed), *np.nonzero(near & (short[:, None] == short[None])))
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_copies(docs).collect()}
+    assert got == {r["doc_id"]: signed[low[i]]["doc_id"] for i, r in enumerate(signed)}
+
+
+def test_simhash_links_every_pair_at_the_threshold(spark, monkeypatch):
+    draw = np.random.default_rng(45)
+    bits = draw.integers(0, 2, (2000, simhash.BITS)).astype(np.uint8)
+    other = bits.copy()
+    for x in other:
+        x[draw.choice(simhash.BITS, simhash.MOST, replace=False)] ^= 1
+    packed = [np.packbits(x, bitorder="little").tobytes() for x in np.concatenate([bits, other])]
+    made = spark.createDataFrame([(i, bytearray(x), 9, False) for i, x in enumerate(packed)], "doc_id long, signature binary, words int, short boolean")
+    large = simhash.layout(10**6)
+    monkeypatch.setattr(simhash, "layout", lambda *n: large)
+    monkeypatch.setattr(simhash, "signatures", lambda docs: docs)
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_copies(made).collect()}
+    assert got == {i: i % 2000 for i in range(4000)}
+
+
 def test_simhash_awkward(spark):
     docs = awkward(spark)
     got = {r["doc_id"]: (r["group_id"], r["kept"]) for r in simhash.near_copies(docs).collect()}
