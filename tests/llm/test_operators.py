@@ -186,6 +186,23 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     assert 1 <= toxicity.sample(docs, known).count() <= 25
 
 
+def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
+    """Each telling word is in a few documents, so that a model of some of them misses most words; several lanes, none of which has all."""
+    monkeypatch.setattr(toxicity, "LANE_ROWS", 300, raising=False)
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 200)
+    monkeypatch.setattr(toxicity.sample, "__defaults__", (200, 11))
+    monkeypatch.setattr(toxicity.fit, "__defaults__", (200, 8) if len(toxicity.fit.__defaults__) == 2 else (8,))
+    draw = np.random.default_rng(2)
+    words, telling = [f"w{i}" for i in range(400)], [f"zorg{i}" for i in range(60)]
+    text = lambda i: " ".join([*draw.choice(words, 20), *([telling[i // 2 % 60]] if i % 2 else [])])
+    made = [(i, text(i), "en" if i % 3 else "de", "s", 0) for i in range(3600)]
+    docs = spark.createDataFrame(made, DOCS)
+    model = toxicity.fit(docs, labels(spark, [(i, 1, i % 2) for i in range(3000)]))
+    hashed, offsets = common.word_hashes(pa.array([r[1] for r in made[3000:]]))
+    found = toxicity.score(model, hashed, offsets) >= model.thresholds[None]
+    assert np.mean(found == (np.arange(3000, 3600) % 2 == 1)) >= 0.9
+
+
 def test_toxicity_held_out(spark):
     draw = np.random.default_rng(1)
     words = [f"w{i}" for i in range(400)]
