@@ -142,3 +142,23 @@ def test_run_on_awkward_and_empty_tables(spark, tmp_path):
         got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert (len(got) == 0) == (name == "empty")
         assert name == "empty" or {2, 3} <= {r["doc_id"] for r in got} and sum(r["doc_id"] is None for r in got) == 2
+
+
+def test_copies_at_the_threshold_go(spark, monkeypatch):
+    """Documents whose signatures differ in as many bits as near copies may, in the layout for 10^6 of them."""
+    import numpy as np
+
+    from lodestone.llm import simhash
+
+    draw = np.random.default_rng(46)
+    bits = draw.integers(0, 2, (2000, simhash.BITS)).astype(np.uint8)
+    other = bits.copy()
+    for x in other:
+        x[draw.choice(simhash.BITS, simhash.MOST, replace=False)] ^= 1
+    packed = [np.packbits(x, bitorder="little").tobytes() for x in np.concatenate([bits, other])]
+    docs = spark.createDataFrame([(i, "", bytearray(x), False) for i, x in enumerate(packed)], "doc_id long, text string, signature binary, short boolean")
+    large = simhash.layout(10**6)
+    monkeypatch.setattr(simhash, "layout", lambda *n: large)
+    monkeypatch.setattr(simhash, "signatures", lambda docs: docs)
+    left = corpus_pipeline.without_copies(spark, docs, "")
+    assert sorted(r["doc_id"] for r in left.select("doc_id").collect()) == list(range(2000))
