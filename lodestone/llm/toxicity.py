@@ -269,8 +269,8 @@ def _lane(shared, number: int):
 
         def reached() -> pa.RecordBatch:
             learn()
-            touched = np.nonzero(own.squares[0] != weights.squares[0])
-            state = pickle.dumps((touched, own.values[0][touched], own.squares[0][touched], own.values[1:], own.squares[1:]))
+            touched = own.squares[0] != weights.squares[0]
+            state = pickle.dumps((np.packbits(touched), own.values[0][touched], own.squares[0][touched], own.values[1:], own.squares[1:]), protocol=5)
             return pa.record_batch({"lane": pa.array([lane], pa.int32()), "rows": pa.array([rows], pa.int64()), "state": pa.array([state], pa.binary())})
 
         for batch in batches:
@@ -291,23 +291,25 @@ def _lane(shared, number: int):
     return lean(run)
 
 
-def _joined(weights: Weights, lanes: list) -> Weights:
-    """The weights moved by the sum of what the lanes moved them, and squares with all that they added.
+def _joined(weights: Weights, lanes: pa.Table) -> Weights:
+    """The weights moved by the sum of what the lanes moved them, and squares with all that they added; one lane is unpacked at a time.
 
     As Adagrad's steps shrink with the squares, of which a lane saw its own only, the sum is scaled by what the joined
     squares shrink a step by: near the place that one lane would reach that takes all the steps in turn.
     """
     moves, squares = ([np.zeros_like(v) for v in x] for x in (weights.values, weights.squares))
     share = np.zeros_like(weights.squares[0])
-    for r in lanes:
-        touched, table, table_squares, rest, rest_squares = pickle.loads(r["state"])
+    for k in np.argsort(lanes["lane"].to_numpy(), kind="stable").tolist():
+        packed, table, table_squares, rest, rest_squares = pickle.loads(lanes["state"][k].as_buffer())
+        touched = np.unpackbits(packed, count=share.size).view(bool).reshape(share.shape)
         share[touched] += 1
         moves[0][touched] += table - weights.values[0][touched]
         squares[0][touched] += table_squares - weights.squares[0][touched]
         for total, own, before in zip(moves[1:] + squares[1:], rest + rest_squares, weights.values[1:] + weights.squares[1:]):
             total += own - before
+        del packed, table, table_squares, rest, rest_squares, touched
     values = []
-    for value, move, before, added, lanes_of in zip(weights.values, moves, weights.squares, squares, [np.maximum(share, 1), *[len(lanes)] * 4]):
+    for value, move, before, added, lanes_of in zip(weights.values, moves, weights.squares, squares, [np.maximum(share, 1), *[lanes.num_rows] * 4]):
         scale = np.sqrt((before + added / lanes_of) / (before + added))
         values.append((value + move * scale.reshape(scale.shape + (1,) * (move.ndim - scale.ndim))).astype(value.dtype))
     return Weights(values, [(v + d).astype(v.dtype) for v, d in zip(weights.squares, squares)])
@@ -324,13 +326,21 @@ def _held_scores(model: Model):
     return lean(run)
 
 
+def _threshold(counts: pa.Table) -> pa.Table:
+    """(lang, cut, toxic, clean) of the rows (lang, score, hits, rows) of one language, each score once."""
+    score, hits, rows = (counts[c].to_numpy() for c in ("score", "hits", "rows"))
+    order, toxic = np.argsort(-score), int(hits.sum())
+    return pa.table({"lang": pa.array([counts["lang"][0].as_py()], pa.string()), "cut": pa.array([_cut(score[order], hits[order], rows[order])]), "toxic": pa.array([toxic], pa.int64()), "clean": pa.array([int(rows.sum()) - toxic], pa.int64())})
+
+
 def fit(docs: DataFrame, labels: DataFrame, least: int = 8) -> Model | None:
     """Train on about seven tenths of all labelled documents and calibrate on all others; None without examples of both labels.
 
     A language with fewer than `least` held-out examples of either label uses the threshold of all. Training goes in at
-    most LANES lanes, so that what the driver gathers in an epoch doesn't grow with the documents, nor does it in
-    calibration, which counts the scores by their first six decimals. Both parts hold all documents if one
-    of them would lack a label.
+    most LANES lanes, so that what the driver gathers in an epoch doesn't grow with the documents. It comes as Arrow
+    batches, which neither the JVM nor Python turns into rows. Calibration counts the scores by their first six decimals
+    and is done on the executors: the driver sees the thresholds alone. Both parts hold all documents if one of them would
+    lack a label.
     """
     known, told = known_labels(labels), docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
     held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(0.3 * (1 << 30))
@@ -348,23 +358,18 @@ def fit(docs: DataFrame, labels: DataFrame, least: int = 8) -> Model | None:
     weights, context = start(np.random.default_rng(5)), docs.sparkSession.sparkContext
     for number in range(EPOCHS):
         shared = context.broadcast(weights)
-        reached = learnt.mapInArrow(_lane(shared, number), "lane int, rows long, state binary").collect()
+        reached = learnt.mapInArrow(_lane(shared, number), "lane int, rows long, state binary").toArrow()
         shared.destroy()
-        weights = _joined(weights, sorted(reached, key=lambda r: r["lane"]))
+        weights = _joined(weights, reached)
         del reached
         trim()
     model = model_of(weights)
     check = (texts.where("held") if split else texts).select("lang", "toxic", "words").mapInArrow(_held_scores(model), "lang string, toxic int, score double")
-    found = check.groupBy("lang", F.round("score", 6).alias("score")).agg(F.sum("toxic").alias("hits"), F.count("*").alias("rows")).toPandas()
-
-    def best(part) -> float:
-        part = part.groupby("score", sort=False)[["hits", "rows"]].sum().sort_index(ascending=False)
-        return _cut(part.index.to_numpy(), part["hits"].to_numpy(), part["rows"].to_numpy())
-
-    model.thresholds = {None: best(found)}
-    for name, mine in sorted(found.groupby("lang"), key=lambda x: x[0]):
-        if min(mine["hits"].sum(), (mine["rows"] - mine["hits"]).sum()) >= least:
-            model.thresholds[name] = best(mine)
+    found = saved(check.groupBy("lang", F.round("score", 6).alias("score")).agg(F.sum("toxic").alias("hits"), F.count("*").alias("rows")))
+    every = found.union(found.groupBy(F.lit(None).cast("string").alias("lang"), "score").agg(F.sum("hits").alias("hits"), F.sum("rows").alias("rows")))
+    cuts = every.groupBy("lang").applyInArrow(_threshold, "lang string, cut double, toxic long, clean long").toArrow().to_pylist()
+    model.thresholds = {None: next(r["cut"] for r in cuts if r["lang"] is None)}
+    model.thresholds |= {r["lang"]: r["cut"] for r in sorted((r for r in cuts if r["lang"] is not None), key=lambda r: r["lang"]) if min(r["toxic"], r["clean"]) >= least}
     return model
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import pickle
 import time
 from collections import Counter
 
@@ -203,6 +204,19 @@ def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
     assert np.mean(found == (np.arange(3000, 3600) % 2 == 1)) >= 0.9
 
 
+def test_toxicity_sends_no_large_rows_to_the_driver(spark, monkeypatch):
+    """Rows are held several times over by the JVM and Python: weights come as Arrow batches, of scores the thresholds alone."""
+    monkeypatch.setattr(toxicity, "LANE_ROWS", 300)
+    frame, as_rows, as_arrow = type(spark.range(1)), [], []
+    for name, size, seen in (("collect", lambda x: len(pickle.dumps(x)), as_rows), ("toPandas", lambda x: len(pickle.dumps(x)), as_rows), ("toArrow", lambda x: x.nbytes, as_arrow)):
+        monkeypatch.setattr(frame, name, lambda self, real=getattr(frame, name), size=size, seen=seen: [x := real(self), seen.append(size(x))][0])
+    draw = np.random.default_rng(3)
+    made = [(i, " ".join(f"w{x}" for x in draw.integers(0, 10**6, 60)) + " zorg" * (i % 2), "en" if i % 3 else "de", "s", 0) for i in range(1500)]
+    model = toxicity.fit(spark.createDataFrame(made, DOCS), labels(spark, [(i, 1, i % 2) for i in range(1500)]))
+    assert set(model.thresholds) == {None, "de", "en"}
+    assert max(as_rows) < 1 << 14 and max(as_arrow, default=0) < 4 * 9_200_000 and min(as_arrow) < 1 << 10
+
+
 def test_toxicity_held_out(spark):
     draw = np.random.default_rng(1)
     words = [f"w{i}" for i in range(400)]
