@@ -89,6 +89,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "signature": pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), to - at, [None, pa.py_buffer(np.ascontiguousarray(key))]).cast(pa.binary()),
                     "words": pa.array(count.astype(np.int32)),
                     "short": pa.array(short),
+                    **{name: batch.column(name).slice(at, to - at) for name in batch.schema.names[2:]},
                 }
             )
 
@@ -98,10 +99,11 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     words counts distinct words. A document with fewer than LEAST_WORDS of them is `short`: a signature
     of so few words says little, so it holds a hash of the word sequence instead and only equal
-    sequences match. Null, empty and wordless texts have no row.
+    sequences match. Null, empty and wordless texts have no row. A long `version`, where docs has one, passes through.
     """
-    schema = "doc_id long, signature binary, words int, short boolean"
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_sign), schema).where("words > 0")
+    more = [c for c in docs.columns if c == "version"]
+    schema = "doc_id long, signature binary, words int, short boolean" + ", version long" * len(more)
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(lean(_sign), schema).where("words > 0")
 
 
 def layout(n: int) -> tuple[int, int]:
@@ -235,42 +237,52 @@ def _meet(most: int, width: int = _WIDTH):
     return run
 
 
-def near_copies(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """(doc_id, group_id, kept) for every document with a word; docs needs doc_id and text.
+def _classes(signed: DataFrame, key: list[str], most: int, tied: bool) -> DataFrame:
+    """(*key, first) for each text of signed (*key, signature, short): first is the least key of the text's near-copy group.
 
-    No near pair is left out; copies with equal signatures are linked by one of them. group_id is the least doc_id of the near-copy group (connected components of near pairs), kept is
-    true for that document alone. Unrelated documents are groups of one. Rows with a null doc_id are
-    ignored; null, empty and wordless texts are in no group and have no row; repeated rows of one
-    doc_id count once (the least signature stands for it). Columns other than doc_id and text are ignored.
+    Nodes are the different signatures, so that each text of a doc_id has its own links. tied: texts of one doc_id are linked.
     """
-    signed = saved(signatures(docs).groupBy("doc_id").agg(F.min_by(F.struct("signature", "short"), F.struct("signature", "short")).alias("s")).select("doc_id", "s.*"))
-    # equal signatures: one representative
-    same = signed.groupBy("signature", "short").agg(F.min("doc_id").alias("b"))
-    edges = signed.join(same.where("signature IS NOT NULL"), ["signature", "short"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    long = same.where("NOT short").select(F.col("b").alias("doc_id"), "signature")
+    signed = saved(signed.select(*key, "signature", "short").distinct())
+    same = saved(signed.groupBy("signature", "short").agg(F.min(F.struct(*key)).alias("least")).withColumn("id", F.monotonically_increasing_id()))
+    long = same.where("NOT short").select(F.col("id").alias("doc_id"), "signature")
     n = long.count()
     width, count = layout(n)
     parts = count * (count + 1) // 2
-    met = (
+    edges = (
         long.mapInArrow(_segments(width, count, parts), "part int, block int, value long, doc_id long, bits binary")
         .repartition(parts, "part")
         .groupBy("part")
         .applyInArrow(_meet(most, width), "a long, b long")
     )
-    groups = connected_components(edges.union(met))
-    return (
-        signed.select("doc_id")
-        .join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("group_id"))
-    )
+    if tied:
+        own = signed.join(same, ["signature", "short"]).select("doc_id", "id")
+        several = own.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("m")).where("b < m").select("doc_id", "b")
+        edges = edges.union(own.join(several, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b"))
+    part = same.join(connected_components(edges), "id", "left").select("signature", "short", "least", F.coalesce("component", "id").alias("component"))
+    first = part.groupBy("component").agg(F.min("least").alias("first"))
+    return signed.join(part.join(first, "component").select("signature", "short", "first"), ["signature", "short"]).select(*key, "first")
+
+
+def near_copies(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """(doc_id, group_id, kept) for every document with a word; docs needs doc_id and text.
+
+    No near pair is left out; copies with equal signatures are linked by one of them. group_id is the least doc_id of the near-copy group (connected components of near pairs), kept is
+    true for that document alone. Unrelated documents are groups of one. Rows with a null doc_id are
+    ignored; null, empty and wordless texts are in no group and have no row; rows of one doc_id are one document,
+    linked by each of its texts. Columns other than doc_id and text are ignored.
+    """
+    first = _classes(signatures(docs.drop("version")), ["doc_id"], most, True)
+    return first.groupBy("doc_id").agg(F.min("first.doc_id").alias("group_id")).withColumn("kept", F.col("doc_id") == F.col("group_id"))
 
 
 def drop_near_copies(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """docs without the documents that near_copies() doesn't keep, with all their columns, whatever these are named.
+    """One text of each near-copy group, with all columns of docs, whatever these are named: that of the least doc_id.
 
-    Rows with a null doc_id, and null, empty and wordless texts, stay; repeated rows go or stay together; an empty
-    table gives an empty table.
+    Each text is linked for itself, so that of rows which share a doc_id but not a text those go that have a near copy
+    with a lesser doc_id; among near texts of the least doc_id the least xxhash64(text) stays. Rows with a null doc_id, and null, empty and
+    wordless texts, stay; rows with equal doc_id and text go or stay together; an empty table gives an empty table.
     """
-    out = near_copies(docs, most).where("NOT kept").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(out, docs["doc_id"] == out["_dropped"], "left_anti")
+    version = F.xxhash64(docs["text"].cast("string"))
+    first = _classes(signatures(docs.withColumn("version", version)), ["doc_id", "version"], most, False)
+    out = first.where("doc_id <> first.doc_id OR version <> first.version").select(F.col("doc_id").alias("_dropped"), F.col("version").alias("_version"))
+    return docs.join(out, (docs["doc_id"] == out["_dropped"]) & (version == out["_version"]), "left_anti")

@@ -400,6 +400,15 @@ def test_simhash_links_every_pair_at_the_threshold(spark, monkeypatch):
     assert got == {i: i % 2000 for i in range(4000)}
 
 
+def test_simhash_links_each_text_of_a_repeated_id(spark):
+    draw = np.random.default_rng(48)
+    a, b, c = (" ".join(f"w{i}" for i in draw.integers(0, 10**6, 120)) for _ in range(3))
+    near = lambda t: t.replace(" w", " changed w", 1)
+    made = [(2, a), (2, b), (2, c), (3, near(a)), (4, near(b)), (5, near(c)), (1, "too short"), (6, "too short"), (6, near(near(c))), (9, "other words here")]
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_copies(spark.createDataFrame([(*r, "", "", 0) for r in made], DOCS)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 9: 9}
+
+
 def test_simhash_awkward(spark):
     docs = awkward(spark)
     got = {r["doc_id"]: (r["group_id"], r["kept"]) for r in simhash.near_copies(docs).collect()}

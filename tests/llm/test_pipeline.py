@@ -162,3 +162,19 @@ def test_copies_at_the_threshold_go(spark, monkeypatch):
     monkeypatch.setattr(simhash, "signatures", lambda docs: docs)
     left = corpus_pipeline.without_copies(spark, docs, "")
     assert sorted(r["doc_id"] for r in left.select("doc_id").collect()) == list(range(2000))
+
+
+def test_each_text_of_a_repeated_id_keeps_its_links(spark, tmp_path):
+    """Of rows that share a doc_id, each text goes if it has a near copy with a lesser doc_id, and no other text goes with it."""
+    import numpy as np
+
+    draw = np.random.default_rng(47)
+    text = lambda: " ".join(f"w{i}" for i in draw.integers(0, 10**6, 120))
+    near = lambda t: t.replace(" w", " changed w", 1)
+    a, b, c, d, e = (text() for _ in range(5))
+    made = [(1, a), (2, near(a)), (2, b), (2, c), (3, near(b)), (4, near(c)), (5, d), (5, near(d)), (5, d), (6, e), (6, None), (7, near(e)), (7, None), (7, "?!")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in made], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.without_copies(spark, docs, "").collect()]
+    own = [r for r in left if r[0] == 5]
+    assert sorted(own) in ([(5, d)] * 2, [(5, near(d))])
+    assert sorted(map(str, (r for r in left if r[0] != 5))) == sorted(map(str, [(1, a), (2, b), (2, c), (6, e), (6, None), (7, None), (7, "?!")]))
