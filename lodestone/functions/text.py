@@ -1,6 +1,6 @@
 """Column expressions over text: cleaning, counting, classification, headings, sentences.
 
-All are built-in expressions, so they stay inside generated code. Patterns avoid look-around and
+All but letter_counts() are built-in expressions, so they stay inside generated code. Patterns avoid look-around and
 shorthand classes whose meaning differs between regex engines.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import vectors as vx
+
 BLANKS = "[ \\t\\r\\n]+"
 MARK = "\u0001"
 
@@ -209,5 +211,4 @@ def filled(template: Column, **values: Column) -> Column:
 
 def letter_counts(text: Column) -> Column:
     """How often each of a to z occurs: the smallest encoder that any engine can follow."""
-    low = F.lower(text)
-    return F.array(*[F.regexp_count(low, F.lit(c)).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+    return vx.counted_letters(F.lower(text))

@@ -6,10 +6,12 @@ A batch of queries is a table; nothing loops over queries on the driver. Ranked
 
 from __future__ import annotations
 
+import functools
+import math
 from dataclasses import dataclass, fields, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,9 +19,9 @@ from pyspark.sql import types as T
 from ..checkpoints import saved
 from ..functions import text as tx
 from ..functions import vectors as vx
-from . import blocks
+from . import blocks, lexical
 
-K1, B, RRF = 1.2, 0.75, 60
+K1, B, RRF = lexical.K1, lexical.B, 60
 BROADCAST_TERMS = 1_000_000
 COMPARISONS = ("compare", "comparison", "difference", "differences", "versus", "vs", "vs.", "both", "either", "contrast", "similarities", "distinction", "between")
 STOPWORDS = "the is at which on are was were been be have has had do does did will would should could may might must can this that these those what when where who why how".split()
@@ -52,12 +54,13 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc_id") -> DataFrame:
     """Top k documents for each query (query_id, query) by BM25; repeated query terms count each time.
 
-    Documents' terms are joined to the batch's before anything is aggregated, so that only terms that some
-    query has are shuffled.
+    Each task scores its documents for all queries and sends on the k best of each. Batches of more than a million
+    terms are taken in parts, each with a scan of its own.
     """
-    wanted = query_terms(queries)
-    own = saved(_counted(_of_batch(_exploded(docs, id_column), wanted)))  # read twice, for df and for the scores
-    return score_postings(own, corpus_stats(docs), wanted, k)
+    wanted, rows = query_terms(queries), lexical.texts(docs, id_column)
+    parts = max(1, math.ceil(wanted.count() / BROADCAST_TERMS))
+    own = lambda i: wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else wanted
+    return ranked(functools.reduce(DataFrame.unionByName, [lexical.top(rows, own(i), k) for i in range(parts)]), k)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -101,6 +104,21 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return ranked(blocks.top(vectors, queries, k), k)
 
 
+def few(found: DataFrame) -> DataFrame:
+    """A saved table of at most a million rows, to be broadcast, as hits of a batch of queries are; a larger one as it is."""
+    return F.broadcast(found) if found.count() < BROADCAST_TERMS else found
+
+
+def with_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """found (id, ..) with the columns of rows (id, ..), of which only those found are moved."""
+    return rows.join(few(saved(found)), "id")
+
+
+def _hits(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """The chunks that were found, written out, so that what follows doesn't read all."""
+    return saved(chunks.join(few(saved(found.select("id").distinct())), "id", "left_semi"))
+
+
 def reciprocal_rank(lists: DataFrame, constant: int = RRF, k: int | None = None) -> DataFrame:
     """Fuse lists (query_id, method, id, rank) by the sum of 1 / (constant + rank)."""
     fused = lists.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score"), F.count("*").cast("int").alias("methods"))
@@ -181,9 +199,9 @@ def apart(vectors: np.ndarray, threshold: float) -> list[int]:
     return kept
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _apart(vectors: pd.Series, threshold: pd.Series) -> pd.Series:
-    return pd.Series([apart(np.array([np.asarray(v, np.float64) for v in own]), t) for own, t in zip(vectors, threshold)], dtype=object)
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _apart(vectors: pa.Array, threshold: pa.Array) -> pa.Array:
+    return pa.array([apart(own.values.flatten().to_numpy().astype(np.float64).reshape(len(own), -1), t) for own, t in zip(vectors, threshold.to_pylist())], pa.list_(pa.int32()))
 
 
 def diverse(found: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -215,15 +233,15 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 10, threshold: float
 
     chunks is (id, text, source[, section, page]); rank follows the fused score, and pair_score is reported beside it.
     """
-    coded = saved(chunks.select("id", encode(F.col("text")).alias("v")))  # encoded once, read twice
-    near = dense(coded.select("id", "v"), queries.select("query_id", encode(F.col("query")).alias("v")), 2 * k).withColumn("method", F.lit("dense"))
+    near = dense(chunks.select("id", encode(F.col("text")).alias("v")), queries.select("query_id", encode(F.col("query")).alias("v")), 2 * k).withColumn("method", F.lit("dense"))
     words = bm25(chunks.withColumnRenamed("id", "doc_id"), queries, 2 * k).withColumn("method", F.lit("sparse"))
-    fused = reciprocal_rank(near.unionByName(words), k=2 * k)
-    kept = diverse(fused.join(coded.select("id", "v"), "id"), threshold)
+    fused = saved(reciprocal_rank(near.unionByName(words), k=2 * k))
+    hits = _hits(chunks, fused)
+    kept = diverse(fused.join(hits.select("id", encode(F.col("text")).alias("v")), "id"), threshold)
     w = Window.partitionBy("query_id").orderBy("rank")
     cut = kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     null = lambda c: F.col(c) if c in chunks.columns else F.lit(None).cast("string")
-    told = chunks.select("id", "text", tx.citation(F.col("source"), null("section"), null("page")).alias("citation"))
+    told = hits.select("id", "text", tx.citation(F.col("source"), null("section"), null("page")).alias("citation"))
     return cut.join(told, "id").join(queries, "query_id").select("query_id", "id", "score", "rank", "citation", F.round(pair_score(F.col("query"), F.col("text")), 9).alias("pair_score"))
 
 
@@ -308,22 +326,22 @@ def search(chunks: DataFrame, queries: DataFrame, config: SearchConfig = PRESETS
     query's k (raised for comparisons and flat tails), reranks by pair_score, cuts to k and, if asked, adds the cited
     spans. chunks is (id, text, source[, section, page]). Every step is one pass over the whole batch of queries.
     """
-    coded = saved(chunks.select("id", encode(F.col("text")).alias("v")))
     asked = queries.select("query_id", "query")
     as_docs = chunks.withColumnRenamed("id", "doc_id")
     if config.expand:
-        first = chunks.select("id", "text").join(bm25(as_docs, asked, 5), "id")
+        first = with_rows(chunks.select("id", "text"), bm25(as_docs, asked, 5))
         asked = saved(expanded(asked, expansion_terms(first, asked, encode, count=config.expansions)))
-    near = dense(coded, asked.select("query_id", encode(F.col("query")).alias("v")), config.depth).withColumn("method", F.lit("dense"))
+    near = dense(chunks.select("id", encode(F.col("text")).alias("v")), asked.select("query_id", encode(F.col("query")).alias("v")), config.depth).withColumn("method", F.lit("dense"))
     words = bm25(as_docs, asked, config.depth).withColumn("method", F.lit("sparse"))
     met = saved(fused(near.unionByName(words), config))
-    kept = saved(ranked(diverse(met.join(coded, "id"), config.diversity)))
+    hits = _hits(chunks, met)
+    kept = saved(ranked(diverse(met.join(hits.select("id", encode(F.col("text")).alias("v")), "id"), config.diversity)))
     limit = adaptive_k(kept, queries, config.k) if config.auto_k else queries.select("query_id", F.lit(config.k).alias("k"))
-    told = kept.join(chunks, "id").join(queries, "query_id")
+    told = kept.join(hits, "id").join(queries, "query_id")
     scored = ranked(told.withColumn("score", F.round(pair_score(F.col("query"), F.col("text")), 9))) if config.rerank else told
     cut = scored.join(limit.select("query_id", "k"), "query_id").where(F.col("rank") <= F.col("k"))
     grown = asked.select("query_id", F.size(F.split("query", tx.BLANKS)).alias("_n")).join(queries.select("query_id", F.size(F.split("query", tx.BLANKS)).alias("_m")), "query_id").select("query_id", (F.col("_n") - F.col("_m")).alias("added_terms"))
-    out = result_shape(cut.join(grown, "query_id"), "query_id", "id", "score", "rank", "k", "added_terms")
+    out = saved(result_shape(cut.join(grown, "query_id"), "query_id", "id", "score", "rank", "k", "added_terms"))
     none = F.expr("cast(array() as array<struct<start:int,end:int,text:string,confidence:double>>)")
     if not config.spans:
         return out.withColumn("spans", none)
@@ -363,6 +381,6 @@ def filtered(chunks: DataFrame, quality: float | None = 0.3, newest: Column | No
 def paragraph_hits(docs: DataFrame, queries: DataFrame, encode, k: int = 3) -> DataFrame:
     """(query_id, doc_id, pos, text, score, rank): the k paragraphs, set apart by blank lines, nearest to each query."""
     parts = docs.select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("pos", "text")).withColumn("text", F.trim(F.regexp_replace("text", "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", ""))).where("text <> ''")
-    coded = saved(parts.withColumn("id", F.col("doc_id") * (1 << 24) + F.col("pos")).withColumn("v", encode(F.col("text"))))
-    top = dense(coded.select("id", "v"), queries.select("query_id", encode(F.col("query")).alias("v")), k)
-    return coded.drop("v").join(top, "id").select("query_id", "doc_id", "pos", "text", "score", "rank")
+    numbered = parts.withColumn("id", F.col("doc_id") * (1 << 24) + F.col("pos"))
+    top = dense(numbered.select("id", encode(F.col("text")).alias("v")), queries.select("query_id", encode(F.col("query")).alias("v")), k)
+    return with_rows(numbered, top).select("query_id", "doc_id", "pos", "text", "score", "rank")

@@ -46,3 +46,50 @@ def test_few_queries_go_to_the_vectors(spark):
     assert met.rdd.getNumPartitions() == 3 and met.count() == 3 * 50 * 5
     got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in retrieval.dense(rows, asked, 5).collect()}
     assert got == {k: v for k, v in nearest(cos, 5).items() if k[0] < 50}
+
+
+def test_bm25_sends_on_k_texts_a_query_and_task(spark):
+    from lodestone.operators import lexical
+
+    words = "amber falcon lantern night river".split()
+    docs = spark.createDataFrame([(i, " ".join(words[j] for j in range(5) if i >> j & 1) + " owl" * (i % 3)) for i in range(400)], "doc_id long, text string").repartition(2)
+    asked = spark.createDataFrame([(q, f"{words[q % 5]} {words[(q + 1) % 5]} owl owl") for q in range(30)], "query_id long, query string")
+    rows = lexical.texts(docs, "doc_id")
+    assert lexical.top(rows, retrieval.query_terms(asked), 3).count() == 2 * 30 * 3
+    best = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in retrieval.bm25(docs, asked, 3).collect()}
+    every = retrieval.bm25_indexed(retrieval.postings(docs), retrieval.corpus_stats(docs), asked, 3)
+    assert best == {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in every.collect()} and len(best) == 90
+
+
+def test_bm25_of_repeated_ids_null_texts_and_parts_of_a_batch(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from lodestone.operators import lexical
+    from lodestone.plans.search_queries import BM25
+
+    docs = spark.createDataFrame([(1, "amber falcon amber"), (1, "falcon of night"), (2, "night falcon lantern"), (None, "amber"), (None, "amber"), (3, None), (4, ""), (5, "amber night night")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "amber falcon"), (2, "night night"), (2, "amber"), (3, "zzz"), (4, None)], "query_id long, query string")
+    docs.write.parquet(f"{tmp_path}/documents")
+    asked.selectExpr("query_id AS item_id", "query AS text").write.parquet(f"{tmp_path}/benchmark")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}/*.parquet'")
+    want = sorted(db.execute(f"WITH {BM25} SELECT query_id, id, score, rank FROM bm_top").fetchall())
+    got = lambda: sorted(tuple(r) for r in retrieval.bm25(docs, asked).select("query_id", "id", "score", "rank").collect())
+    assert got() == want and len(want) == 6
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 2)
+    monkeypatch.setattr(lexical, "PRODUCTS", 1)
+    assert got() == want
+
+
+def test_letter_counts(spark):
+    from lodestone.functions import text as tx
+    from lodestone.functions import vectors as vx
+
+    texts = ["Zebra abba", None, "", "éaİ", "q" * 3000, "b"] * 700
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").coalesce(1)
+    got = {r[0]: r[1] for r in rows.where("id % 7 < 6").select("id", tx.letter_counts(F.col("text"))).collect()}
+    slow = rows.select("id", "text", *[F.regexp_count(F.lower("text"), F.lit(c)).cast("double").alias(c) for c in "abcdefghijklmnopqrstuvwxyz"]).collect()
+    assert len(got) == 3600 and all(got[r["id"]] == (None if r["text"] is None else list(r)[2:]) for r in slow if r["id"] in got)
+    hashed = {r[0]: r[1] for r in rows.select("id", vx.hashed_terms(F.split("text", ""), 8)).collect()}
+    assert hashed[1] is None and sum(hashed[4]) >= 3000 and sum(hashed[5]) >= 1 and len(hashed[0]) == 8
