@@ -151,7 +151,7 @@ def bi_encoder_rerank(spark, sf_dir):
     d = _documents(spark, sf_dir)
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     top = retrieval.bm25(d, q, 10).select("query_id", "id")
-    c = d.select(F.col("doc_id").alias("id"), "text").join(top, "id").join(q, "query_id")
+    c = retrieval.with_rows(d.select(F.col("doc_id").alias("id"), "text"), top).join(q, "query_id")
     return retrieval.bi_rerank(c, tx.letter_counts).select("query_id", "id", "score", F.col("rank").cast("int").alias("rank"))
 
 
