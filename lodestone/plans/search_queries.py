@@ -123,8 +123,7 @@ def auto_k(spark, sf_dir):
 @query()
 def prf_terms(spark, sf_dir):
     docs, q = table(spark, sf_dir, "documents"), _queries(spark, sf_dir)
-    top = retrieval.bm25(docs, q, 5)
-    found = docs.select(F.col("doc_id").alias("id"), "text").join(top, "id")
+    found = retrieval.with_rows(docs.select(F.col("doc_id").alias("id"), "text"), retrieval.bm25(docs, q, 5))
     return retrieval.expansion_terms(found, q, lambda c: vx.hashed_terms(F.regexp_extract_all(F.lower(c), F.lit(".{2}"), 0), 64))
 
 
