@@ -1,7 +1,7 @@
 """Structure and chunking: lines, headings, sections, and the sequential packers.
 
-The packers are inherently sequential, so each document is folded in an Arrow batch where it lies, in time linear in
-its sentences; nothing is shuffled and a task holds one batch of documents at a time.
+The packers are inherently sequential, so the lengths of each document's sentences are folded in an Arrow batch where the
+document lies, in time linear in their number; texts don't go to Python, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -49,94 +49,118 @@ def markdown_headings(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "pos", F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"), F.regexp_extract("line", "^#+[ \\t]*(.*)$", 1).alias("line"))
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def _paths(headings_: pd.Series) -> pd.Series:
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _paths(levels: pd.Series) -> pd.Series:
+    """For each heading the places of those on its path."""
     out = []
-    for own in headings_:
+    for own in levels:
         stack, paths = [], []
-        for h in own:
-            while stack and stack[-1][0] >= h["level"]:
+        for i, level in enumerate(own):
+            while stack and own[stack[-1]] >= level:
                 stack.pop()
-            stack.append((h["level"], h["line"]))
-            paths.append([line for _, line in stack])
+            stack.append(i)
+            paths.append(list(stack))
         out.append(paths)
     return pd.Series(out, dtype=object)
 
 
 def hierarchy(found: DataFrame) -> DataFrame:
-    """found (doc_id, pos, line, level) plus path: the nearest preceding headings of ever smaller levels, outermost first."""
+    """found (doc_id, pos, line, level) plus path: the nearest preceding headings of ever smaller levels, outermost first.
+
+    Only levels go to Python, and places come back."""
     grouped = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "level"))).alias("hs"))
-    both = grouped.withColumn("paths", _paths("hs")).select("doc_id", F.explode(F.arrays_zip("hs", "paths")).alias("x"))
-    return both.select("doc_id", "x.hs.pos", "x.hs.line", "x.hs.level", F.col("x.paths").alias("path"))
+    placed = grouped.withColumn("paths", _paths(F.transform("hs", lambda h: h["level"])))
+    both = placed.select("doc_id", "hs", F.posexplode("paths").alias("i", "own"))
+    return both.select("doc_id", F.get("hs", F.col("i")).alias("h"), F.transform("own", lambda j: F.get("hs", j)["line"]).alias("path")).select("doc_id", "h.pos", "h.line", "h.level", "path")
 
 
-def _tail(kept: list[str], budget: int) -> list[str]:
-    """Trailing sentences whose tokens together stay within the budget."""
-    total, at = 0, len(kept)
-    while at and total + len(kept[at - 1]) // 4 <= budget:
+def _tail(lengths: list[int], first: int, last: int, budget: int) -> int:
+    """Where the trailing sentences of first..last begin whose tokens together stay within the budget."""
+    total, at = 0, last
+    while at > first and total + lengths[at - 1] // 4 <= budget:
         at -= 1
-        total += len(kept[at]) // 4
-    return kept[at:]
+        total += lengths[at] // 4
+    return at
 
 
-def packed(sentences: list[str], target: int, most: int, overlap: int) -> list[str]:
-    """Chunks of a sentence list.
+def _joined(lengths: list[int], first: int, last: int) -> int:
+    """Tokens of sentences first..last joined by blanks."""
+    return (sum(lengths[first:last]) + max(0, last - first - 1)) // 4
+
+
+def places(lengths: list[int], target: int, most: int, overlap: int) -> list[tuple[int, int]]:
+    """The chunks of a list of sentences, by their lengths: (first, end) of each.
 
     A sentence that would take the current chunk over `most` tokens closes it first; reaching `target` closes it
     after; each chunk begins with the sentences of the last that fit the overlap; what remains is a chunk.
     """
-    current, tokens, out = [], 0, []
-    for s in sentences:
-        if current and tokens + len(s) // 4 > most:
-            out.append(" ".join(current))
-            current = [*_tail(current, overlap), s]
-            tokens = len(" ".join(current)) // 4
+    first, tokens, out = 0, 0, []
+    for i, n in enumerate(lengths):
+        if first < i and tokens + n // 4 > most:
+            out.append((first, i))
+            first = _tail(lengths, first, i, overlap)
+            tokens = _joined(lengths, first, i + 1)
         else:
-            current.append(s)
-            tokens += len(s) // 4
+            tokens += n // 4
+        if tokens >= target:
+            out.append((first, i + 1))
+            first = _tail(lengths, first, i + 1, overlap)
+            tokens = _joined(lengths, first, i + 1)
+    return [*out, (first, len(lengths))] if first < len(lengths) else out
+
+
+def places_paper(lengths: list[int], target: int = 600, most: int = 800, least: int = 200, overlap: int = 50) -> list[tuple[int, int]]:
+    """places() by the papers' packer: token sums are not recounted; the last chunk needs `least`."""
+    first, tokens, out = 0, 0, []
+    total = lambda a, b: sum(n // 4 for n in lengths[a:b])
+    for i, n in enumerate(lengths):
+        if first < i and tokens + n // 4 > most:
+            out.append((first, i))
+            first = _tail(lengths, first, i, overlap)
+            tokens = total(first, i)
+        tokens += n // 4
         if tokens >= target:
-            out.append(" ".join(current))
-            current = _tail(current, overlap)
-            tokens = len(" ".join(current)) // 4
-    return [*out, " ".join(current)] if current else out
+            out.append((first, i + 1))
+            first = _tail(lengths, first, i + 1, overlap)
+            tokens = total(first, i + 1)
+    return [*out, (first, len(lengths))] if tokens >= least and first < len(lengths) else out
+
+
+def packed(sentences: list[str], target: int, most: int, overlap: int) -> list[str]:
+    """Chunks of a sentence list, by places()."""
+    return [" ".join(sentences[a:b]) for a, b in places([len(s) for s in sentences], target, most, overlap)]
 
 
 def packed_paper(sentences: list[str], target: int = 600, most: int = 800, least: int = 200, overlap: int = 50) -> list[str]:
-    """The papers' packer: sentences of more than 10 characters; token sums are not recounted; the last chunk needs `least`."""
-    current, tokens, out = [], 0, []
-    total = lambda c: sum(len(s) // 4 for s in c)
-    for s in sentences:
-        if len(s.strip(" ")) <= 10:
-            continue
-        if current and tokens + len(s) // 4 > most:
-            out.append(" ".join(current))
-            current = _tail(current, overlap)
-            tokens = total(current)
-        current.append(s)
-        tokens += len(s) // 4
-        if tokens >= target:
-            out.append(" ".join(current))
-            current = _tail(current, overlap)
-            tokens = total(current)
-    return [*out, " ".join(current)] if tokens >= least else out
+    """Chunks of the sentences of more than 10 characters, by places_paper()."""
+    long = [s for s in sentences if len(s.strip(" ")) > 10]
+    return [" ".join(long[a:b]) for a, b in places_paper([len(s) for s in long], target, most, least, overlap)]
 
 
-def pack(sentences: Column, target: int, most: int, overlap: int) -> Column:
-    """Chunks (array<string>) of a column of sentence arrays, by packed()."""
+_PLACES = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def _chunked(rows: DataFrame, sentences: Column, find, index: str, text: str) -> DataFrame:
+    """rows with (index, text) of each chunk that find(lengths) places in an array of sentences; only lengths go to Python."""
 
     def run(column: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else packed(list(x), target, most, overlap) for x in column], dtype=object)
+        return pd.Series([None if x is None else find(x.tolist()) for x in column], dtype=object)
 
-    return F.pandas_udf(run, T.ArrayType(T.StringType()))(sentences)
+    own = [c for c in rows.columns if c not in ("text", "content")]
+    split = rows.select(*own, sentences.alias("_s"))
+    placed = split.withColumn("_p", F.pandas_udf(run, _PLACES)(F.transform("_s", lambda s: F.length(s))))
+    whole = lambda c: F.array_join(F.transform(F.sequence(c["first"], c["end"] - 1), lambda i: F.get("_s", i)), " ")
+    return placed.select(*own, F.posexplode(F.transform("_p", whole)).alias(index, text))
 
 
-def pack_paper(sentences: Column) -> Column:
-    """Chunks (array<string>) of a column of sentence arrays, by packed_paper()."""
+def pack(rows: DataFrame, sentences: Column, target: int, most: int, overlap: int) -> DataFrame:
+    """rows, but their text or content, with the chunks (i, raw) of their sentences, by places()."""
+    return _chunked(rows, sentences, lambda n: places(n, target, most, overlap), "i", "raw")
 
-    def run(column: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else packed_paper(list(x)) for x in column], dtype=object)
 
-    return F.pandas_udf(run, T.ArrayType(T.StringType()))(sentences)
+def pack_paper(rows: DataFrame, sentences: Column) -> DataFrame:
+    """rows, but their text, with the chunks (chunk_index, content) of their sentences of more than 10 characters, by places_paper()."""
+    return _chunked(rows, F.filter(sentences, lambda s: F.length(F.trim(s)) > 10), places_paper, "chunk_index", "content")
 
 
 def rag_chunks(docs: DataFrame, kind: str = "default") -> DataFrame:
@@ -147,7 +171,7 @@ def rag_chunks(docs: DataFrame, kind: str = "default") -> DataFrame:
     target, least, most = tx.STRATEGIES[kind]
     target = target or most
     parts = F.filter(tx.sentences(F.col("text")), lambda s: F.length(F.trim(s)) > 0)
-    raw = docs.select("doc_id", F.posexplode(pack(parts, target, most, int(0.1 * target))).alias("i", "raw"))
+    raw = pack(docs.select("doc_id", "text"), parts, target, most, int(0.1 * target))
     cleaned = raw.where(tx.token_count(F.col("raw")) >= least).withColumn("text", tx.clean(F.col("raw"))).where(tx.token_count(F.col("text")) >= least)
     w = Window.partitionBy("doc_id").orderBy("i")
     return cleaned.select("doc_id", (F.row_number().over(w) - 1).alias("chunk_index"), "text", tx.token_count(F.col("text")).alias("token_count"))
@@ -155,7 +179,7 @@ def rag_chunks(docs: DataFrame, kind: str = "default") -> DataFrame:
 
 def paper_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk_index, content, token_count, prev_preview, next_preview)."""
-    raw = docs.select("doc_id", F.posexplode(pack_paper(tx.sentences(F.col("text")))).alias("chunk_index", "content"))
+    raw = pack_paper(docs.select("doc_id", "text"), tx.sentences(F.col("text")))
     w = Window.partitionBy("doc_id").orderBy("chunk_index")
     return raw.select("doc_id", "chunk_index", "content", tx.token_count(F.col("content")).alias("token_count"), F.substring(F.lag("content").over(w), 1, 150).alias("prev_preview"), F.substring(F.lead("content").over(w), 1, 150).alias("next_preview"))
 
@@ -216,7 +240,7 @@ def section_chunks(docs: DataFrame, kind: str = "default") -> DataFrame:
     target, least, most = tx.STRATEGIES[kind]
     target = target or most
     parts = F.filter(tx.sentences(F.col("content")), lambda s: F.length(F.trim(s)) > 0)
-    raw = structured(docs).select("doc_id", "section_no", "title", "path", F.posexplode(pack(parts, target, most, int(0.1 * target))).alias("i", "raw"))
+    raw = pack(structured(docs), parts, target, most, int(0.1 * target))
     cleaned = raw.withColumn("text", tx.clean(F.col("raw"))).where(tx.token_count(F.col("text")) >= least)
     w = Window.partitionBy("doc_id").orderBy("section_no", "i")
     return cleaned.select("doc_id", "section_no", "title", "path", (F.row_number().over(w) - 1).alias("chunk_index"), "text", tx.token_count(F.col("text")).alias("token_count"))

@@ -93,3 +93,37 @@ def test_letter_counts(spark):
     assert len(got) == 3600 and all(got[r["id"]] == (None if r["text"] is None else list(r)[2:]) for r in slow if r["id"] in got)
     hashed = {r[0]: r[1] for r in rows.select("id", vx.hashed_terms(F.split("text", ""), 8)).collect()}
     assert hashed[1] is None and sum(hashed[4]) >= 3000 and sum(hashed[5]) >= 1 and len(hashed[0]) == 8
+
+
+def test_only_lengths_of_sentences_go_to_python(spark):
+    from lodestone.functions import text as tx
+    from lodestone.operators import chunking
+
+    assert chunking.places([120, 120, 0, 400, 8, 8], 30, 40, 10) == [(0, 1), (1, 2), (2, 3), (2, 4), (4, 6)]
+    assert chunking.places_paper([40] * 3, target=100, most=100, least=31) == []
+    docs = spark.createDataFrame([(1, "One. Two words here! Three. " * 60), (2, None), (3, "")], "doc_id long, text string")
+    for made in (chunking.pack(docs, tx.sentences(F.col("text")), 30, 40, 10), chunking.pack_paper(docs, tx.sentences(F.col("text"))), chunking.rag_chunks(docs)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "run(transform(" in plan and "length(" in plan.split("run(transform(")[1][:120]
+    s = ("One. Two words here! Three. " * 60).replace(". ", ".|").replace("! ", "!|").split("|")
+    got = chunking.pack(docs, tx.sentences(F.col("text")), 30, 40, 10).where("doc_id = 1").orderBy("i").collect()
+    assert [r["raw"] for r in got] == chunking.packed(s, 30, 40, 10) and len(got) > 5
+    heads = spark.createDataFrame([(1, 1, "a", 1), (1, 3, "b", 3), (1, 5, "c", 2), (1, 9, "d", 2), (2, 1, "e", 2), (2, 2, "f", 1)], "doc_id long, pos int, line string, level int")
+    found = chunking.hierarchy(heads)
+    assert "level" in found._jdf.queryExecution().optimizedPlan().toString().split("_paths(transform(")[1][:120]
+    assert sorted((r["line"], "/".join(r["path"])) for r in found.collect()) == [("a", "a"), ("b", "a/b"), ("c", "a/c"), ("d", "a/d"), ("e", "e"), ("f", "f")]
+
+
+def test_cited_spans_leave_the_task_only_above_the_threshold(spark, monkeypatch):
+    from lodestone.operators import evidence, lexical
+
+    claims = spark.createDataFrame([(1, "Amber falcons circle above northern harbours"), (2, "copper lanterns glow"), (3, "of it"), (4, None)], "claim_id long, claim string")
+    texts = spark.createDataFrame([(i, f"Copper lanterns glow over {w} rivers.  Amber falcons circle above {w} harbours! Nothing of use stands here.") for i, w in enumerate(("northern", "southern", "eastern") * 30)] + [(900, None)], "id long, text string")
+    plan = evidence.cited_everywhere(claims, texts)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1  # no sentences are joined to what was found
+    want = sorted(map(tuple, evidence.cited_spans(claims.crossJoin(texts)).collect()))
+    got = lambda: sorted(map(tuple, evidence.cited_everywhere(claims, texts).collect()))
+    assert got() == want and len(want) == 180
+    monkeypatch.setattr(evidence, "CLAIMED", 4)
+    monkeypatch.setattr(lexical, "PRODUCTS", 1)
+    assert got() == want
