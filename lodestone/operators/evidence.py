@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..checkpoints import saved
 from ..functions import text as tx
+from ..functions.memory import lean
+from . import lexical
 
 WORDS = "\\p{L}{3,}"
 _STOP = re.compile(r"([.!?])[ \t\r\n]+")
@@ -39,26 +45,39 @@ def word_overlap(claim: Column, text: Column) -> Column:
     return F.when(F.size(words) > 0, F.size(F.array_intersect(words, word_set(text))) / F.size(words)).otherwise(0.0)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("sentence", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def _placed(texts: pd.Series) -> pd.Series:
-    def one(text: str | None) -> list[tuple]:
-        out, cursor = [], 0
-        for pos, s in enumerate(_STOP.sub("\\1" + tx.MARK, text).split(tx.MARK) if text is not None else ()):
-            found = text.find(s, cursor)
-            start = found if found >= 0 else cursor
-            out.append((pos, s, start, start + len(s)))
-            cursor += len(s) + 1
-        return out
+def _placed(text: str | None) -> list[tuple[int, str, int, int]]:
+    out, cursor = [], 0
+    for pos, s in enumerate(_STOP.sub("\\1" + tx.MARK, text).split(tx.MARK) if text is not None else ()):
+        found = text.find(s, cursor)
+        start = found if found >= 0 else cursor
+        out.append((pos, s, start, start + len(s)))
+        cursor += len(s) + 1
+    return out
 
-    return pd.Series([one(t) for t in texts], dtype=object)
+
+#: texts cut, and sentences compared, at a time
+TEXTS, SENTENCES = 64, 512
 
 
 def sentence_offsets(texts: DataFrame, *keys: str) -> DataFrame:
     """(keys, pos, sentence, start, end): sentences with their offsets, sought from a running sum of lengths and separators.
 
-    Each text is read once where it lies; only its sentences go on.
+    Each text is read once where it lies, some at a time; only its sentences go on.
     """
-    return texts.select(*keys, F.explode(_placed(F.col("text"))).alias("s")).select(*keys, "s.pos", "s.sentence", "s.start", "s.end")
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                parts = [(i, *p) for i, text in enumerate(some.column(len(keys)).to_pylist()) for p in _placed(text)]
+                owner, pos, sentence, start, end = zip(*parts) if parts else [()] * 5
+                kept = [some.column(k).take(pa.array(owner, pa.int64())) for k in range(len(keys))]
+                yield pa.record_batch([*kept, pa.array(pos, pa.int32()), pa.array(sentence, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], [*keys, "pos", "sentence", "start", "end"])
+
+    own = texts.select(*keys, "text")
+    integer = lambda name: T.StructField(name, T.IntegerType())
+    return own.mapInArrow(run, T.StructType([*own.schema.fields[:-1], integer("pos"), T.StructField("sentence", T.StringType()), integer("start"), integer("end")]))
 
 
 def cited_spans(pairs: DataFrame, similarity=word_overlap, threshold: float = 0.6, top: int = 3, least: int = 20) -> DataFrame:
@@ -72,19 +91,65 @@ def cited_spans(pairs: DataFrame, similarity=word_overlap, threshold: float = 0.
 def cited_everywhere(claims: DataFrame, texts: DataFrame, threshold: float = 0.6, top: int = 3, least: int = 20) -> DataFrame:
     """cited_spans() by word_overlap of every claim (claim_id, claim) with every text (id, text).
 
-    A sentence whose overlap exceeds the threshold has one of any size - floor(threshold * size) of the claim's
-    words, so only sentences with one of that many of its rarest words are compared; no span is lost.
+    Sentences are compared where they lie: their words are looked up among those of the claims and counted for each
+    claim, so that only spans above the threshold leave a task. Claims of more than a million words are taken in parts.
     """
-    parts = saved(sentence_offsets(texts.select("id", "text"), "id").where(F.length(F.trim("sentence")) >= least))
-    words = parts.select("id", "pos", F.explode(word_set(F.col("sentence"))).alias("word"))
-    claimed = claims.select("claim_id", F.size(word_set(F.col("claim"))).alias("size"), F.explode(word_set(F.col("claim"))).alias("word"))
-    n = words.groupBy("word").agg(F.count("*").alias("n"))
-    rarest = Window.partitionBy("claim_id").orderBy(F.coalesce("n", F.lit(0)), "word")
-    probes = claimed.join(n, "word", "left").withColumn("_at", F.row_number().over(rarest)).where(F.col("_at") <= F.col("size") - F.floor(F.col("size") * threshold - 1e-6))
-    found = words.join(probes.select("claim_id", "word"), "word").select("claim_id", "id", "pos").distinct()
-    scored = found.join(parts, ["id", "pos"]).join(claims.select("claim_id", "claim"), "claim_id").withColumn("confidence", F.round(word_overlap(F.col("claim"), F.col("sentence")), 9)).where(F.col("confidence") > threshold)
+    parts = sentence_offsets(texts.select("id", "text"), "id").where(F.length(F.trim("sentence")) >= least)
+    rows = parts.select("id", "start", "end", F.col("sentence").alias("text"), word_set(F.col("sentence")).alias("ws"))
+    listed = saved(claims.select("claim_id", word_set(F.col("claim")).alias("ws")))
+    n = max(1, math.ceil(listed.agg(F.coalesce(F.sum(F.size("ws")), F.lit(0))).first()[0] / CLAIMED))
+    own = lambda i: listed.where(F.pmod(F.xxhash64("claim_id"), F.lit(n)) == i) if n > 1 else listed
+    met = functools.reduce(DataFrame.unionByName, [_met(rows, own(i), threshold) for i in range(n)])
+    scored = met.withColumn("confidence", F.round(F.col("n") / F.col("size"), 9)).where(F.col("confidence") > threshold)
     w = Window.partitionBy("claim_id", "id").orderBy(F.desc("confidence"), "start")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("claim_id", "id", "start", "end", F.col("sentence").alias("text"), "confidence", "rank")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("claim_id", "id", "start", "end", "text", "confidence", "rank")
+
+
+#: words of claims held by a task
+CLAIMED = 1_000_000
+
+
+def _tallied(keys: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below `many` and how often each occurs."""
+    if len(keys) * 8 < many:
+        return np.unique(keys, return_counts=True)
+    n = np.bincount(keys, minlength=many)
+    some = np.flatnonzero(n)
+    return some, n[some]
+
+
+def _met(rows: DataFrame, claims: DataFrame, threshold: float) -> DataFrame:
+    """(claim_id, id, start, end, text, n, size): sentences (id, start, end, text, ws) with n of a claim's words (claim_id, ws), about the threshold or above."""
+    held = claims.toArrow().combine_chunks()
+    kind = T.StructType([claims.schema["claim_id"], *rows.schema.fields[:4], T.StructField("n", T.LongType()), T.StructField("size", T.LongType())])
+    words = pa.concat_arrays(held.column("ws").chunks).flatten() if held.num_rows else pa.array([], pa.string())
+    if not len(words):
+        return rows.sparkSession.createDataFrame([], kind)
+    claim_ids, sizes = held.column("claim_id").combine_chunks(), held.column("ws").combine_chunks().value_lengths().fill_null(0).to_numpy()
+    claim_ids = claim_ids.chunk(0) if isinstance(claim_ids, pa.ChunkedArray) else claim_ids
+    coded, asked, many = words.dictionary_encode(), np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+    known, term = coded.dictionary, coded.indices.to_numpy()
+    order = np.argsort(term, kind="stable")
+    begins, asked = np.searchsorted(term[order], np.arange(len(known) + 1)), asked[order]
+    least = np.maximum(1, sizes * threshold - 1e-6)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SENTENCES):
+                some = batch.slice(at, SENTENCES)
+                owner, word, _ = lexical.found(some.column("ws"), known)
+                ends = np.cumsum(np.bincount(owner, begins[word + 1] - begins[word], minlength=some.num_rows))
+                for first, last in lexical.shares(ends, many):
+                    own = slice(*np.searchsorted(owner, [first, last]))
+                    times, step = lexical.met(owner[own], word[own], begins)
+                    key, n = _tallied(np.repeat(owner[own] - first, times) * many + asked[step], (last - first) * many)
+                    near = n >= least[key % many]
+                    if near.any():
+                        claim, sentence = key[near] % many, pa.array(first + key[near] // many)
+                        yield pa.record_batch([claim_ids.take(pa.array(claim)), *(some.column(c).take(sentence) for c in range(4)), pa.array(n[near]), pa.array(sizes[claim].astype(np.int64))], [f.name for f in kind])
+
+    return rows.mapInArrow(run, kind)
 
 
 def merge_spans(spans: DataFrame, key: str = "id", gap: int = 10) -> DataFrame:
