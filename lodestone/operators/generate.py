@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import math
 import re
 
 import pandas as pd
@@ -59,10 +60,20 @@ def task_counts(level: Column) -> list[Column]:
     return [(shrink(qa) + F.when(total < 3, 3 - total).otherwise(0)).cast("int").alias("qa"), shrink(debug).cast("int").alias("debug")]
 
 
+#: symbols sorted, and put bugs into, in a task
+SORTED, INJECTED = 100_000, 20_000
+
+
+def _dealt(symbols: DataFrame, rows: int, *by: str) -> DataFrame:
+    """symbols in tasks of about `rows`, as many as there are cores at least, however small their files are."""
+    n = max(math.ceil(symbols.count() / rows), symbols.sparkSession.sparkContext.defaultParallelism)
+    return symbols.repartition(n, *by)
+
+
 def questions(symbols: DataFrame, count: Column, seed: int = 42) -> DataFrame:
     """(path, name, focus, question): `count` seeded templates for each symbol."""
     dim = F.array(*[F.struct(F.lit(f).alias("focus"), F.lit(t).alias("template")) for f, t in FOCUS])
-    all_ = symbols.withColumn("_count", count).select("path", "name", "_count", F.explode(dim).alias("d"))
+    all_ = _dealt(symbols.withColumn("_count", count), SORTED, "path", "name").select("path", "name", "_count", F.explode(dim).alias("d"))
     w = Window.partitionBy("path", "name").orderBy(draw(F.col("path"), F.col("name"), F.col("d.focus"), seed=seed))
     return all_.withColumn("_n", F.row_number().over(w)).where("_n <= _count").select("path", "name", "d.focus", F.replace(F.col("d.template"), F.lit("{name}"), F.col("name")).alias("question"))
 
@@ -73,7 +84,7 @@ def negatives(symbols: DataFrame, per_symbol: int = 1, seed: int = 42) -> DataFr
     A made-up name is the first in the seeded order that the symbol's parameters don't have.
     """
     dim = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(on).alias("on"), F.lit(t).alias("t")) for k, on, t in NEGATIVES])
-    all_ = symbols.select("path", "name", "type", "parameters", F.explode(dim).alias("d")).where(F.array_contains(F.split("d.on", ","), F.col("type")))
+    all_ = _dealt(symbols, SORTED, "path", "name").select("path", "name", "type", "parameters", F.explode(dim).alias("d")).where(F.array_contains(F.split("d.on", ","), F.col("type")))
     order = F.array_sort(F.transform(F.array(*[F.lit(f) for f in FAKES]), lambda f: F.struct(F.md5(F.concat(F.lit(str(seed)), F.col("name"), f)).alias("h"), f.alias("f"))))
     fake = F.try_element_at(F.filter(F.transform(order, lambda x: x["f"]), lambda f: ~F.array_contains("parameters", f)), F.lit(1))
     w = Window.partitionBy("path", "name").orderBy(draw(F.col("path"), F.col("name"), F.col("d.k"), seed=seed))
@@ -225,12 +236,12 @@ def adversarial(symbols: DataFrame) -> DataFrame:
 def versions(symbols: DataFrame) -> DataFrame:
     """(path, name, task, original, buggy, bug_type, line): for each symbol (path, name, source, language) with a bug to
     plant, one comparison of both versions and up to two steps, the second of which starts from the first one's bug."""
-    found = symbols.select("path", "name", "source", F.posexplode(injected(F.col("source"), F.col("language"), F.lit(2))).alias("step", "b"), injected(F.col("source"), F.col("language"), F.lit(2)).alias("all"))
-    before = F.when(F.col("step") == 0, F.col("source")).otherwise(F.try_element_at("all", F.lit(1))["buggy"])
-    steps = found.select("path", "name", "step", before.alias("original"), "b.buggy", "b.bug_type", "b.line")
-    named = steps.withColumn("task", F.concat(F.lit("step_"), (F.col("step") + 1).cast("string")))
-    compared = steps.where("step = 0").withColumn("task", F.lit("compare"))
-    return compared.unionByName(named).select("path", "name", "task", "original", "buggy", "bug_type", "line")
+    made = _dealt(symbols, INJECTED, "path", "name", "source").select("path", "name", "source", injected(F.col("source"), F.col("language"), F.lit(2)).alias("all"))
+    step = lambda i: F.struct(F.concat(F.lit("step_"), (i + 1).cast("string")).alias("task"), F.when(i == 0, F.col("source")).otherwise(F.get("all", F.lit(0))["buggy"]).alias("original"), F.get("all", i).alias("b"))
+    steps = F.transform("all", lambda b, i: step(i))
+    compared = F.transform(F.slice("all", 1, 1), lambda b: F.struct(F.lit("compare").alias("task"), F.col("source").alias("original"), b.alias("b")))
+    tasks = made.select("path", "name", F.explode(F.concat(compared, steps)).alias("t"))
+    return tasks.select("path", "name", "t.task", "t.original", "t.b.buggy", "t.b.bug_type", "t.b.line")
 
 
 def task_stats(rows: DataFrame, *columns: str) -> DataFrame:

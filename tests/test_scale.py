@@ -127,3 +127,30 @@ def test_cited_spans_leave_the_task_only_above_the_threshold(spark, monkeypatch)
     monkeypatch.setattr(evidence, "CLAIMED", 4)
     monkeypatch.setattr(lexical, "PRODUCTS", 1)
     assert got() == want
+
+
+def symbols(spark, n=400):
+    s = spark.range(n).select(F.concat(F.lit("src/"), F.col("id") % 5).alias("path"), F.concat(F.lit("f"), F.col("id")).alias("name"), F.lit("function").alias("type"), F.array(F.lit("strict")).alias("parameters"))
+    return s.withColumn("source", F.concat(F.lit("def "), F.col("name"), F.lit("(a):\n    return a <= 1 and a == 0\n"))).withColumn("language", F.lit("python")).coalesce(1)
+
+
+def test_questions_are_sorted_in_tasks_of_bounded_size(spark, monkeypatch):
+    from lodestone.operators import generate
+
+    monkeypatch.setattr(generate, "SORTED", 10, raising=False)
+    for made, each in ((generate.questions(symbols(spark), F.lit(3)), 3), (generate.negatives(symbols(spark), 2), 2)):
+        assert made.rdd.getNumPartitions() >= 40  # by rows, where it was by the session's shuffle partitions
+        told = made.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in told) <= 40 * each and sum(r["count"] for r in told) == 400 * each
+    twice = symbols(spark, 3).unionByName(symbols(spark, 3))  # a repeated symbol has no more questions
+    assert generate.questions(twice, F.lit(3)).count() == 9
+
+
+def test_bugs_are_put_in_once_and_in_many_tasks(spark, monkeypatch):
+    from lodestone.operators import generate
+
+    monkeypatch.setattr(generate, "INJECTED", 10, raising=False)
+    made = generate.versions(symbols(spark))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("EvalPython") == 1
+    assert made.rdd.getNumPartitions() >= 40 and made.groupBy("task").count().count() == 3 and made.count() == 1200
